@@ -1,0 +1,6 @@
+"""Nothing streams in the operator inventory, so no stream operator is built.
+
+Row-wise operators (filters, scalar functions, and scaling or outlier treatment
+with already fitted numbers) are column expressions and accept a streaming
+DataFrame unchanged; ``tests/test_streaming_frames.py`` checks that.
+"""
