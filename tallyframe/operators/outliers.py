@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.scalar import clip, shifted_log
 from tallyframe.operators.select import filter_outside_bounds, top_k
 from tallyframe.plans.fitting import fit, fit_by, join_stats
+from tallyframe.plans.sizing import small_table
 
 _QUARTILES = (("q1", 0.25), ("q3", 0.75))
 
@@ -39,7 +40,7 @@ def iqr_bounds(df: DataFrame, column: str, by: Sequence[str] = (), small: bool |
         stats = fit_by(needed, by, {"n": F.count("*")}, wanted, small).drop("n")
     else:
         s = fit(needed, quantiles=wanted, small=small)
-        stats = df.sparkSession.createDataFrame([(s["q1"], s["q3"])], "q1 double, q3 double")
+        stats = small_table(df.sparkSession, [(s["q1"], s["q3"])], "q1 double, q3 double")
     return stats.withColumns(_bounds())
 
 

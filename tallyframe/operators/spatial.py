@@ -12,6 +12,7 @@ from tallyframe.functions.scalar import hour_band, lookup
 from tallyframe.operators.clean import drop_null_any
 from tallyframe.operators.group import PARTS, region_summary
 from tallyframe.plans.fitting import fit
+from tallyframe.plans.sizing import small_table
 
 # Colours of the map layers and the colour for anything else.
 SEVERITY_COLOURS = {1: "green", 2: "yellow", 3: "orange", 4: "red"}
@@ -60,7 +61,7 @@ def grid_density(df: DataFrame, x: str, y: str, resolution: int = 20, closed: st
         "j": (y, s["miny"], (s["maxy"] - s["miny"]) / resolution),
     }
     if not steps or any(step == 0 for _, _, step in steps.values()):
-        return df.sparkSession.createDataFrame([], "i int, j int, n long")
+        return small_table(df.sparkSession, [], "i int, j int, n long")
     rows = drop_null_any(df.select(x, y), [x, y])
     rows = rows.select(*[_cell(F.col(c), low, step).alias(k) for k, (c, low, step) in steps.items()])
     if closed == "none":
@@ -92,7 +93,7 @@ def hexbin_density(df: DataFrame, x: str, y: str, columns: int = 30) -> DataFram
     """
     s = _fit_bounds(df, x, y)
     if s["minx"] is None or s["maxx"] == s["minx"] or s["maxy"] == s["miny"]:
-        return df.sparkSession.createDataFrame([], "u double, v double, x double, y double, n long")
+        return small_table(df.sparkSession, [], "u double, v double, x double, y double, n long")
     rows_n = int(columns / math.sqrt(3))
     dx, dy = (s["maxx"] - s["minx"]) / columns, (s["maxy"] - s["miny"]) / rows_n
     a, b = _cell(F.col(x), s["minx"], dx), _cell(F.col(y), s["miny"], dy)

@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.plans.quantiles import refined_quantiles
-from tallyframe.plans.sizing import BROADCAST_ROWS, is_small
+from tallyframe.plans.sizing import BROADCAST_ROWS, hold_small, is_small
 
 Quantiles = Mapping[str, tuple[str, float]]
 
 
-def _percentile(column: str, p: float) -> Column:
-    return F.percentile(F.col(column).cast("double"), F.lit(p))
+def _percentiles(quantiles: Quantiles) -> tuple[dict[str, Column], dict[str, Column]]:
+    """One percentile aggregate per column, and how each name reads from it."""
+    probs: dict[str, list[float]] = {}
+    for c, p in quantiles.values():
+        probs.setdefault(c, []).append(p)
+    at = {c: f"__percentiles_{i}" for i, c in enumerate(probs)}
+    arrays = {
+        at[c]: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in ps])) for c, ps in probs.items()
+    }
+    return arrays, {name: F.col(at[c])[probs[c].index(p)].alias(name) for name, (c, p) in quantiles.items()}
 
 
 def fit(
@@ -32,13 +40,12 @@ def fit(
     """
     exprs, quantiles = dict(exprs or {}), dict(quantiles or {})
     small = is_small(df) if small is None else small
-    if small or not quantiles:
-        exprs |= {name: _percentile(c, p) for name, (c, p) in quantiles.items()}
-        quantiles = {}
+    arrays, picks = _percentiles(quantiles) if small else ({}, {})
     row: dict = {}
-    if exprs:
-        row |= df.agg(*[e.alias(name) for name, e in exprs.items()]).first().asDict()
-    if quantiles:
+    if exprs or arrays:
+        found = df.agg(*[e.alias(name) for name, e in (exprs | arrays).items()])
+        row |= found.select(*[F.col(f"`{name}`") for name in exprs], *picks.values()).first().asDict()
+    if quantiles and not small:
         found = refined_quantiles(df, [], quantiles).first()
         row |= found.asDict() if found else dict.fromkeys(quantiles)
     return row
@@ -56,8 +63,9 @@ def fit_by(
     df = df.na.drop(subset=list(by))
     small = is_small(df) if small is None else small
     if small or not quantiles:
-        exprs |= {name: _percentile(c, p) for name, (c, p) in quantiles.items()}
-        return df.groupBy(*by).agg(*[e.alias(n) for n, e in exprs.items()])
+        arrays, picks = _percentiles(quantiles)
+        found = df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | arrays).items()])
+        return found.select(*by, *[F.col(f"`{n}`") for n in exprs], *picks.values())
     plain = df.groupBy(*by).agg(F.count("*").alias("__rows"), *[e.alias(n) for n, e in exprs.items()])
     return plain.join(refined_quantiles(df, by, quantiles), list(by), "left").drop("__rows")
 
@@ -72,8 +80,5 @@ def join_stats(
     side is not shuffled.  Beyond the limit this is an ordinary equi-join in
     which adaptive execution splits the partitions of hot keys.
     """
-    rows = stats.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        held = stats.sparkSession.createDataFrame(rows, stats.schema)
-        return df.join(F.broadcast(held), list(on), how)
-    return df.join(stats, list(on), how)
+    held, bounded = hold_small(stats, limit)
+    return df.join(F.broadcast(held) if bounded else held, list(on), how)

@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.plans.sizing import BROADCAST_ROWS, checkpointed
+from tallyframe.plans.sizing import checkpointed, hold_small
 
 ACCURACY = 10_000
 BUCKETS = 1_024
@@ -70,9 +70,9 @@ def refined_quantiles(
         )
 
     targets = sketch.select(*keys, F.array(*[target(p) for p in probs]).alias("__t"))
-    held = targets.limit(BROADCAST_ROWS + 1).collect()
-    if len(held) <= BROADCAST_ROWS:
-        targets = F.broadcast(df.sparkSession.createDataFrame(held, targets.schema))
+    targets, bounded = hold_small(targets)
+    if bounded:
+        targets = F.broadcast(targets)
     aim = ["p", "k0", "k1", "part", "lo", "hi"]
     inside = checkpointed(
         long.join(targets, keys)

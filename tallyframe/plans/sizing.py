@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Below this many estimated input bytes one task may hold every distinct value.
 SMALL_BYTES = 64 * 1024 * 1024
@@ -26,6 +30,25 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return size is not None and size <= (SMALL_BYTES if limit is None else limit)
 
 
+def small_table(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> DataFrame:
+    """A few driver-held rows as a local relation, whose size Catalyst knows."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    records = [r.asDict(recursive=True) if isinstance(r, Row) else dict(zip(schema.names, r)) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+
+
+def hold_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` as a local relation if it has at most ``limit`` rows, else unchanged.
+
+    One job reads up to ``limit + 1`` rows; ending earlier proves the bound.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df, False
+    return small_table(df.sparkSession, rows, df.schema), True
+
+
 def _base_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
