@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.plans.quantiles import refined_quantiles
-from tallyframe.plans.sizing import BROADCAST_ROWS, hold_small, is_small
+from tallyframe.plans.quantiles import Quantiles, interval_exprs, refined_quantiles
+from tallyframe.plans.sizing import BROADCAST_ROWS, hold_small, is_small, small_table
 
-Quantiles = Mapping[str, tuple[str, float]]
+#: Up to this many estimated input bytes the built-in percentile is the quicker one.
+PERCENTILE_BYTES = 512 * 1024
 
 
 def _percentiles(quantiles: Quantiles) -> tuple[dict[str, Column], dict[str, Column]]:
@@ -34,21 +35,20 @@ def fit(
     """One row of table-level statistics as a dict.
 
     ``quantiles`` maps a result name to ``(column, p)``; the values are exact
-    and interpolate linearly.  On inputs whose size is known to be small the
-    built-in percentile shares the aggregate; otherwise the bracket search in
+    and interpolate linearly.  On inputs whose size is known to be tiny the
+    built-in percentile shares the aggregate; otherwise the counting search in
     :mod:`tallyframe.plans.quantiles` finds the same numbers in bounded memory.
     """
     exprs, quantiles = dict(exprs or {}), dict(quantiles or {})
-    small = is_small(df) if small is None else small
-    arrays, picks = _percentiles(quantiles) if small else ({}, {})
-    row: dict = {}
-    if exprs or arrays:
+    if not quantiles or (is_small(df, PERCENTILE_BYTES) if small is None else small):
+        arrays, picks = _percentiles(quantiles)
         found = df.agg(*[e.alias(name) for name, e in (exprs | arrays).items()])
-        row |= found.select(*[F.col(f"`{name}`") for name in exprs], *picks.values()).first().asDict()
-    if quantiles and not small:
-        found = refined_quantiles(df, [], quantiles).first()
-        row |= found.asDict() if found else dict.fromkeys(quantiles)
-    return row
+        return found.select(*[F.col(f"`{name}`") for name in exprs], *picks.values()).first().asDict()
+    starts = interval_exprs(quantiles)
+    base = df.agg(*[e.alias(name) for name, e in (exprs | starts).items()])
+    row = base.first().asDict()
+    started = small_table(df.sparkSession, [[row[k] for k in starts]], base.select(*starts).schema)
+    return {k: row[k] for k in exprs} | refined_quantiles(df, [], quantiles, started, True).first().asDict()
 
 
 def fit_by(
@@ -61,13 +61,13 @@ def fit_by(
     """One row of statistics per group; rows with a null key are left out."""
     exprs, quantiles = dict(exprs), dict(quantiles or {})
     df = df.na.drop(subset=list(by))
-    small = is_small(df) if small is None else small
-    if small or not quantiles:
+    if not quantiles or (is_small(df, PERCENTILE_BYTES) if small is None else small):
         arrays, picks = _percentiles(quantiles)
         found = df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | arrays).items()])
         return found.select(*by, *[F.col(f"`{n}`") for n in exprs], *picks.values())
-    plain = df.groupBy(*by).agg(F.count("*").alias("__rows"), *[e.alias(n) for n, e in exprs.items()])
-    return plain.join(refined_quantiles(df, by, quantiles), list(by), "left").drop("__rows")
+    starts = interval_exprs(quantiles)
+    plain, bounded = hold_small(df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | starts).items()]))
+    return plain.drop(*starts).join(refined_quantiles(df, by, quantiles, plain, bounded), list(by), "left")
 
 
 def join_stats(

@@ -1,119 +1,128 @@
 """Exact interpolated quantiles without holding a column in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one hash
-map, and a global ``percentile`` keeps those of the whole table.  Here instead
-
-1. a fixed-size sketch per group brackets each wanted quantile between two
-   values, with a margin well above the error bound of the sketch;
-2. one scan counts the rows below the bracket and the distinct values inside
-   it.  Both counts combine before the shuffle, so a value that fills a third
-   of the table moves as one row per task;
-3. equal-width buckets inside the bracket are summed and only the bucket that
-   holds the wanted rank is ordered.
-
-All columns travel in one long frame keyed by (group, column), which makes the
-grouped and the ungrouped form the same plan.
+map, on each task and again in the final one.  Here instead each wanted rank is
+searched by counting:
+
+1. count, minimum and maximum of each column give one interval per group;
+2. one scan counts the rows of an interval in equal-width buckets, and only the
+   buckets that hold a wanted rank become the next intervals.  This repeats
+   until an interval holds few rows or a single value;
+3. the distinct values of the remaining intervals are counted and ranked.
+
+Every step is a count that combines before its shuffle, so a value that fills a
+third of the table moves as one row per task, and no task orders more than
+``FEW_ROWS`` values.  All columns travel in one long frame keyed by (group,
+column), which makes the grouped and the ungrouped form the same plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.plans.sizing import checkpointed, hold_small
 
-ACCURACY = 10_000
-BUCKETS = 1_024
+FEW_ROWS = 100_000
+BUCKETS = 4_096
+#: Ends the search on infinite values, whose intervals cannot be halved.
+MAX_ROUNDS = 100
+
+Quantiles = Mapping[str, tuple[str, float]]
+
+
+def quantile_columns(quantiles: Quantiles) -> list[str]:
+    return sorted({c for c, _ in quantiles.values()})
+
+
+def _place(p: float) -> str:
+    """SQL for the 0-based place of a quantile among the rows."""
+    return f"({float(p)!r}D * (__n - 1))"
+
+
+def interval_exprs(quantiles: Quantiles) -> dict[str, Column]:
+    """The aggregates that start a search, to be joined to any other aggregate."""
+    out = {}
+    for i, c in enumerate(quantile_columns(quantiles)):
+        v = F.col(c).cast("double")
+        out |= {f"__n_{i}": F.count(v), f"__lo_{i}": F.min(v), f"__hi_{i}": F.max(v)}
+    return out
 
 
 def refined_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    quantiles: Mapping[str, tuple[str, float]],
-    accuracy: int = ACCURACY,
-    buckets: int = BUCKETS,
+    df: DataFrame, by: Sequence[str], quantiles: Quantiles, started: DataFrame, bounded: bool,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
-    """Columns ``by`` plus one exact quantile per name in ``quantiles``."""
-    columns = sorted({c for c, _ in quantiles.values()})
+    """Columns ``by`` plus one exact quantile per name.
+
+    ``started`` holds the columns of :func:`interval_exprs`, one row per group;
+    ``bounded`` tells that it is a local relation.
+    """
+    columns = quantile_columns(quantiles)
     probs = sorted({p for _, p in quantiles.values()})
     keys = [*by, "__c"]
-    long = df.select(
-        *by,
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in columns])
-        ),
-    ).where(F.col("__v").isNotNull())
-
-    margin = 4.0 / accuracy
-    cuts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", cuts, accuracy).alias("__cuts"),
-    )
 
-    def target(p: float):
-        # A group too small for the margin keeps its whole value range.
-        tiny = F.col("__n") * margin < 3
-        lo, hi = (cuts.index(min(max(p + d, 0.0), 1.0)) for d in (-margin, margin))
-        place = F.lit(p) * (F.col("__n") - 1)
-        return F.struct(
-            F.lit(p).alias("p"),
-            F.floor(place).alias("k0"),
-            F.ceil(place).alias("k1"),
-            (place - F.floor(place)).alias("part"),
-            F.when(tiny | F.lit(p <= margin), F.col("__min")).otherwise(F.col("__cuts")[lo]).alias("lo"),
-            F.when(tiny | F.lit(p >= 1 - margin), F.col("__max")).otherwise(F.col("__cuts")[hi]).alias("hi"),
+    starts = [
+        F.struct(
+            F.lit(i).alias("__c"), F.col(f"__n_{i}").alias("__n"), F.col(f"__lo_{i}").alias("__lo"),
+            F.col(f"__hi_{i}").alias("__hi"),
         )
-
-    targets = sketch.select(*keys, F.array(*[target(p) for p in probs]).alias("__t"))
-    targets, bounded = hold_small(targets)
-    if bounded:
-        targets = F.broadcast(targets)
-    aim = ["p", "k0", "k1", "part", "lo", "hi"]
-    inside = checkpointed(
-        long.join(targets, keys)
-        .select(*keys, "__v", F.inline("__t"))
-        .where(F.col("__v") <= F.col("hi"))
-        .groupBy(*keys, *aim, F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v"))
+        for i, c in enumerate(columns)
+    ]
+    ranks = F.expr(f"array_distinct(array({', '.join(f'floor({_place(p)}), ceil({_place(p)})' for p in probs)}))")
+    found = started.select(*by, F.inline(F.array(*starts))).where(F.col("__n") > 0)
+    found = found.select(
+        *keys, "__n", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.col("__n").alias("__m"),
+        ranks.alias("__ranks"),
+    )
+    value = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
+    long = df.select(*by, F.inline(F.array(*value)))
+
+    def rows_inside(intervals: DataFrame, bounded: bool) -> DataFrame:
+        side = F.broadcast(intervals) if bounded else intervals
+        return long.join(side, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+    intervals = found
+    wide = (F.col("__m") > few_rows) & (F.col("__lo") < F.col("__hi"))
+    for _ in range(MAX_ROUNDS):
+        if intervals.where(wide).isEmpty():
+            break
+        step = (F.col("__hi") - F.col("__lo")) / F.lit(BUCKETS)
+        bucket = F.when(
+            wide, F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(BUCKETS - 1))
+        ).otherwise(F.lit(0))
+        same = [*keys, "__n", "__before", "__ranks"]
+        counted = (
+            rows_inside(intervals, bounded)
+            .groupBy(*same, bucket.alias("__b"))
+            .agg(F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        )
+        upto = F.sum("__m").over(Window.partitionBy(*keys, "__before").orderBy("__b"))
+        start = F.col("__before") + upto - F.col("__m")
+        held = F.exists("__ranks", lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m")))
+        narrowed = counted.withColumn("__before", start).where(held).select(*intervals.columns)
+        intervals, bounded = hold_small(narrowed)
+        if not bounded:
+            intervals = checkpointed(narrowed)
+
+    distinct = (
+        rows_inside(intervals, bounded)
+        .groupBy(*keys, "__n", "__before", "__v")
         .agg(F.count("*").alias("__m"))
     )
+    run = F.sum("__m").over(Window.partitionBy(*keys, "__before").orderBy("__v"))
+    ranked = distinct.withColumn("__cum", F.col("__before") + run).withColumn("__prev", F.col("__cum") - F.col("__m"))
 
-    width = (F.col("hi") - F.col("lo")) / F.lit(buckets)
-    slot = (
-        F.when(F.col("__v").isNull(), F.lit(-1))
-        .when(width > 0, F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(buckets - 1)))
-        .otherwise(F.lit(0))
-    )
-    inside = inside.withColumn("__s", slot.cast("int"))
-    place = [*keys, "p"]
-    slots = (
-        inside.groupBy(*place, "k0", "k1", "__s")
-        .agg(F.sum("__m").alias("__sm"))
-        .withColumn("__upto", F.sum("__sm").over(Window.partitionBy(*place).orderBy("__s")))
-        .withColumn("__before", F.col("__upto") - F.col("__sm"))
-        .where((F.col("__before") <= F.col("k1")) & (F.col("__upto") > F.col("k0")) & (F.col("__s") >= 0))
-        .select(*place, "__s", "__before")
-    )
-    run = F.sum("__m").over(Window.partitionBy(*place, "__s").orderBy("__v"))
-    ranked = (
-        inside.join(slots, [*place, "__s"])
-        .withColumn("__cum", F.col("__before") + run)
-        .withColumn("__prev", F.col("__cum") - F.col("__m"))
-    )
+    def pick(c: str, p: float) -> Column:
+        def at(rank: str) -> str:
+            hit = f"__c = {columns.index(c)} AND __prev <= {rank} AND __cum > {rank}"
+            return f"max(CASE WHEN {hit} THEN __v END)"
 
-    def at(k: str):
-        hit = (F.col("__prev") <= F.col(k)) & (F.col("__cum") > F.col(k))
-        return F.max(F.when(hit, F.col("__v")))
+        low, high = at(f"floor({_place(p)})"), at(f"ceil({_place(p)})")
+        part = f"max(CASE WHEN __c = {columns.index(c)} THEN {_place(p)} - floor({_place(p)}) END)"
+        return F.expr(f"{low} + ({high} - {low}) * {part}")
 
-    values = ranked.groupBy(*place, "part").agg(at("k0").alias("v0"), at("k1").alias("v1")).withColumn(
-        "__q", F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
-    )
-    picks = [
-        F.max(F.when((F.col("__c") == c) & (F.col("p") == p), F.col("__q"))).alias(name)
-        for name, (c, p) in quantiles.items()
-    ]
-    return values.groupBy(*by).agg(*picks) if by else values.agg(*picks)
+    picks = [pick(c, p).alias(name) for name, (c, p) in quantiles.items()]
+    return ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
