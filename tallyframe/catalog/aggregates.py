@@ -243,19 +243,19 @@ def _(t):
 
 _BOX = """WITH b AS (SELECT {k} quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3
        FROM {s} {g})
-   SELECT {k} count(*) AS n_rows, min({c}) AS min, round(any_value(q1), 4) AS q1, round(any_value(med), 4) AS median,
-     round(any_value(q3), 4) AS q3, max({c}) AS max, round(any_value(q3 - q1), 4) AS iqr,
-     round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound,
+   SELECT {k} count(*) AS n_rows, min({c}) AS min, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median,
+     round(any_value(q3), 6) AS q3, max({c}) AS max, round(any_value(q3 - q1), 6) AS iqr,
+     round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS upper_bound,
      min({c}) FILTER ({c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
      max({c}) FILTER ({c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
      count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS n_outliers,
-     round(100.0 * count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({share}), 4) AS outlier_percent
+     round(100.0 * count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({share}), 6) AS outlier_percent
    FROM {s} {j} {g}"""
 
 
 @query("boxplot_stats", "G15", _BOX.format(k="", c="value", s="events", g="", j=", b", share="*"))
 def _(t):
-    return rounded(agg.boxplot_stats(t.events, "value"), 4)
+    return rounded(agg.boxplot_stats(t.events, "value"), 6)
 
 
 @query(
@@ -265,7 +265,7 @@ def _(t):
                 j="JOIN b USING (l_returnflag)", share="l_extendedprice"),
 )
 def _(t):
-    return rounded(agg.boxplot_stats(t.lineitem, "l_extendedprice", ["l_returnflag"], share_of="values"), 4)
+    return rounded(agg.boxplot_stats(t.lineitem, "l_extendedprice", ["l_returnflag"], share_of="values"), 6)
 
 
 @query(
@@ -274,4 +274,4 @@ def _(t):
     _BOX.format(k="event_type,", c="value", s="events", g="GROUP BY event_type", j="JOIN b USING (event_type)", share="*"),
 )
 def _(t):
-    return rounded(agg.boxplot_stats(t.events, "value", ["event_type"], small=False), 4)
+    return rounded(agg.boxplot_stats(t.events, "value", ["event_type"], small=False), 6)

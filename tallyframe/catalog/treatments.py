@@ -84,43 +84,43 @@ _B = """(SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (
 @query(
     "iqr_bounds",
     "E1",
-    f"""SELECT round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr, round(lo, 4) AS lower_bound,
-        round(hi, 4) AS upper_bound FROM {_B}""",
+    f"""SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lo, 6) AS lower_bound,
+        round(hi, 6) AS upper_bound FROM {_B}""",
 )
 def _(t):
-    return rounded(outliers.iqr_bounds(t.events, "value"), 4)
+    return rounded(outliers.iqr_bounds(t.events, "value"), 6)
 
 
 _SUMMARY = """WITH b AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
     e AS (SELECT event_type, value, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM events JOIN b USING (event_type))
   SELECT event_type, count(*) FILTER (value < lo OR value > hi) AS n_outliers,
-    round(100.0 * count(*) FILTER (value < lo OR value > hi) / count(value), 4) AS outlier_percent,
-    round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound,
+    round(100.0 * count(*) FILTER (value < lo OR value > hi) / count(value), 6) AS outlier_percent,
+    round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound,
     min(value) FILTER (value < lo OR value > hi) AS min_outlier, max(value) FILTER (value < lo OR value > hi) AS max_outlier
   FROM e GROUP BY event_type"""
 
 
 @query("outlier_summary_by_type", "E1 E2 J6", _SUMMARY)
 def outlier_summary_by_type(t):
-    return rounded(outliers.outlier_summary(t.events, "value", ["event_type"]), 4)
+    return rounded(outliers.outlier_summary(t.events, "value", ["event_type"]), 6)
 
 
 @query("outlier_summary_by_type_refined", "E2", _SUMMARY)
 def _(t):
-    return rounded(outliers.outlier_summary(t.events, "value", ["event_type"], small=False), 4)
+    return rounded(outliers.outlier_summary(t.events, "value", ["event_type"], small=False), 6)
 
 
 @query(
     "outlier_summary",
     "E2",
     f"""SELECT count(*) FILTER (value < lo OR value > hi) AS n_outliers,
-        round(100.0 * count(*) FILTER (value < lo OR value > hi) / count(value), 4) AS outlier_percent,
-        round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound,
+        round(100.0 * count(*) FILTER (value < lo OR value > hi) / count(value), 6) AS outlier_percent,
+        round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound,
         min(value) FILTER (value < lo OR value > hi) AS min_outlier, max(value) FILTER (value < lo OR value > hi) AS max_outlier
         FROM events, {_B} b""",
 )
 def _(t):
-    return rounded(outliers.outlier_summary(t.events, "value"), 4)
+    return rounded(outliers.outlier_summary(t.events, "value"), 6)
 
 
 @query(
