@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space that separates words, as a regular expression.
-WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # First hour (inclusive), end hour (exclusive), band name.
 HOUR_BANDS = ((6, 12, "morning"), (12, 18, "afternoon"), (18, 22, "evening"))
@@ -73,7 +73,7 @@ def hour_band(hour: Column, names: Mapping[str, str] | None = None) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-case words of a text, split on white space, without empty ends."""
-    return F.filter(F.split(F.lower(c), WHITESPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), WHITESPACE), "")
 
 
 def to_text(c: Column, null_label: str | None = None) -> Column:

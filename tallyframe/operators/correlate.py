@@ -52,32 +52,32 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str
     return below.unionByName(above).unionByName(ones)
 
 
+def _both(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
+
+
 def _distinct_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    pair = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
-    return pair.groupBy("x", "y").agg(F.count("*").alias("n"))
+    return _both(df, x, y).groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def corr_spearman(df: DataFrame, x: str, y: str, buckets: int | None = None) -> float | None:
-    """Pearson correlation of average ranks, on counted distinct pairs."""
+    """Pearson correlation of average ranks, on counted distinct pairs.
+
+    Each rank table has one row per value, and the pairs that meet it are
+    already counted, so a value that fills a third of the rows stays small.
+    """
+    rows = _both(df, x, y)
+    n_all = rows.count()
+    if n_all < 2:
+        return None
     pairs = _distinct_pairs(df, x, y)
     for side in ("x", "y"):
-        counted = pairs.groupBy(side).agg(F.sum("n").alias("w"))
+        counted = rows.groupBy(side).agg(F.count("*").alias("w"))
         ranks = value_ranks(counted, side, "w", buckets).withColumnRenamed("average_rank", f"r{side}")
         pairs = pairs.join(ranks, side)
-    rx, ry, n = F.col("rx"), F.col("ry"), F.col("n")
-    # Ranks average (N + 1) / 2; N comes with the same aggregate through the ranks' sum.
-    s = fit(pairs, {"n": F.sum(n), "mx": F.sum(n * rx) / F.sum(n)})
-    if not s["n"]:
-        return None
-    centre = F.lit(s["mx"])
-    m = fit(
-        pairs,
-        {
-            "xy": F.sum(n * (rx - centre) * (ry - centre)),
-            "xx": F.sum(n * (rx - centre) * (rx - centre)),
-            "yy": F.sum(n * (ry - centre) * (ry - centre)),
-        },
-    )
+    centre = F.lit((n_all + 1) / 2)  # average ranks always have this mean
+    a, b, n = F.col("rx") - centre, F.col("ry") - centre, F.col("n")
+    m = fit(pairs, {"xy": F.sum(n * a * b), "xx": F.sum(n * a * a), "yy": F.sum(n * b * b)})
     below = math.sqrt(m["xx"] * m["yy"])
     return m["xy"] / below if below else None
 

@@ -70,43 +70,39 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -
     for r, m in itertools.product(masks, masks):
         shared = [c for i, c in enumerate(columns) if (r & m) >> i & 1]
         if r != full and shared and m & ~r:
-            pairs.append((r, m, sorted(shared, key=lambda c: -spans[c])[:GRID_COLUMNS]))
+            pairs.append((r, m, sorted(shared, key=lambda c: -spans[c])))
 
-    def cells(side: int, width: float) -> Column:
-        """The grid cells of a row, one entry per mask pair it takes part in."""
+    def paired(frame: DataFrame, side: int) -> DataFrame:
+        """One row per mask pair it takes part in, with the shared values, widest column first."""
         entries = [
             F.when(
                 F.col("__mask") == F.lit(pair[side]),
-                F.struct(
-                    F.lit(i).alias("pair"),
-                    F.array(*[F.floor(F.col(c) / F.lit(width)).cast("long") for c in pair[2]]).alias("cell"),
-                ),
+                F.struct(F.lit(i).alias("__pair"), F.array(*[F.col(c) for c in pair[2]]).alias("__shared")),
             )
             for i, pair in enumerate(pairs)
         ]
-        return F.filter(F.array(*entries), lambda e: e.isNotNull())
+        return frame.select("*", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
     open_rows = rows.where(F.col("__mask") != full)
     found: list[DataFrame] = []
     if pairs:
-        # At most k donors at one point can matter, so repeated points are thinned exactly.
-        point = Window.partitionBy("__mask", *[F.col(c) for c in columns]).orderBy("__id")
-        donors = rows.withColumn("__r", F.row_number().over(point)).where(F.col("__r") <= k).drop("__r")
-        donors = checkpointed(donors)
-        reach = max(spans.values()) or 1.0
-        width = _first_width(donors, cells, sum(masks.values()), reach, k)
-        left = open_rows.select(
-            "*",
-            F.explode(
-                F.filter(
-                    F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(columns)]),
-                    lambda i: i.isNotNull(),
-                )
-            ).alias("__target"),
+        # Donors that share a point tie for every recipient of their pair, so the
+        # k lowest ids stand for all of them, however many rows the point has.
+        point = Window.partitionBy("__pair", "__shared").orderBy("__id")
+        donors = paired(rows, 1).withColumn("__r", F.row_number().over(point)).where(F.col("__r") <= k)
+        donors = checkpointed(
+            donors.select(
+                F.col("__id").alias("__donor"), *[F.col(c).alias(f"__d_{i}") for i, c in enumerate(columns)],
+                "__pair", "__shared",
+            )
         )
+        reach = max(spans.values()) or 1.0
+        width = _first_width(donors, [[spans[c] for c in pair[2]] for pair in pairs], sum(masks.values()), k)
+        missing = F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(columns)])
+        left = open_rows.select("*", F.explode(F.filter(missing, lambda i: i.isNotNull())).alias("__target"))
         while True:
             last = width >= reach
-            near = _nearest(left, donors, columns, cells, width, k, bounded=not last)
+            near = _nearest(paired(left, 0), donors, columns, width, k, bounded=not last)
             if last:
                 found.append(near)
                 break
@@ -134,41 +130,42 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -
     )
 
 
-def _first_width(donors: DataFrame, cells, n: int, reach: float, k: int) -> float:
-    """Start from the width of an even spread; narrow it while a cell is crowded."""
-    width = reach * (2.0 * k / max(n, 1)) ** (1 / GRID_COLUMNS)
+def _cell(width: float) -> Column:
+    return F.transform(
+        F.slice("__shared", 1, GRID_COLUMNS), lambda v: F.floor(v / F.lit(width)).cast("long")
+    )
+
+
+def _first_width(donors: DataFrame, spans: list[list[float]], n: int, k: int) -> float:
+    """The width that suits an even spread; narrowed while some cell is crowded."""
+    fits = []
+    for widest, *others in spans:
+        widest = widest or 1.0
+        area = (2.0 * k / max(n, 1)) * widest
+        fits.append((area * others[0]) ** 0.5 if others and others[0] > area else area)
+    width = min(fits)
     for _ in range(40):
-        crowd = donors.select(F.explode(cells(1, width)).alias("e")).groupBy("e").count().agg(F.max("count"))
-        if (crowd.first()[0] or 0) <= max(CELL_DONORS, 50 * k):
+        crowd = donors.groupBy("__pair", _cell(width).alias("c")).count().agg(F.max("count")).first()[0] or 0
+        if crowd <= max(CELL_DONORS, 50 * k):
             break
         width /= GROWTH
-    return min(width, reach)
+    return width
 
 
-def _nearest(left: DataFrame, donors: DataFrame, columns, cells, width: float, k: int, bounded: bool) -> DataFrame:
+def _nearest(seekers: DataFrame, donors: DataFrame, columns, width: float, k: int, bounded: bool) -> DataFrame:
+    """The k nearest donors of each open cell among the neighbouring grid cells."""
     d = len(columns)
-    steps = {
-        n: F.array(*[F.array(*[F.lit(s).cast("long") for s in o]) for o in itertools.product((-1, 0, 1), repeat=n)])
-        for n in range(1, GRID_COLUMNS + 1)
-    }
     step = F.lit(None)
-    for n, offsets in steps.items():
-        step = F.when(F.size("__e.cell") == n, offsets).otherwise(step)
+    for n in range(1, GRID_COLUMNS + 1):
+        moves = [F.array(*[F.lit(s).cast("long") for s in o]) for o in itertools.product((-1, 0, 1), repeat=n)]
+        step = F.when(F.size("__at") == n, F.array(*moves)).otherwise(step)
     seekers = (
-        left.withColumn("__e", F.explode(cells(0, width)))
+        seekers.withColumn("__at", _cell(width))
         .withColumn("__step", F.explode(step))
-        .select(
-            "__id", "__target", *columns, F.col("__e.pair").alias("__pair"),
-            F.zip_with("__e.cell", "__step", lambda a, b: a + b).alias("__cell"),
-        )
-    )
-    offers = (
-        donors.withColumn("__e", F.explode(cells(1, width)))
-        .select(
-            F.col("__id").alias("__donor"), *[F.col(c).alias(f"__d_{i}") for i, c in enumerate(columns)],
-            F.col("__e.pair").alias("__pair"), F.col("__e.cell").alias("__cell"),
-        )
+        .withColumn("__cell", F.zip_with("__at", "__step", lambda a, b: a + b))
+        .drop("__at", "__step", "__shared", "__mask")
     )
+    offers = donors.withColumn("__cell", _cell(width)).drop("__shared")
     gaps = [F.col(c) - F.col(f"__d_{i}") for i, c in enumerate(columns)]
     square, shared = F.lit(0.0), F.lit(0)
     for g in gaps:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans.fitting import join_stats
 from tallyframe.plans.ordering import BUCKET, place_rows, with_buckets, with_guests
+from tallyframe.plans.sizing import checkpointed, is_small
 
 
 def with_previous(
@@ -18,7 +19,7 @@ def with_previous(
     """Add the value of ``column`` in the row before, null for the first row."""
     rows, n = with_buckets(df, order, buckets)
     if n > 1:
-        rows = with_guests(rows, order, by, F.lit(True))
+        rows = with_guests(rows, order, by, F.lit(True), [column])
     w = Window.partitionBy(*by, BUCKET).orderBy(order)
     rows = rows.withColumn(name, F.lag(column).over(w))
     return rows.select(*df.columns, name) if n == 1 else rows.where(~F.col("__guest")).select(*df.columns, name)
@@ -56,7 +57,7 @@ def interpolate(
     depth = 1 if method == "linear" else 2
     rows, n = place_rows(df, order, by, buckets, "__pos")
     if n > 1:
-        rows = with_guests(rows, order, by, F.col(column).isNotNull(), depth)
+        rows = with_guests(rows, order, by, F.col(column).isNotNull(), ["__pos", column], depth)
     v, at = F.col(column).cast("double"), F.col("__pos").cast("double")
     cell = Window.partitionBy(*by, BUCKET)
     up, down = cell.orderBy(F.col(order)), cell.orderBy(F.col(order).desc())
@@ -140,6 +141,8 @@ def value_ranks(counted: DataFrame, column: str, weight: str, buckets: int | Non
 
     Ranks start at 1 and tied rows share the mean of their places.
     """
+    if not is_small(counted):  # read several times below
+        counted = checkpointed(counted)
     rows, n = with_buckets(counted, column, buckets)
     upto = F.sum(weight).over(Window.partitionBy(BUCKET).orderBy(column))
     if n > 1:

@@ -81,38 +81,51 @@ def with_position(
     return place_rows(df, order, by, buckets, name)[0].drop(BUCKET)
 
 
-def with_guests(df: DataFrame, order: str, by: Sequence[str], known: Column, depth: int = 1) -> DataFrame:
+def with_guests(
+    df: DataFrame, order: str, by: Sequence[str], known: Column, carry: Sequence[str], depth: int = 1
+) -> DataFrame:
     """Lend every (group, bucket) its nearest known rows from outside.
 
     ``df`` carries the bucket column.  Each bucket receives copies, flagged by
     ``__guest``, of up to ``depth`` (1 or 2) last known rows before it and
     first known rows after it, so a plain window inside the bucket sees the
-    neighbours a window over the whole group would see.
+    neighbours a window over the whole group would see.  Guests hold the order
+    key and the ``carry`` columns; their other columns are null.
     """
     by = list(by)
     cell = [*by, BUCKET]
-    body = [c for c in df.columns if c not in cell]
-    row = F.struct(*[F.col(c) for c in body])
-    rows = df.where(known).select(*cell, F.col(order).alias("__o"), row.alias("__row"))
-
-    def edge(window_desc: bool, tag: str) -> DataFrame:
-        w = Window.partitionBy(*cell).orderBy(F.col("__o").desc() if window_desc else F.col("__o"))
-        ranked = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= depth)
-        return ranked.groupBy(*cell).agg(
-            *[F.max(F.when(F.col("__r") == i, F.col("__row"))).alias(f"{tag}{i}") for i in range(1, depth + 1)]
+    body = list(dict.fromkeys([order, *carry]))
+    row = F.when(known, F.struct(*[F.col(c) for c in body]))
+    rows = df.select(*cell, F.col(order).alias("__o"), row.alias("__row"))
+    numbers = range(1, depth + 1)
+
+    if depth == 1:
+        place = F.when(F.col("__row").isNotNull(), F.col("__o"))
+        table = rows.groupBy(*cell).agg(
+            F.max_by("__row", place).alias("__last1"), F.min_by("__row", place).alias("__first1")
         )
+    else:
+        def edge(direction: Column, tag: str) -> DataFrame:
+            """The outermost known rows; each task trims its groups before the shuffle."""
+            w = Window.partitionBy(*cell).orderBy(direction)
+            ranked = rows.where(F.col("__row").isNotNull()).withColumn("__r", F.row_number().over(w))
+            return ranked.where(F.col("__r") <= depth).groupBy(*cell).agg(
+                *[F.max(F.when(F.col("__r") == i, F.col("__row"))).alias(f"{tag}{i}") for i in numbers]
+            )
+
+        cells = rows.groupBy(*cell).agg(F.count("*").alias("__size"))
+        table = cells.join(edge(F.col("__o").desc(), "__last"), cell, "left")
+        table = table.join(edge(F.col("__o"), "__first"), cell, "left")
 
-    cells = df.groupBy(*cell).agg(F.count("*").alias("__size"))
-    table = cells.join(edge(True, "__last"), cell, "left").join(edge(False, "__first"), cell, "left")
     lent = []
-    for tag, ordering in (("__last", F.col(BUCKET)), ("__first", F.col(BUCKET).desc())):
-        earlier = Window.partitionBy(*by).orderBy(ordering).rowsBetween(Window.unboundedPreceding, -1)
+    for tag, direction in (("__last", F.col(BUCKET)), ("__first", F.col(BUCKET).desc())):
+        earlier = Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
         if depth == 2:
             table = table.withColumn(
                 f"{tag}2", F.coalesce(F.col(f"{tag}2"), F.last(f"{tag}1", ignorenulls=True).over(earlier))
             )
-        pair = F.when(F.col(f"{tag}1").isNotNull(), F.array(*[F.col(f"{tag}{i}") for i in range(1, depth + 1)]))
-        table = table.withColumn(f"{tag}p", pair)
+        held = F.when(F.col(f"{tag}1").isNotNull(), F.array(*[F.col(f"{tag}{i}") for i in numbers]))
+        table = table.withColumn(f"{tag}p", held)
         table = table.withColumn(f"{tag}c", F.last(f"{tag}p", ignorenulls=True).over(earlier))
         lent.append(F.coalesce(F.col(f"{tag}c"), F.array().cast(table.schema[f"{tag}p"].dataType)))
     guests = (
@@ -120,4 +133,4 @@ def with_guests(df: DataFrame, order: str, by: Sequence[str], known: Column, dep
         .where(F.col("__row").isNotNull())
         .select(*cell, *[F.col("__row")[c].alias(c) for c in body], F.lit(True).alias("__guest"))
     )
-    return df.withColumn("__guest", F.lit(False)).unionByName(guests)
+    return df.withColumn("__guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
