@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scalar import stable_bucket, weekday, words
-from tallyframe.plans.fitting import fit_by
+from tallyframe.plans.fitting import fit_by, join_stats
 
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "count": F.count,
@@ -73,11 +73,16 @@ def group_stats(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def rows_of_extreme(df: DataFrame, by: str, column: str, row_id: str, largest: bool = True) -> DataFrame:
-    """The full row with the extreme value in each group; the lowest id wins a tie."""
-    key = -F.col(column) if largest else F.col(column)
+    """The full row with the extreme value in each group; the lowest id wins a tie.
+
+    The extreme values are found first with a hash aggregate over two columns;
+    only rows that reach them are then compared whole.
+    """
     rows = df.where(F.col(by).isNotNull() & F.col(column).isNotNull())
-    best = F.min_by(F.struct(*df.columns), F.struct(key.alias("k"), F.col(row_id).alias("i")))
-    return rows.groupBy(by).agg(best.alias("__row")).select("__row.*")
+    extremes = rows.groupBy(by).agg((F.max if largest else F.min)(column).alias("__extreme"))
+    top = join_stats(rows, extremes, [by]).where(F.col(column) == F.col("__extreme"))
+    best = F.min_by(F.struct(*df.columns), F.col(row_id))
+    return top.groupBy(by).agg(best.alias("__row")).select("__row.*")
 
 
 def pick_per_group(df: DataFrame, by: str, column: str, row_id: str, keep: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.aggregate import mode
 from tallyframe.plans.fitting import fit
-from tallyframe.plans.sizing import checkpointed
+from tallyframe.plans.sizing import BROADCAST_ROWS, checkpointed, small_table
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,16 +74,18 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -
 
     def paired(frame: DataFrame, side: int) -> DataFrame:
         """One row per mask pair it takes part in, with the shared values, widest column first."""
-        entries = [
-            F.when(
-                F.col("__mask") == F.lit(pair[side]),
-                F.struct(F.lit(i).alias("__pair"), F.array(*[F.col(c) for c in pair[2]]).alias("__shared")),
-            )
-            for i, pair in enumerate(pairs)
-        ]
-        return frame.select("*", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        table = small_table(
+            df.sparkSession,
+            [(pair[side], i, [columns.index(c) for c in pair[2]]) for i, pair in enumerate(pairs)],
+            "__mask int, __pair int, __order array<int>",
+        )
+        known = F.array(*[F.col(c) for c in columns])
+        joined = frame.join(F.broadcast(table) if len(pairs) <= BROADCAST_ROWS else table, "__mask")
+        return joined.withColumn("__shared", F.transform("__order", lambda i: F.get(known, i))).drop("__order")
 
     open_rows = rows.where(F.col("__mask") != full)
+    # Rows with the same known values have the same neighbours: each point is searched once.
+    points = open_rows.groupBy("__mask", *columns).agg(F.min("__id").alias("__id"))
     found: list[DataFrame] = []
     if pairs:
         # Donors that share a point tie for every recipient of their pair, so the
@@ -99,7 +101,7 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -
         reach = max(spans.values()) or 1.0
         width = _first_width(donors, [[spans[c] for c in pair[2]] for pair in pairs], sum(masks.values()), k)
         missing = F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(columns)])
-        left = open_rows.select("*", F.explode(F.filter(missing, lambda i: i.isNotNull())).alias("__target"))
+        left = points.select("*", F.explode(F.filter(missing, lambda i: i.isNotNull())).alias("__target"))
         while True:
             last = width >= reach
             near = _nearest(paired(left, 0), donors, columns, width, k, bounded=not last)
@@ -120,7 +122,14 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -
         wide = values.groupBy("__id").agg(
             *[F.max(F.when(F.col("__target") == i, F.col("__value"))).alias(f"__new{i}") for i in range(d)]
         )
-        filled = open_rows.join(wide, "__id", "left").withColumns(
+        answers = points.join(wide, "__id", "left").select(
+            F.col("__mask").alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)],
+            *[f"__new{i}" for i in range(d)],
+        )
+        same = F.col("__mask") == F.col("__m")
+        for i, c in enumerate(columns):
+            same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+        filled = open_rows.join(answers, same, "left").withColumns(
             {c: F.coalesce(F.col(c), F.col(f"__new{i}")) for i, c in enumerate(columns)}
         )
     done = rows.where(F.col("__mask") == full)

@@ -67,7 +67,8 @@ def fit_by(
         return found.select(*by, *[F.col(f"`{n}`") for n in exprs], *picks.values())
     starts = interval_exprs(quantiles)
     plain, bounded = hold_small(df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | starts).items()]))
-    return plain.drop(*starts).join(refined_quantiles(df, by, quantiles, plain, bounded), list(by), "left")
+    refined = refined_quantiles(df, by, quantiles, plain, bounded)  # at most one row per group of plain
+    return plain.drop(*starts).join(F.broadcast(refined) if bounded else refined, list(by), "left")
 
 
 def join_stats(

@@ -95,16 +95,29 @@ def with_guests(
     by = list(by)
     cell = [*by, BUCKET]
     body = list(dict.fromkeys([order, *carry]))
-    row = F.when(known, F.struct(*[F.col(c) for c in body]))
-    rows = df.select(*cell, F.col(order).alias("__o"), row.alias("__row"))
     numbers = range(1, depth + 1)
 
     if depth == 1:
-        place = F.when(F.col("__row").isNotNull(), F.col("__o"))
-        table = rows.groupBy(*cell).agg(
-            F.max_by("__row", place).alias("__last1"), F.min_by("__row", place).alias("__first1")
+        # Column by column, so that the aggregate hashes fixed-width buffers instead of sorting.
+        place = F.when(known, F.col(order))
+        picks = {"__last1": F.max_by, "__first1": F.min_by}
+        outer = df.groupBy(*cell).agg(
+            *[f(c, place).alias(f"{tag}_{i}") for tag, f in picks.items() for i, c in enumerate(body)]
+        )
+        table = outer.select(
+            *cell,
+            *[
+                F.when(
+                    F.col(f"{tag}_0").isNotNull(),
+                    F.struct(*[F.col(f"{tag}_{i}").alias(c) for i, c in enumerate(body)]),
+                ).alias(tag)
+                for tag in picks
+            ],
         )
     else:
+        row = F.when(known, F.struct(*[F.col(c) for c in body]))
+        rows = df.select(*cell, F.col(order).alias("__o"), row.alias("__row"))
+
         def edge(direction: Column, tag: str) -> DataFrame:
             """The outermost known rows; each task trims its groups before the shuffle."""
             w = Window.partitionBy(*cell).orderBy(direction)
