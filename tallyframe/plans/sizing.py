@@ -35,6 +35,10 @@ def small_table(spark: SparkSession, rows: Iterable, schema: T.StructType | str)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     records = [r.asDict(recursive=True) if isinstance(r, Row) else dict(zip(schema.names, r)) for r in rows]
+    # Zoned times arrive as local time without a zone; Arrow would read that as UTC.
+    zoned = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
+    for record in records:
+        record.update({c: record[c].astimezone() for c in zoned if record[c] is not None})
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
 
 

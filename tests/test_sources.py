@@ -95,3 +95,13 @@ def test_strict_times(spark):
     assert got == [dt.datetime(2020, 2, 3, 4, 5, 6), dt.datetime(2020, 2, 3), None]
     with pytest.raises(Exception, match="not a time"):
         clean.parse_timestamp_strict(spark.createDataFrame([("soon",)], "t string"), "t").collect()
+
+
+def test_held_statistics_keep_zoned_times(spark):
+    from tallyframe.plans.sizing import hold_small
+
+    df = spark.sql("SELECT timestamp'2024-03-01 12:30:00' AS t, timestamp_ntz'2024-03-01 12:30:00' AS n, date'2024-03-01' AS d")
+    held, bounded = hold_small(df)
+    assert bounded and held.schema == df.schema
+    assert held.join(df, ["t", "n", "d"]).count() == 1
+    assert hold_small(spark.range(5).toDF("k"), 4)[1] is False
