@@ -12,6 +12,8 @@ from tallyframe.plans.ordering import with_position
 #: Up to this many rows per group Spark limits groups before the shuffle itself.
 GROUP_LIMIT = 1_000
 SALTS = 64
+#: Up to this position a bounded heap per task finds a row; beyond it rows are numbered.
+HEAP_ROWS = 10_000
 
 
 # --- filters ---------------------------------------------------------------
@@ -50,9 +52,11 @@ def filter_outside_bounds(df: DataFrame, column: str, lower: float, upper: float
 
 def row_at(df: DataFrame, order: str, n: int) -> DataFrame:
     """The n-th row (from 0) in ``order``; -1 is the last."""
-    if n < 0:
+    if -HEAP_ROWS <= n < 0:
         return df.orderBy(F.col(order).desc()).offset(-n - 1).limit(1)
-    return df.orderBy(order).offset(n).limit(1)
+    if 0 <= n <= HEAP_ROWS:
+        return df.orderBy(order).offset(n).limit(1)
+    return rows_at(df, order, [n if n >= 0 else df.count() + n])
 
 
 def rows_at(df: DataFrame, order: str, positions: Sequence[int], buckets: int | None = None) -> DataFrame:
@@ -73,6 +77,9 @@ def slice_inclusive(df: DataFrame, index: str, first, last) -> DataFrame:
 
 def slice_half_open(df: DataFrame, order: str, start: int, stop: int) -> DataFrame:
     """Positions ``start`` (kept) to ``stop`` (not kept) in ``order``."""
+    if stop > HEAP_ROWS:
+        numbered = with_position(df, order)
+        return numbered.where(F.col("position").between(start, stop - 1)).drop("position")
     rows = df.orderBy(order)
     return (rows.offset(start) if start else rows).limit(stop - start)
 

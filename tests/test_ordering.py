@@ -32,6 +32,16 @@ def test_rows_at_and_slices(spark):
     assert [r["id"] for r in select.slice_half_open(df, "id", 2, 5).collect()] == pdf["id"].iloc[2:5].tolist()
 
 
+def test_far_positions(spark, monkeypatch):
+    monkeypatch.setattr(select, "HEAP_ROWS", 10)
+    pdf, df = table(spark)
+    assert select.row_at(df, "id", 300).first()["id"] == pdf["id"].iloc[300]
+    assert select.row_at(df, "id", -300).first()["id"] == pdf["id"].iloc[-300]
+    assert select.row_at(df, "id", 5).first()["id"] == pdf["id"].iloc[5]
+    got = {r["id"] for r in select.slice_half_open(df, "id", 50, 90).collect()}
+    assert got == set(pdf["id"].iloc[50:90])
+
+
 @pytest.mark.parametrize("buckets", [1, 12])
 @pytest.mark.parametrize("groups", [1, 3])
 @pytest.mark.parametrize("share", [0.4, 0.97])  # long null runs leave whole buckets empty
