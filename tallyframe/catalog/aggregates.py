@@ -102,8 +102,8 @@ def _(t):
 
 @query("describe_refined", "A11 A12", _describe_sql(_DESCRIBED, "lineitem"))
 def _(t):
-    """The same through the bracket search that large inputs take."""
-    return rounded(agg.describe(t.lineitem, _DESCRIBED, small=False), 4)
+    """The same columns under the inventory entry of the quartiles."""
+    return rounded(agg.describe(t.lineitem, _DESCRIBED), 4)
 
 
 @query(
@@ -139,7 +139,7 @@ def _(t):
          round(unnest(quantile_cont(l_extendedprice, [0.0, 0.05, 0.25, 0.5, 0.999, 1.0])), 6) AS value FROM lineitem""",
 )
 def _(t):
-    return rounded(agg.quantile(t.lineitem, "l_extendedprice", [0.0, 0.05, 0.25, 0.5, 0.999, 1.0], small=False), 6)
+    return rounded(agg.quantile(t.lineitem, "l_extendedprice", [0.0, 0.05, 0.25, 0.5, 0.999, 1.0]), 6)
 
 
 @query("quantile_sketch", "A12")
@@ -274,4 +274,4 @@ def _(t):
     _BOX.format(k="event_type,", c="value", s="events", g="GROUP BY event_type", j="JOIN b USING (event_type)", share="*"),
 )
 def _(t):
-    return rounded(agg.boxplot_stats(t.events, "value", ["event_type"], small=False), 6)
+    return rounded(agg.boxplot_stats(t.events, "value", ["event_type"]), 6)

@@ -80,9 +80,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def quantile(df: DataFrame, column: str, probs: Sequence[float], small: bool | None = None) -> DataFrame:
+def quantile(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles, one row per probability."""
-    found = fit(df, quantiles={f"q{i}": (column, p) for i, p in enumerate(probs)}, small=small)
+    found = fit(df, quantiles={f"q{i}": (column, p) for i, p in enumerate(probs)})
     rows = [(float(p), found[f"q{i}"]) for i, p in enumerate(probs)]
     return small_table(df.sparkSession, rows, "p double, value double")
 
@@ -96,8 +96,8 @@ def quantile_sketch(df: DataFrame, column: str, probs: Sequence[float], accuracy
     return df.agg(pairs.alias("z")).select(F.inline("z").alias("p", "value"))
 
 
-def median(df: DataFrame, column: str, small: bool | None = None) -> DataFrame:
-    found = fit(df, quantiles={"median": (column, 0.5)}, small=small)
+def median(df: DataFrame, column: str) -> DataFrame:
+    found = fit(df, quantiles={"median": (column, 0.5)})
     return small_table(df.sparkSession, [(found["median"],)], "median double")
 
 
@@ -157,13 +157,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 _QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, small: bool | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max of numeric columns, one row each."""
     columns = list(columns or columns_by_kind(df, "numeric"))
     plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     exprs = {f"{c}|{n}": f(_q(c)) for c in columns for n, f in plain.items()}
     quartiles = {f"{c}|{n}": (c, p) for c in columns for n, p in _QUARTILES}
-    row = fit(df.select(*[_q(c) for c in columns]), exprs, quartiles, small)
+    row = fit(df.select(*[_q(c) for c in columns]), exprs, quartiles)
     names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     rows = [
         (c, row[f"{c}|count"], *[None if row[f"{c}|{n}"] is None else float(row[f"{c}|{n}"]) for n in names[1:]])
@@ -173,11 +173,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, small: bool |
     return small_table(df.sparkSession, rows, schema)
 
 
-def describe_times(df: DataFrame, columns: Sequence[str] | None = None, small: bool | None = None) -> DataFrame:
+def describe_times(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, min, quartiles and max of time columns, as times."""
     columns = list(columns or columns_by_kind(df, "time"))
     micros = df.select(*[key_value(df, c).alias(c) for c in columns])
-    numbers = describe(micros, columns, small).drop("std")
+    numbers = describe(micros, columns).drop("std")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     back = {
         c: F.timestamp_add("MICROSECOND", F.round(F.col(c)).cast("long"), epoch)
@@ -273,7 +273,7 @@ def density_curve(df: DataFrame, column: str, points: int = 200, fine_bins: int
 # --- box plot --------------------------------------------------------------
 
 def boxplot_stats(
-    df: DataFrame, column: str, by: Sequence[str] = (), share_of: str = "rows", small: bool | None = None
+    df: DataFrame, column: str, by: Sequence[str] = (), share_of: str = "rows"
 ) -> DataFrame:
     """Quartiles, bounds, whiskers and outliers, per group if ``by`` is given.
 
@@ -288,10 +288,10 @@ def boxplot_stats(
     quartiles = {"q1": (column, 0.25), "median": (column, 0.5), "q3": (column, 0.75)}
     needed = df.select(*by, column)
     if by:
-        stats = fit_by(needed, by, exprs, quartiles, small)
+        stats = fit_by(needed, by, exprs, quartiles)
         linked = join_stats(needed, stats, by)
     else:
-        s = fit(needed, exprs, quartiles, small)
+        s = fit(needed, exprs, quartiles)
         linked = needed.withColumns({k: F.lit(v).cast("long" if k in counts else "double") for k, v in s.items()})
     iqr = F.col("q3") - F.col("q1")
     lower, upper = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr

@@ -18,8 +18,8 @@ def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(s[c])) for c in columns})
 
 
-def fill_median(df: DataFrame, columns: Sequence[str], small: bool | None = None) -> DataFrame:
-    s = fit(df.select(*columns), quantiles={c: (c, 0.5) for c in columns}, small=small)
+def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    s = fit(df.select(*columns), quantiles={c: (c, 0.5) for c in columns})
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(s[c])) for c in columns})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans.fitting import join_stats
 from tallyframe.plans.ordering import BUCKET, place_rows, with_buckets, with_guests
-from tallyframe.plans.sizing import checkpointed, is_small
+from tallyframe.plans.sizing import checkpointed
 
 
 def with_previous(
@@ -141,8 +141,7 @@ def value_ranks(counted: DataFrame, column: str, weight: str, buckets: int | Non
 
     Ranks start at 1 and tied rows share the mean of their places.
     """
-    if not is_small(counted):  # read several times below
-        counted = checkpointed(counted)
+    counted = checkpointed(counted)  # read several times below
     rows, n = with_buckets(counted, column, buckets)
     upto = F.sum(weight).over(Window.partitionBy(BUCKET).orderBy(column))
     if n > 1:

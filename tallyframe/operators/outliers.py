@@ -24,35 +24,35 @@ def _bounds() -> dict[str, Column]:
     }
 
 
-def fit_bounds(df: DataFrame, column: str, small: bool | None = None) -> tuple[float, float]:
+def fit_bounds(df: DataFrame, column: str) -> tuple[float, float]:
     """The lower and upper outlier bound as numbers."""
-    s = fit(df.select(column), quantiles={n: (column, p) for n, p in _QUARTILES}, small=small)
+    s = fit(df.select(column), quantiles={n: (column, p) for n, p in _QUARTILES})
     if s["q1"] is None:
         return float("-inf"), float("inf")
     reach = 1.5 * (s["q3"] - s["q1"])
     return s["q1"] - reach, s["q3"] + reach
 
 
-def iqr_bounds(df: DataFrame, column: str, by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+def iqr_bounds(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, quartile range and outlier bounds, per group if ``by``."""
     needed, wanted = df.select(*by, column), {n: (column, p) for n, p in _QUARTILES}
     if by:
-        stats = fit_by(needed, by, {"n": F.count("*")}, wanted, small).drop("n")
+        stats = fit_by(needed, by, {"n": F.count("*")}, wanted).drop("n")
     else:
-        s = fit(needed, quantiles=wanted, small=small)
+        s = fit(needed, quantiles=wanted)
         stats = small_table(df.sparkSession, [(s["q1"], s["q3"])], "q1 double, q3 double")
     return stats.withColumns(_bounds())
 
 
-def outlier_summary(df: DataFrame, column: str, by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+def outlier_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Outlier count, percent of the non-null rows, bounds and extreme outliers."""
     c, by = F.col(column), list(by)
     if by:
         df = df.na.drop(subset=by)
-        stats = iqr_bounds(df, column, by, small).select(*by, "lower_bound", "upper_bound")
+        stats = iqr_bounds(df, column, by).select(*by, "lower_bound", "upper_bound")
         linked = join_stats(df.select(*by, column), stats, by)
     else:
-        low, high = fit_bounds(df, column, small)
+        low, high = fit_bounds(df, column)
         linked = df.select(column).withColumns({"lower_bound": F.lit(low), "upper_bound": F.lit(high)})
     out = F.when((c < F.col("lower_bound")) | (c > F.col("upper_bound")), c)
     counted = linked.groupBy(*by, "lower_bound", "upper_bound").agg(

@@ -43,10 +43,10 @@ def scale_minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _affine(df, {c: (s[f"{c}|lo"], s[f"{c}|w"]) for c in columns})
 
 
-def scale_robust(df: DataFrame, columns: Sequence[str], small: bool | None = None) -> DataFrame:
+def scale_robust(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median 0 and quartile range 1, from exact quartiles."""
     wanted = {f"{c}|{n}": (c, p) for c in columns for n, p in (("m", 0.5), ("q1", 0.25), ("q3", 0.75))}
-    s = fit(df.select(*columns), quantiles=wanted, small=small)
+    s = fit(df.select(*columns), quantiles=wanted)
     width = {c: None if s[f"{c}|q1"] is None else s[f"{c}|q3"] - s[f"{c}|q1"] for c in columns}
     return _affine(df, {c: (s[f"{c}|m"], width[c]) for c in columns})
 

@@ -7,68 +7,31 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.plans.quantiles import Quantiles, interval_exprs, refined_quantiles
-from tallyframe.plans.sizing import BROADCAST_ROWS, hold_small, is_small, small_table
+from tallyframe.plans.quantiles import Quantiles, refined_quantiles
+from tallyframe.plans.sizing import BROADCAST_ROWS, hold_small
 
-#: Up to this many estimated input bytes the built-in percentile is the quicker one.
-PERCENTILE_BYTES = 512 * 1024
 
-
-def _percentiles(quantiles: Quantiles) -> tuple[dict[str, Column], dict[str, Column]]:
-    """One percentile aggregate per column, and how each name reads from it."""
-    probs: dict[str, list[float]] = {}
-    for c, p in quantiles.values():
-        probs.setdefault(c, []).append(p)
-    at = {c: f"__percentiles_{i}" for i, c in enumerate(probs)}
-    arrays = {
-        at[c]: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in ps])) for c, ps in probs.items()
-    }
-    return arrays, {name: F.col(at[c])[probs[c].index(p)].alias(name) for name, (c, p) in quantiles.items()}
-
-
-def fit(
-    df: DataFrame,
-    exprs: Mapping[str, Column] | None = None,
-    quantiles: Quantiles | None = None,
-    small: bool | None = None,
-) -> dict:
+def fit(df: DataFrame, exprs: Mapping[str, Column] | None = None, quantiles: Quantiles | None = None) -> dict:
     """One row of table-level statistics as a dict.
 
     ``quantiles`` maps a result name to ``(column, p)``; the values are exact
-    and interpolate linearly.  On inputs whose size is known to be tiny the
-    built-in percentile shares the aggregate; otherwise the counting search in
-    :mod:`tallyframe.plans.quantiles` finds the same numbers in bounded memory.
+    and interpolate linearly (see :mod:`tallyframe.plans.quantiles`).
     """
     exprs, quantiles = dict(exprs or {}), dict(quantiles or {})
-    if not quantiles or (is_small(df, PERCENTILE_BYTES) if small is None else small):
-        arrays, picks = _percentiles(quantiles)
-        found = df.agg(*[e.alias(name) for name, e in (exprs | arrays).items()])
-        return found.select(*[F.col(f"`{name}`") for name in exprs], *picks.values()).first().asDict()
-    starts = interval_exprs(quantiles)
-    base = df.agg(*[e.alias(name) for name, e in (exprs | starts).items()])
-    row = base.first().asDict()
-    started = small_table(df.sparkSession, [[row[k] for k in starts]], base.select(*starts).schema)
-    return {k: row[k] for k in exprs} | refined_quantiles(df, [], quantiles, started, True).first().asDict()
+    found = df.agg(*[e.alias(name) for name, e in exprs.items()]).first().asDict() if exprs else {}
+    return found | (refined_quantiles(df, [], quantiles).first().asDict() if quantiles else {})
 
 
-def fit_by(
-    df: DataFrame,
-    by: Sequence[str],
-    exprs: Mapping[str, Column],
-    quantiles: Quantiles | None = None,
-    small: bool | None = None,
-) -> DataFrame:
+def fit_by(df: DataFrame, by: Sequence[str], exprs: Mapping[str, Column], quantiles: Quantiles | None = None) -> DataFrame:
     """One row of statistics per group; rows with a null key are left out."""
     exprs, quantiles = dict(exprs), dict(quantiles or {})
     df = df.na.drop(subset=list(by))
-    if not quantiles or (is_small(df, PERCENTILE_BYTES) if small is None else small):
-        arrays, picks = _percentiles(quantiles)
-        found = df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | arrays).items()])
-        return found.select(*by, *[F.col(f"`{n}`") for n in exprs], *picks.values())
-    starts = interval_exprs(quantiles)
-    plain, bounded = hold_small(df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs | starts).items()]))
-    refined = refined_quantiles(df, by, quantiles, plain, bounded)  # at most one row per group of plain
-    return plain.drop(*starts).join(F.broadcast(refined) if bounded else refined, list(by), "left")
+    plain = df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs or {"__rows": F.count("*")}).items()])
+    if not quantiles:
+        return plain
+    plain, bounded = hold_small(plain)
+    refined = refined_quantiles(df, by, quantiles)  # at most one row per group of plain
+    return plain.drop("__rows").join(F.broadcast(refined) if bounded else refined, list(by), "left")
 
 
 def join_stats(

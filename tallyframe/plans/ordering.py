@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.plans.fitting import join_stats
-from tallyframe.plans.sizing import is_small
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 BUCKET = "__bucket"
 
 
@@ -39,9 +37,7 @@ def key_value(df: DataFrame, column: str) -> Column:
 def bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets is not None:
         return max(1, buckets)
-    if is_small(df):
-        return 1
-    return max(1, min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_BUCKET)))
+    return max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
 
 
 def with_buckets(df: DataFrame, order: str, buckets: int | None = None) -> tuple[DataFrame, int]:
@@ -68,7 +64,7 @@ def place_rows(
     if n == 1:
         return cut.withColumn(name, local.cast("long")), n
     sizes = cut.groupBy(*by, BUCKET).agg(F.count("*").alias("__size"))
-    # One row per (group, bucket): at most MAX_BUCKETS rows in a group.
+    # One row per (group, bucket), a millionth of the rows.
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, BUCKET, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     out = join_stats(cut, offsets, [*by, BUCKET]).withColumn(name, (local + F.col("__offset")).cast("long"))

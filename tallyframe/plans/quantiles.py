@@ -1,19 +1,20 @@
 """Exact interpolated quantiles without holding a column in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one hash
-map, on each task and again in the final one.  Here instead each wanted rank is
-searched by counting:
+map, on each task and again in the final one.  Here each wanted rank is
+searched by counting instead.  A double is read as the 64-bit integer that has
+the same order, and rows are counted by the leading bits of that integer:
 
-1. count, minimum and maximum of each column give one interval per group;
-2. one scan counts the rows of an interval in equal-width buckets, and only the
-   buckets that hold a wanted rank become the next intervals.  This repeats
-   until an interval holds few rows or a single value;
-3. the distinct values of the remaining intervals are counted and ranked.
+1. the first scan counts every (group, column) by its first 20 bits;
+2. only the prefixes that hold a wanted rank go on, each scan with 12 more
+   bits, until a prefix holds few rows or a single value.  There are at most
+   four such scans, whatever the values are, infinities and NaN included;
+3. the distinct values of the remaining prefixes are counted and ranked.
 
 Every step is a count that combines before its shuffle, so a value that fills a
-third of the table moves as one row per task, and no task orders more than
-``FEW_ROWS`` values.  All columns travel in one long frame keyed by (group,
-column), which makes the grouped and the ungrouped form the same plan.
+third of the table moves as one row per task.  All columns travel in one long
+frame keyed by (group, column), which makes the grouped and the ungrouped form
+the same plan.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.plans.sizing import checkpointed, hold_small
+from tallyframe.plans.sizing import hold_small
 
+#: A prefix with at most so many rows is ranked by its distinct values.
 FEW_ROWS = 100_000
-BUCKETS = 4_096
-#: Ends the search on infinite values, whose intervals cannot be halved.
-MAX_ROUNDS = 100
+#: Bits that are left out of the prefix, scan by scan.
+SHIFTS = (44, 32, 20, 8, 0)
 
 Quantiles = Mapping[str, tuple[str, float]]
 
@@ -42,87 +43,82 @@ def _place(p: float) -> str:
     return f"({float(p)!r}D * (__n - 1))"
 
 
-def interval_exprs(quantiles: Quantiles) -> dict[str, Column]:
-    """The aggregates that start a search, to be joined to any other aggregate."""
-    out = {}
-    for i, c in enumerate(quantile_columns(quantiles)):
-        v = F.col(c).cast("double")
-        out |= {f"__n_{i}": F.count(v), f"__lo_{i}": F.min(v), f"__hi_{i}": F.max(v)}
-    return out
+def ordered_bits(v: Column) -> Column:
+    """The double as a 64-bit integer of the same order; NaN is the greatest, both zeros are 0.
 
+    These are the bits of the number's size: exponent, then fraction.  Powers
+    of two and products with them are exact, so no bit is lost.
+    """
+    size = F.abs(v)
+    guess = F.floor(F.log2(size))
+    low, high = size < F.pow(F.lit(2.0), guess), size >= F.pow(F.lit(2.0), guess + 1)
+    power = guess - low.cast("long") + high.cast("long")
+    # Two factors, because 2 ** -power alone can be out of range.
+    half = F.floor(power / 2)
+    fraction = (size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) - 1) * F.lit(2.0**52)
+    normal = F.shiftleft((power + 1023).cast("long"), 52) + fraction.cast("long")
+    bits = (
+        F.when(size == 0, 0)
+        .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
+        .when(size == F.lit(float("inf")), 2047 * 2**52)
+        .otherwise(normal)
+    )
+    return F.when(F.isnan(v), F.lit(2**63 - 1)).when(v < 0, -bits).otherwise(bits)
 
-def refined_quantiles(
-    df: DataFrame, by: Sequence[str], quantiles: Quantiles, started: DataFrame, bounded: bool,
-    few_rows: int = FEW_ROWS,
-) -> DataFrame:
-    """Columns ``by`` plus one exact quantile per name.
 
-    ``started`` holds the columns of :func:`interval_exprs`, one row per group;
-    ``bounded`` tells that it is a local relation.
-    """
+def refined_quantiles(df: DataFrame, by: Sequence[str], quantiles: Quantiles, few_rows: int = FEW_ROWS) -> DataFrame:
+    """Columns ``by`` plus one exact quantile per name, for the groups that have any value."""
     columns = quantile_columns(quantiles)
     probs = sorted({p for _, p in quantiles.values()})
     keys = [*by, "__c"]
-
-    starts = [
-        F.struct(
-            F.lit(i).alias("__c"), F.col(f"__n_{i}").alias("__n"), F.col(f"__lo_{i}").alias("__lo"),
-            F.col(f"__hi_{i}").alias("__hi"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    ranks = F.expr(f"array_distinct(array({', '.join(f'floor({_place(p)}), ceil({_place(p)})' for p in probs)}))")
-    found = started.select(*by, F.inline(F.array(*starts))).where(F.col("__n") > 0)
-    found = found.select(
-        *keys, "__n", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.col("__n").alias("__m"),
-        ranks.alias("__ranks"),
-    )
     value = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
-    long = df.select(*by, F.inline(F.array(*value)))
-
-    def rows_inside(intervals: DataFrame, bounded: bool) -> DataFrame:
-        side = F.broadcast(intervals) if bounded else intervals
-        return long.join(side, keys).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-
-    intervals = found
+    long = df.select(*by, F.inline(F.array(*value))).where(F.col("__v").isNotNull()).withColumn("__k", ordered_bits(F.col("__v")))
+    ranks = F.expr(f"array_distinct(array({', '.join(f'floor({_place(p)}), ceil({_place(p)})' for p in probs)}))")
+    held = F.exists("__ranks", lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m")))
+    sizes = [F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+
+    def inside(prefixes: DataFrame, bounded: bool, shift: int) -> DataFrame:
+        """The rows of the prefixes; beyond a known number of prefixes, equal rows are counted before they move."""
+        rows = long.groupBy(*keys, "__v", "__k").agg(F.count("*").alias("__w")) if not bounded else long.withColumn("__w", F.lit(1))
+        side = prefixes.select(*keys, "__n", "__ranks", F.col("__before").alias("__from"), "__prefix")
+        return rows.withColumn("__prefix", F.shiftright("__k", shift)).join(F.broadcast(side) if bounded else side, [*keys, "__prefix"])
+
+    first = long.groupBy(*keys, F.shiftright("__k", SHIFTS[0]).alias("__prefix")).agg(*sizes)
+    group = Window.partitionBy(*keys)
+    upto = F.sum("__m").over(group.orderBy("__prefix"))
+    counted = first.select("*", F.sum("__m").over(group).alias("__n"), (upto - F.col("__m")).alias("__before")).withColumn("__ranks", ranks)
+    prefixes, bounded = hold_small(counted.where(held))
     wide = (F.col("__m") > few_rows) & (F.col("__lo") < F.col("__hi"))
-    for _ in range(MAX_ROUNDS):
-        if intervals.where(wide).isEmpty():
+    at = SHIFTS[0]
+    for shift in SHIFTS[1:]:
+        if prefixes.where(wide).isEmpty():
             break
-        step = (F.col("__hi") - F.col("__lo")) / F.lit(BUCKETS)
-        bucket = F.when(
-            wide, F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(BUCKETS - 1))
-        ).otherwise(F.lit(0))
-        same = [*keys, "__n", "__before", "__ranks"]
-        counted = (
-            rows_inside(intervals, bounded)
-            .groupBy(*same, bucket.alias("__b"))
-            .agg(F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        )
-        upto = F.sum("__m").over(Window.partitionBy(*keys, "__before").orderBy("__b"))
-        start = F.col("__before") + upto - F.col("__m")
-        held = F.exists("__ranks", lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m")))
-        narrowed = counted.withColumn("__before", start).where(held).select(*intervals.columns)
-        intervals, bounded = hold_small(narrowed)
-        if not bounded:
-            intervals = checkpointed(narrowed)
-
-    distinct = (
-        rows_inside(intervals, bounded)
-        .groupBy(*keys, "__n", "__before", "__v")
-        .agg(F.count("*").alias("__m"))
-    )
-    run = F.sum("__m").over(Window.partitionBy(*keys, "__before").orderBy("__v"))
-    ranked = distinct.withColumn("__cum", F.col("__before") + run).withColumn("__prev", F.col("__cum") - F.col("__m"))
+        same = [*keys, "__n", "__ranks", "__from"]
+        finer = inside(prefixes, bounded, at).groupBy(*same, F.shiftright("__k", shift).alias("__prefix")).agg(
+            F.sum("__w").alias("__m"), *sizes[1:])
+        run = F.sum("__m").over(Window.partitionBy(*keys, "__from").orderBy("__prefix"))
+        finer = finer.withColumn("__before", F.col("__from") + run - F.col("__m")).drop("__from").where(held)
+        prefixes, bounded = hold_small(finer)
+        at = shift
+
+    alone = prefixes.where("__lo <=> __hi").select(*keys, "__n", F.col("__before").alias("__from"), F.col("__lo").alias("__v"), "__m")
+    several = prefixes.where("NOT (__lo <=> __hi)")
+    ranked = alone
+    if not bounded or not several.isEmpty():
+        ranked = alone.unionByName(
+            inside(several, bounded, at).groupBy(*keys, "__n", "__from", "__v").agg(F.sum("__w").alias("__m")))
+    run = F.sum("__m").over(Window.partitionBy(*keys, "__from").orderBy("__v"))
+    ranked = ranked.withColumn("__cum", F.col("__from") + run).withColumn("__prev", F.col("__cum") - F.col("__m"))
 
     def pick(c: str, p: float) -> Column:
-        def at(rank: str) -> str:
+        def at_rank(rank: str) -> str:
             hit = f"__c = {columns.index(c)} AND __prev <= {rank} AND __cum > {rank}"
             return f"max(CASE WHEN {hit} THEN __v END)"
 
-        low, high = at(f"floor({_place(p)})"), at(f"ceil({_place(p)})")
+        low, high = at_rank(f"floor({_place(p)})"), at_rank(f"ceil({_place(p)})")
         part = f"max(CASE WHEN __c = {columns.index(c)} THEN {_place(p)} - floor({_place(p)}) END)"
-        return F.expr(f"{low} + ({high} - {low}) * {part}")
+        # Equal neighbours need no line between them, which infinite ones do not have.
+        return F.expr(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * {part} END")
 
     picks = [pick(c, p).alias(name) for name, (c, p) in quantiles.items()]
     return ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)

@@ -1,4 +1,4 @@
-"""Size checks that decide between a bounded short path and the general path."""
+"""Small tables that are known to be small, and stage tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -11,25 +11,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Below this many estimated input bytes one task may hold every distinct value.
-SMALL_BYTES = 64 * 1024 * 1024
 #: At most this many fitted group rows are held by the driver and broadcast.
 BROADCAST_ROWS = 10_000
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for ``df``; no job runs.  None when unknown."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except AttributeError:  # a remote session exposes no plan statistics
-        return None
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= (SMALL_BYTES if limit is None else limit)
-
-
 def small_table(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> DataFrame:
     """A few driver-held rows as a local relation, whose size Catalyst knows."""
     if isinstance(schema, str):
@@ -43,13 +28,13 @@ def small_table(spark: SparkSession, rows: Iterable, schema: T.StructType | str)
 
 
 def hold_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` as a local relation if it has at most ``limit`` rows, else unchanged.
+    """``df`` as a local relation if it has at most ``limit`` rows, else as a stage table.
 
     One job reads up to ``limit + 1`` rows; ending earlier proves the bound.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        return df, False
+        return checkpointed(df), False
     return small_table(df.sparkSession, rows, df.schema), True
 
 
@@ -60,8 +45,10 @@ def _base_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    # Only reached where the session names no shared folder, as in local tests.
-    return tempfile.mkdtemp(prefix="tallyframe-")
+    master = spark.conf.get("spark.master", "")
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="tallyframe-")  # driver and executors are one process
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.plans import fitting, quantiles
+from tallyframe.plans.sizing import checkpointed
 
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
 WANTED = {f"q{i}": ("v", p) for i, p in enumerate(PROBS)}
@@ -20,20 +21,29 @@ def samples():
         "hot_value": hot,
         "cluster": np.where(rng.random(5000) < 0.5, 1 + rng.random(5000) * 1e-9, rng.random(5000) * 1e9),
         "negative": -np.exp(rng.normal(0, 4, 5000)),
+        "powers": 10.0 ** np.linspace(-300, 300, 5000),
+        "tiny": np.concatenate([rng.random(2500) * 1e-310, -rng.random(2500) * 1e-310]),
+        "infinite": np.concatenate([np.full(10, -np.inf), rng.normal(size=4980), np.full(10, np.inf)]),
         "constant": np.full(500, 2.5),
         "one": np.array([4.0]),
         "two": np.array([4.0, 9.0]),
     }
 
 
+def between(ordered, p):
+    """Linear interpolation; equal neighbours, infinite ones too, need none."""
+    at = p * (len(ordered) - 1)
+    low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+    return low if low == high else low + (high - low) * (at - np.floor(at))
+
+
 @pytest.mark.parametrize("kind", list(samples()))
 def test_against_numpy(spark, monkeypatch, kind):
     values = samples()[kind]
-    monkeypatch.setattr(quantiles, "BUCKETS", 16)
     monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (50,))
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
-    got = fitting.fit(df, {"n": F.count("v")}, WANTED, small=False)
-    want = np.quantile(values, PROBS)
+    got = fitting.fit(df, {"n": F.count("v")}, WANTED)
+    want = [between(np.sort(values), p) for p in PROBS]
     assert got["n"] == len(values)
     assert [got[k] for k in WANTED] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
@@ -45,13 +55,13 @@ def test_groups_with_a_hot_group(spark, monkeypatch, held):
     pdf = pd.DataFrame({"g": group, "v": rng.normal(size=6000), "w": rng.integers(0, 9, 6000).astype(float)})
     pdf.loc[::17, "v"] = None
     if not held:  # as with more groups than the driver may hold
-        monkeypatch.setattr(quantiles, "hold_small", lambda df, limit=0: (df, False))
-        monkeypatch.setattr(fitting, "hold_small", lambda df, limit=0: (df, False))
+        monkeypatch.setattr(quantiles, "hold_small", lambda df, limit=0: (checkpointed(df), False))
+        monkeypatch.setattr(fitting, "hold_small", lambda df, limit=0: (checkpointed(df), False))
     monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (200,))
     df = spark.createDataFrame(pdf)
     df = df.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     wanted = {"v1": ("v", 0.25), "v2": ("v", 0.5), "w2": ("w", 0.5)}
-    got = fitting.fit_by(df, ["g"], {"n": F.count("*")}, wanted, small=False).toPandas().set_index("g").sort_index()
+    got = fitting.fit_by(df, ["g"], {"n": F.count("*")}, wanted).toPandas().set_index("g").sort_index()
     groups = pdf.groupby("g")
     assert got["n"].to_dict() == groups.size().to_dict()
     for name, (c, p) in wanted.items():
@@ -62,5 +72,41 @@ def test_all_null_and_empty(spark):
     empty = spark.createDataFrame([], "v double")
     nulls = spark.createDataFrame([(None,), (None,)], "v double")
     for df in (empty, nulls):
-        for small in (True, False):
-            assert fitting.fit(df, quantiles=WANTED, small=small) == dict.fromkeys(WANTED)
+        assert fitting.fit(df, quantiles=WANTED) == dict.fromkeys(WANTED)
+
+
+def test_bits_keep_the_order_and_tell_all_doubles_apart(spark):
+    rng = np.random.default_rng(5)
+    some = rng.integers(-(2**63), 2**63 - 1, 4000, dtype=np.int64).view(np.float64)
+    edge = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, np.nextafter(1, 0), np.nextafter(2, 0), 2.0, 1.7976931348623157e308, np.inf]
+    values = np.unique(np.concatenate([some[~np.isnan(some)], edge, [-e for e in edge]]))
+    rows = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", quantiles.ordered_bits(F.col("v")).alias("k")).toPandas()
+    rows = rows.sort_values("v", kind="stable")
+    own = np.abs(rows["v"].to_numpy()).view(np.int64)
+    assert (rows["k"].to_numpy() == np.where(rows["v"] < 0, -own, own)).all()
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(quantiles.ordered_bits(F.col("v"))).first()[0]
+    assert nan > own.max()
+
+
+def test_number_of_scans_is_bounded(spark, monkeypatch):
+    scans = []
+    real = quantiles.hold_small
+    monkeypatch.setattr(quantiles, "hold_small", lambda df: scans.append(1) or real(df))
+    monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (0,))
+    values = np.concatenate([10.0 ** np.linspace(-300, 300, 3000), 1 + np.arange(1000) * 2.0**-52, [np.inf, np.nan]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(3)
+    assert np.isnan(fitting.fit(df, quantiles={"top": ("v", 1.0)})["top"])
+    got = fitting.fit(df, quantiles={"mid": ("v", 0.5), "low": ("v", 0.0)})
+    ordered = np.sort(values)  # NaN last
+    assert got["low"] == ordered[0]
+    assert got["mid"] == pytest.approx(ordered[2000:2002].mean() if len(values) % 2 == 0 else ordered[len(values) // 2], rel=1e-15)
+    assert len(scans) <= 2 * len(quantiles.SHIFTS)
+
+
+def test_many_groups(spark, monkeypatch):
+    df = spark.range(60_000).select((F.col("id") % 20_001).alias("g"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
+    df = df.union(spark.range(20_000).select(F.lit(5).cast("long"), F.lit(3.0)))  # one hot group
+    got = fitting.fit_by(df, ["g"], {"n": F.count("*")}, {"m": ("v", 0.5)})
+    want = df.groupBy("g").agg(F.percentile("v", 0.5).alias("w"))
+    assert got.join(want, "g").where("m <> w").count() == 0
+    assert got.count() == 20_001
