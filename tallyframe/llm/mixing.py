@@ -23,7 +23,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 20_240
 #: Words of the budget that the dynamic program sees, and rows of one picking window.
-PROGRAM_WORDS = 1 << 16
+PROGRAM_WORDS = 1 << 14
 PICK_ROWS = 4_096
 
 
@@ -67,9 +67,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that the words come nearest to ``budget`` from below.
 
-    Every length first gives its even share, rounded down.  Then lengths from
-    the longest on give more while the budget lasts, but the last words, at most
-    PROGRAM_WORDS, are left to an exact bounded knapsack over what remains.
+    Every length first gives its even share, rounded down, of all but the last
+    PROGRAM_WORDS of the budget.  Then lengths from the longest on give more
+    until twice as many words are left, which an exact bounded knapsack over the
+    remaining documents, short ones among them, fills.
     """
     order = np.argsort(-lengths)
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -81,12 +82,20 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     if budget >= whole:
         out[order] = np.where(live, have, 0)
         return out
-    pick = np.array([int(h) * budget // whole if s else 0 for s, h in zip(size.tolist(), have.tolist())], dtype=np.int64)
+    even = max(0, budget - PROGRAM_WORDS)
+    pick = np.array([int(h) * even // whole if s else 0 for s, h in zip(size.tolist(), have.tolist())], dtype=np.int64)
+    reserve = 0
+    for i in np.flatnonzero(live)[::-1]:  # short documents stay free, so that the program can fill small gaps
+        back = min(int(pick[i]), max(1, PROGRAM_WORDS // (8 * int(size[i]))))
+        pick[i] -= back
+        reserve += back * int(size[i])
+        if reserve >= PROGRAM_WORDS:
+            break
     left = budget - int((size * pick).sum())
     for i in np.flatnonzero(live):
-        if left <= PROGRAM_WORDS:
+        if left <= 2 * PROGRAM_WORDS:
             break
-        more = min(int(have[i] - pick[i]), (left - PROGRAM_WORDS) // int(size[i]))
+        more = min(int(have[i] - pick[i]), (left - 2 * PROGRAM_WORDS) // int(size[i]))
         pick[i] += more
         left -= more * int(size[i])
     pick += knapsack(size, have - pick, left)

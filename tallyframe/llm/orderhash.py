@@ -24,6 +24,8 @@ KMER = 8
 PICKED = 2
 ROUNDS = 64
 SEED = 3
+#: Low bits of a k-mer's hash that give way to its place while sorting.
+PLACE_BITS = 22
 #: K-mers of one block, and expected candidates of a round.
 BLOCK = 8_192
 CANDIDATES = 12
@@ -58,10 +60,14 @@ def numbered_kmers(text: str, k: int = KMER) -> tuple[np.ndarray, np.ndarray]:
         if left:
             run = _mix(run[:-width] * np.uint64(0xD6E8FEB86659FD93) + run[width:])
             width *= 2
-    bits = np.uint64(len(hashes).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    order = np.sort(_mix(hashes) & ~low | np.arange(len(hashes), dtype=np.uint64))
-    kmer, place = order & ~low, (order & low).astype(np.int64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    mixed = _mix(hashes) & ~low  # the same bits at every length, so that equal k-mers meet
+    if len(mixed) <= 1 << PLACE_BITS:
+        order = np.sort(mixed | np.arange(len(mixed), dtype=np.uint64))
+        kmer, place = order & ~low, (order & low).astype(np.int64)
+    else:
+        place = np.argsort(mixed, kind="stable")
+        kmer = mixed[place]
     fresh = np.concatenate([[True], kmer[1:] != kmer[:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(kmer)), 0))
     return _mix(kmer + (np.arange(len(kmer)) - first).astype(np.uint64)), place

@@ -79,7 +79,7 @@ class Network:
 def pooled(net: Network, docs: list[np.ndarray], back: bool = False):
     """Rectified maxima [doc, width * FILTERS], and for training what led to them.
 
-    Empty words stand between texts, so that no filter sees two of them.
+    Empty words stand between texts and no filter starts at them, so that none sees two texts.
     """
     gap = max(WIDTHS) - 1
     lengths = np.array([len(d) + gap for d in docs])
@@ -88,12 +88,15 @@ def pooled(net: Network, docs: list[np.ndarray], back: bool = False):
     ids = np.concatenate([x for d in docs for x in (d, pad)] + [pad])
     vectors = net.embed[ids[:, 0]] + net.embed[ids[:, 1]]
     number = int(lengths.sum())
+    ends = starts + lengths
+    between = np.concatenate([ends - 1 - k for k in range(gap)])
     tops, spots = [], []
     for width, kernel, shift in zip(WIDTHS, net.filters, net.shift):
         seen = vectors[:number] @ kernel[0]
         for o in range(1, width):
             seen += vectors[o : o + number] @ kernel[o]
         seen += shift
+        seen[between] = -np.inf
         top = np.maximum.reduceat(seen, starts, axis=0)
         tops.append(top)
         if back:
@@ -252,8 +255,9 @@ def score(df: DataFrame, net: Network, name: str = "score", text_col: str = "tex
 def language_thresholds(scored: DataFrame, labels: DataFrame, key_col: str = "doc_id", steps: int = 1000) -> DataFrame:
     """(language, threshold): the cut of best F1 on all training labels of a language.
 
-    ``scored`` has key, language and score.  Of equally good cuts the one
-    nearest to 0.5 is taken; a language without both classes has no row.
+    ``scored`` has key, language and score.  Cuts start at 0.5: a language may
+    ask for more evidence, not for less.  Of equally good cuts the least is
+    taken; a language without both classes has no row.
     """
     known = scored.join(training_labels(labels, key_col), "key")
     cells = known.groupBy("language", F.floor(F.col("score") * steps).cast("int").alias("cell")).agg(
@@ -266,9 +270,9 @@ def language_thresholds(scored: DataFrame, labels: DataFrame, key_col: str = "do
     rated = cuts.select(
         "language", "cell", F.sum("bad").over(above).alias("hit"), F.sum("good").over(above).alias("wrong"),
         F.sum("bad").over(whole).alias("bad"), F.sum("good").over(whole).alias("good"),
-    ).where("bad > 0 and good > 0")
+    ).where(f"bad > 0 and good > 0 and cell >= {steps // 2}")
     f1 = F.round(2 * F.col("hit") / (F.col("bad") + F.col("hit") + F.col("wrong")), 9)
-    best = F.max(F.struct(f1, -F.abs(F.col("cell") - steps // 2), F.col("cell"))).alias("best")
+    best = F.max(F.struct(f1, -F.col("cell"), F.col("cell"))).alias("best")
     return rated.groupBy("language").agg(best).select("language", (F.col("best.cell") / steps).alias("threshold"))
 
 
