@@ -110,3 +110,17 @@ def test_many_groups(spark, monkeypatch):
     want = df.groupBy("g").agg(F.percentile("v", 0.5).alias("w"))
     assert got.join(want, "g").where("m <> w").count() == 0
     assert got.count() == 20_001
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_hot_key_is_dealt_out(spark, how):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).when(F.col("id") % 5 != 0, F.col("id") % 20_001).alias("g"), F.col("id").alias("v"))
+    stats = rows.na.drop().groupBy("g").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    joined = fitting.join_stats(rows, stats, ["g"], how, limit=100, hot_rows=1_000)
+    plain = rows.join(stats, "g", how)
+    assert joined.columns == plain.columns
+    total = lambda df: df.agg(F.count("*"), F.sum("v"), F.sum(F.col("s") % 1009), F.sum("n")).first()
+    assert total(joined) == total(plain)
+    spread = joined.groupBy("g", F.spark_partition_id().alias("p")).count().where("g = -1").collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 25_000
