@@ -13,6 +13,7 @@ are sent to the tasks are bounded (64/16 blocks of 65,536 counts) at any size.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -209,9 +210,11 @@ def links(prints: DataFrame, tau: int = TAU, parts: int = PARTS) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints in column ``fp`` that differ in 1..tau bits.
 
     ``prints`` holds each fingerprint once and should be a stored table; it is
-    read three times.  No bucket or candidate is dropped.
+    read three times.  No bucket or candidate is dropped.  Where it has a column
+    ``cluster`` (long), only pairs of different clusters are looked for.
     """
-    prints = prints.select("fp")
+    cluster = F.col("cluster") if "cluster" in prints.columns else F.col("fp")
+    prints = prints.select("fp", cluster.alias("cluster"))
     both, total = bit_pairs(prints)
     groups = group_bits(both, total, parts)
     blocks = blocks_of(groups)
@@ -220,33 +223,40 @@ def links(prints: DataFrame, tau: int = TAU, parts: int = PARTS) -> DataFrame:
     masks = [flips(len(g), tau) for g in groups]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = batch.column(0).to_numpy()
+        own, cluster = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         bits = _as_bits(own.view(np.uint64))
         costs = estimates(bits, groups, blocks, model.value, total, tau)
         for part, by_count in enumerate(masks):  # a probe costs about as much as a candidate
             costs[part] += np.cumsum([len(m) for m in by_count])[:, None]
         chosen = choose_thresholds(costs, tau)
-        keys, fps, asks = [], [], []
+        keys, fps, clusters, asks = [], [], [], []
         for part, group in enumerate(groups):
             base = np.int64(part) << 58
             values = part_values(bits, group)
-            keys.append(values | base), fps.append(own), asks.append(np.zeros(len(own), bool))
+            keys.append(values | base), fps.append(own), clusters.append(cluster), asks.append(np.zeros(len(own), bool))
             for d, mask in enumerate(masks[part]):
                 rows = np.flatnonzero(chosen[part] >= d)
                 keys.append((values[rows, None] ^ mask[None, :]).ravel() | base)
                 fps.append(np.repeat(own[rows], len(mask)))
+                clusters.append(np.repeat(cluster[rows], len(mask)))
                 asks.append(np.ones(len(rows) * len(mask), bool))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, fps, asks)], ["key", "fp", "ask"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, fps, clusters, asks)], ["key", "fp", "cluster", "ask"])
 
-    rows = checkpointed(map_batches(prints, work, "key long, fp long, ask boolean"))
-    index = rows.where("not ask").select("key", F.col("fp").alias("b"))
-    probes = rows.where("ask").select("key", F.col("fp").alias("a"))
+    rows = checkpointed(map_batches(prints, work, "key long, fp long, cluster long, ask boolean"))
+    index = rows.where("not ask").select("key", F.col("fp").alias("b"), F.col("cluster").alias("cb"))
+    probes = rows.where("ask").select("key", F.col("fp").alias("a"), F.col("cluster").alias("ca"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
-    return probes.join(index, "key").where((F.col("a") != F.col("b")) & near).select(
+    return probes.join(index, (probes["key"] == index["key"]) & (F.col("ca") != F.col("cb")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
 
 
+def with_cluster(prints: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """Add the root of each vertex as its cluster; a vertex without links is its own."""
+    named = roots.select(F.col("vertex").alias(key), F.col("root").alias("cluster"))
+    return checkpointed(prints.join(named, key, "left").withColumn("cluster", F.coalesce("cluster", key)))
+
+
 def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     tau: int = TAU, parts: int = PARTS) -> DataFrame:
     """(key, fp, component_id) per row: the least key among the rows that chains of links reach.
@@ -261,9 +271,16 @@ def near_duplicates(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
 
 
 def print_groups(rows: DataFrame, tau: int, parts: int) -> DataFrame:
-    """(fp, component_id) as a stored table, for rows of (key, fp)."""
+    """(fp, component_id) as a stored table, for rows of (key, fp).
+
+    Fingerprints one bit apart, at most 64 for each, are linked first.  Within
+    the clusters that they form no further pair is needed, so a dense group
+    costs few links and not its square.
+    """
     prints = checkpointed(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(prints, tau, parts)).withColumnRenamed("vertex", "fp")
+    single = checkpointed(links(prints, 1, 2))
+    clusters = with_cluster(prints, components(single), "fp")
+    roots = components(single.union(links(clusters, tau, parts))).withColumnRenamed("vertex", "fp")
     rooted = checkpointed(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return checkpointed(rooted.join(least, "root").select("fp", "component_id"))
@@ -320,21 +337,33 @@ def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id",
     narrow = map_batches(keyed, work, kind)
     printed = checkpointed(narrow.withColumn("text_id", F.xxhash64("w", "s")))
     texts = checkpointed(printed.groupBy("text_id").agg(F.first("w").alias("w"), F.first("s").alias("s")))
-    found = None
-    for turn in range(TURNS):
-        own = texts.select("text_id", F.col("w")[turn].alias("fp"))
-        leads = checkpointed(own.groupBy("fp").agg(F.min("text_id").alias("lead")))
-        near = links(leads, tau, parts)
-        a, b = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab")
-        pairs = near.join(a, "a").join(b, "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
-        led = own.join(leads, "fp").where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b"))
-        here = pairs.union(led)
-        found = here if found is None else found.union(here)
-    pairs = checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sides = [texts.select(F.col("text_id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab"]
     bits = sum((F.bit_count(F.col("s_a")[t].bitwiseXOR(F.col("s_b")[t])) for t in range(TURNS)), F.lit(0))
-    edges = pairs.join(sides[0], "a").join(sides[1], "b").where(bits <= SIMILAR_BITS).select("a", "b")
-    roots = checkpointed(components(edges)).withColumnRenamed("vertex", "text_id")
+
+    def verified(parts_found: list[DataFrame]) -> DataFrame:
+        every = reduce(DataFrame.union, parts_found)
+        pairs = checkpointed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return checkpointed(pairs.join(sides[0], "a").join(sides[1], "b").where(bits <= SIMILAR_BITS).select("a", "b"))
+
+    def of_leads(near: DataFrame, leads: DataFrame) -> DataFrame:
+        a, b = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab")
+        return near.join(a, "a").join(b, "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+
+    led, single = [], []
+    for turn in range(TURNS):  # texts of one word fingerprint, and those a bit apart
+        own = texts.select("text_id", F.col("w")[turn].alias("fp"))
+        leads = checkpointed(own.groupBy("fp").agg(F.min("text_id").alias("lead")))
+        led.append(leads)
+        single.append(own.join(leads, "fp").where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b")))
+        single.append(of_leads(links(leads, 1, 2), leads))
+    edges = verified(single)
+    # What these connect needs no further pair, so a dense group costs few pairs and not its square.
+    clusters = checkpointed(components(edges))
+    others = []
+    for leads in led:
+        placed = with_cluster(leads.select("fp", "lead"), clusters, "lead")
+        others.append(of_leads(links(placed, tau, parts), leads))
+    roots = checkpointed(components(edges.union(verified(others)))).withColumnRenamed("vertex", "text_id")
     placed = checkpointed(printed.select("row", "key", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")))
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row"))
     kept = checkpointed(placed.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")))
