@@ -142,9 +142,15 @@ def _(t):
     return rounded(agg.quantile(t.lineitem, "l_extendedprice", [0.0, 0.05, 0.25, 0.5, 0.999, 1.0]), 6)
 
 
-@query("quantile_sketch", "A12")
+@query("quantile_sketch", "A12", "SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p, true AS within")
 def _(t):
-    return agg.quantile_sketch(t.events, "value", [0.25, 0.5, 0.75])
+    """Whether the rank of each sketched value is within the sketch's bound."""
+    found = agg.quantile_sketch(t.events, "value", [0.25, 0.5, 0.75])
+    rows = [(r["p"], r["value"]) for r in found.collect()]
+    pairs = F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("q")) for p, v in rows]))
+    ranks = t.events.select("value", pairs).groupBy("p").agg(
+        F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"))
+    return ranks.select("p", ((F.col("below") - 1e-4 <= F.col("p")) & (F.col("p") <= F.col("upto") + 1e-4)).alias("within"))
 
 
 @query("median", "A13", "SELECT round(median(value), 6) AS median FROM events")

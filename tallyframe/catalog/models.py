@@ -31,6 +31,16 @@ def _(t):
     return model.coefficients(t.lineitem, _logistic(t))
 
 
+@query(
+    "logistic_slopes",
+    "L2 L3 L6",
+    f"SELECT unnest({['const', *_FEATURES]!r}) AS feature, 0.0::DOUBLE AS slope",
+)
+def _(t):
+    """The penalised loss is convex, so no slope proves the fit; computed over the training rows."""
+    return model.logistic_slopes(_logistic(t)).withColumn("slope", F.abs(F.round("slope", 6)))
+
+
 @query("logistic_confusion", "L2 L3 L5")
 def _(t):
     fitted = _logistic(t)

@@ -274,7 +274,12 @@ def _(t):
     return encode.one_hot_encode(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus").drop("o_orderstatus")
 
 
-@query("one_hot_vectors", "H2")
+@query(
+    "one_hot_vectors",
+    "H2",
+    """SELECT p_partkey, p_brand, '(' || (SELECT count(DISTINCT p_brand) FROM part) || ',[' || (dense_rank() OVER (ORDER BY p_brand) - 1)
+         || '],[1.0])' AS one_hot FROM part""",
+)
 def _(t):
     return encode.one_hot_vectors(t.part.select("p_partkey", "p_brand"), "p_brand").select(
         "p_partkey", "p_brand", F.col("one_hot").cast("string").alias("one_hot")

@@ -55,17 +55,18 @@ def conditional_sum(df: DataFrame, condition: Column, column: str) -> DataFrame:
 
 
 def row_of_max(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """The whole row with the largest value; the lowest id wins a tie."""
-    return _extreme(df, -F.col(column), column, row_id)
+    """The whole row with the largest value, of any type; the lowest id wins a tie."""
+    return _extreme(df, F.max, column, row_id)
 
 
 def row_of_min(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    return _extreme(df, F.col(column), column, row_id)
+    return _extreme(df, F.min, column, row_id)
 
 
-def _extreme(df: DataFrame, key: Column, column: str, row_id: str) -> DataFrame:
-    rank = F.when(F.col(column).isNotNull(), F.struct(key.alias("k"), F.col(row_id).alias("i")))
-    best = df.agg(F.min_by(F.struct(*[_q(c) for c in df.columns]), rank).alias("r"))
+def _extreme(df: DataFrame, pick, column: str, row_id: str) -> DataFrame:
+    top = fit(df, {"top": pick(_q(column))})["top"]
+    hit = _q(column) == F.lit(top) if top is not None else F.lit(False)
+    best = df.where(hit).agg(F.min_by(F.struct(*[_q(c) for c in df.columns]), _q(row_id)).alias("r"))
     return best.where(F.col("r").isNotNull()).select("r.*")
 
 
@@ -189,8 +190,12 @@ def describe_times(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def before_after(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """The same statistics before and after a treatment, tagged by ``stage``."""
-    tagged = [describe(d, [column]).withColumn("stage", F.lit(s)) for d, s in ((before, "before"), (after, "after"))]
-    return tagged[0].unionByName(tagged[1])
+    stages = ("before", "after")
+    both = [d.select(*[_q(column).cast("double").alias(t) if t == s else F.lit(None).cast("double").alias(t) for t in stages])
+            for d, s in zip((before, after), stages)]
+    described = describe(both[0].unionByName(both[1]), list(stages))  # one search over both
+    return described.withColumnRenamed("column", "stage").select(
+        F.lit(column).alias("column"), *[c for c in described.columns if c != "column"], "stage")
 
 
 # --- histogram and density -------------------------------------------------

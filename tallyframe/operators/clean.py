@@ -116,12 +116,15 @@ def update_statuses(
 ) -> DataFrame:
     """Batch form: ``updates`` has one row (id, status) per changed id.
 
-    A status outside ``allowed`` raises when the table is computed.
+    A status outside ``allowed``, or two updates of one id, raise when the table is computed.
     """
     new = F.col("__status")
-    checked = updates.select(
+    status = F.col("__status")
+    one = updates.groupBy(id_column).agg(F.max(status_column).alias("__status"), F.count("*").alias("__n"))
+    checked = one.select(
         id_column,
-        F.when(F.col(status_column).isin(*allowed), F.col(status_column))
+        F.when(F.col("__n") > 1, F.raise_error(F.lit("two updates of one id")).cast("string"))
+        .when(status.isin(*allowed), status)
         .otherwise(F.raise_error(F.lit("unknown status")).cast("string"))
         .alias("__status"),
     )

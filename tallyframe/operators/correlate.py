@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from tallyframe.operators.ordered import value_ranks
 from tallyframe.plans.fitting import fit
 from tallyframe.plans.sizing import checkpointed, small_table
 
+#: Counting functions travel with the task, so that workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METHODS = ("pearson", "spearman", "kendall")
 #: A Kendall counting task gets about this many distinct pairs.
 KENDALL_ROWS = 500_000
@@ -32,8 +37,8 @@ def corr_pair(df: DataFrame, x: str, y: str, method: str = "pearson") -> float |
 
 
 def corr_lower_triangle(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
-    """(x, y, r) for the pairs below the diagonal; the default is 8 columns."""
-    columns = list(columns or columns_by_kind(df, "numeric")[:8])
+    """(x, y, r) for the pairs below the diagonal; the default is all numeric columns."""
+    columns = list(columns or columns_by_kind(df, "numeric"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
     if method == "pearson":  # every pair in one aggregate
         found = fit(df, {f"{a}|{b}": F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs})
@@ -45,7 +50,7 @@ def corr_lower_triangle(df: DataFrame, columns: Sequence[str] | None = None, met
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """(x, y, r) for every ordered pair; each pair is computed once."""
-    columns = list(columns or columns_by_kind(df, "numeric")[:8])
+    columns = list(columns or columns_by_kind(df, "numeric"))
     below = corr_lower_triangle(df, columns, method)
     above = below.select(F.col("y").alias("x"), F.col("x").alias("y"), "r")
     ones = small_table(df.sparkSession, [(c, c, 1.0) for c in columns], below.schema)

@@ -28,9 +28,7 @@ PARTS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def group_many(
-    df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Sequence[str]], small: bool | None = None
-) -> DataFrame:
+def group_many(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Sequence[str]]) -> DataFrame:
     """Several keys, columns and functions named by text; columns ``col_function``.
 
     Functions: count (non-null), mean, sum, min, max, median, std, var.  The
@@ -47,7 +45,7 @@ def group_many(
                 exprs[f"{column}_{name}"] = AGGREGATES[name](column)
             else:
                 raise ValueError(f"unknown aggregate {name!r}; choose from {[*AGGREGATES, 'median']}")
-    return fit_by(df.select(*dict.fromkeys([*by, *aggregates])), by, exprs, quantiles, small)
+    return fit_by(df.select(*dict.fromkeys([*by, *aggregates])), by, exprs, quantiles)
 
 
 def group_one(df: DataFrame, by: str, function: str, column: str | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,42 +41,95 @@ def split_train_test(df: DataFrame, key: str, train_tenths: int = 8) -> tuple[Da
 
 @dataclass
 class LogisticResult:
-    model: LogisticRegressionModel
+    coefficients: list[float]
+    intercept: float
     features: list[str]
+    train: DataFrame
     test: DataFrame
 
     def predict_labels(self, df: DataFrame) -> DataFrame:
-        """Rows with ``prediction`` 0 or 1."""
-        out = self.model.transform(assemble(df, self.features))
-        return out.drop("features", "rawPrediction", "probability").withColumn(
-            "prediction", F.col("prediction").cast("int")
-        )
+        """Rows with ``prediction`` 0 or 1; a row with a null feature has none."""
+        return df.withColumn("prediction", (_logit(self.features, [self.intercept, *self.coefficients]) > 0).cast("int"))
 
 
-def logistic_fit(df: DataFrame, target: str, features: Sequence[str], key: str) -> LogisticResult:
-    """Is the target above its median?  Features are mean-filled; L2 penalty with C = 1.
+def _logit(features: Sequence[str], weights: Sequence[float]) -> Column:
+    parts = [F.lit(float(w)) * F.col(f"`{c}`").cast("double") for c, w in zip(features, weights[1:])]
+    return sum(parts, F.lit(float(weights[0])))
+
+
+def logistic_sums(df: DataFrame, features: Sequence[str], label: str, weights: Sequence[float], curved: bool = True):
+    """Summed loss, its gradient and its second derivatives at the weights (intercept first), from one aggregate."""
+    z, y = _logit(features, weights), F.col(label).cast("double")
+    share = 1 / (1 + F.exp(-z))
+    x = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in features]]
+    exprs = {"loss": F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z)}
+    exprs |= {f"g{i}": F.sum((share - y) * v) for i, v in enumerate(x)}
+    if curved:
+        exprs |= {f"h{i},{j}": F.sum(share * (1 - share) * x[i] * x[j]) for i in range(len(x)) for j in range(i + 1)}
+    s = fit(df, exprs)
+    gradient = np.array([s[f"g{i}"] for i in range(len(x))])
+    if not curved:
+        return s["loss"], gradient, None
+    return s["loss"], gradient, np.array([[s[f"h{max(i, j)},{min(i, j)}"] for j in range(len(x))] for i in range(len(x))])
+
+
+def logistic_newton(df: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights of least summed loss plus ``penalty / 2`` times the squared weights, the intercept left out.
 
-    Spark averages the loss over rows, so C = 1 on the summed loss is a
-    penalty of one over the number of training rows.
+    Every Newton step is one aggregate of d * d sums; a step that does not
+    lower the loss is halved.
     """
+    ridge = np.array([0.0, *[penalty] * len(features)])
+    weights = np.zeros(len(ridge))
+    best, step = math.inf, np.zeros(len(ridge))
+    for _ in range(steps):
+        loss, gradient, curve = logistic_sums(df, features, label, weights)
+        total = loss + float((ridge * weights * weights).sum()) / 2
+        if not total <= best + 1e-9 * abs(best):
+            step = step / 2
+            weights = weights - step
+            continue
+        gradient = gradient + ridge * weights
+        # A constant feature leaves no curve besides the penalty; the pseudo-inverse takes the least step.
+        step = -np.linalg.pinv(curve + np.diag(ridge), rcond=1e-14, hermitian=True) @ gradient
+        if float(-gradient @ step) <= 1e-12 * max(1.0, abs(total)) or total == best:
+            return weights
+        best, weights = total, weights + step
+    return weights
+
+
+def logistic_fit(df: DataFrame, target: str, features: Sequence[str], key: str) -> LogisticResult:
+    """Is the target above its median?  Features are mean-filled; L2 penalty with C = 1 on the summed loss."""
     _check(df, target, features)
     middle = fit(df.select(F.col(target).cast("double").alias(target)), quantiles={"m": (target, 0.5)})["m"]
     ready = fill_mean(df, features).withColumn("label", indicator_above(F.col(target), middle))
     train, test = split_train_test(ready, key)
-    with cached_input(assemble(train, features).select("features", "label")) as held:
-        counts = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
-        if len(counts) < 2:
+    with cached_input(train.select("label", *features)) as held:
+        if held.select("label").distinct().limit(2).count() < 2:
             raise ValueError(f"no value of {target!r} lies on one side of its median: a single class")
-        fitted = LogisticRegression(
-            maxIter=1000, regParam=1.0 / sum(counts.values()), elasticNetParam=0.0, standardization=False
-        ).fit(held)
-    return LogisticResult(fitted, list(features), test)
+        intercept, *slopes = logistic_newton(held, features, "label").tolist()
+    return LogisticResult(slopes, intercept, list(features), train, test)
+
+
+def logistic_slopes(result: LogisticResult) -> DataFrame:
+    """Derivative of the penalised loss by each weight at the fitted ones, per row and mean size of the feature; 0 at the optimum."""
+    weights = [result.intercept, *result.coefficients]
+    _, gradient, _ = logistic_sums(result.train, result.features, "label", weights, curved=False)
+    scale = fit(result.train, {"n": F.count("*"), **{f"m{i}": F.avg(F.abs(f"`{c}`")) for i, c in enumerate(result.features)}})
+    sizes = [1.0, *[scale[f"m{i}"] or 1.0 for i in range(len(result.features))]]
+    pulled = gradient + np.array([0.0, *result.coefficients])
+    rows = [(c, float(g / scale["n"] / s)) for c, g, s in zip(["const", *result.features], pulled, sizes)]
+    return small_table(result.train.sparkSession, rows, "feature string, slope double")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, classes: Sequence) -> DataFrame:
     """Counts, one row per actual class and one column per predicted class."""
-    counts = [F.count(F.when(F.col(predicted) == c, 1)).alias(f"predicted_{c}") for c in classes]
-    return df.where(F.col(actual).isin(*classes)).groupBy(F.col(actual).alias("actual")).agg(*counts)
+    names = [f"predicted_{c}" for c in classes]
+    counts = [F.count(F.when(F.col(predicted) == c, 1)).alias(n) for c, n in zip(classes, names)]
+    met = df.where(F.col(actual).isin(*classes)).groupBy(F.col(actual).alias("actual")).agg(*counts)
+    kind = df.schema[actual].dataType.simpleString()
+    every = small_table(df.sparkSession, [(c,) for c in classes], f"actual {kind}")  # a class that never occurs has a row of zeros
+    return every.join(met, "actual", "left").select("actual", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -124,7 +176,7 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
 
 def coefficients(df: DataFrame, result: LogisticResult) -> DataFrame:
     """Feature and coefficient, largest first."""
-    rows = [(f, float(c)) for f, c in zip(result.features, result.model.coefficients)]
+    rows = [(f, float(c)) for f, c in zip(result.features, result.coefficients)]
     table = small_table(df.sparkSession, rows, "feature string, coefficient double")
     return table.orderBy(F.col("coefficient").desc())
 
@@ -233,10 +285,10 @@ def ols_summary(result: OlsResult, order: str | None = None, buckets: int | None
     n, p, ssr = moments["n"], len(result.names), moments["ssr"]
     k, freedom = p - 1, n - p
     tss = n * spread
-    r2 = 1 - ssr / tss
-    f = ((tss - ssr) / k) / (ssr / freedom)
-    log_lik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-    skew, kurt = moments["skew"], moments["kurtosis"]
+    r2 = 1 - ssr / tss if tss else math.nan
+    f = ((tss - ssr) / k) / (ssr / freedom) if ssr and k else math.inf
+    log_lik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr else math.inf
+    skew, kurt = (math.nan if moments[m] is None else moments[m] for m in ("skew", "kurtosis"))
     jarque_bera = n / 6 * (skew**2 + (kurt - 3) ** 2 / 4)
     omnibus = _normal_from_skew(skew, n) ** 2 + _normal_from_kurtosis(kurt, n) ** 2 if n >= 8 else math.nan
     grid = {(r["x"], r["y"]): r["s"] for r in gram_sums(result.filled, result.features).collect()}
@@ -248,7 +300,7 @@ def ols_summary(result: OlsResult, order: str | None = None, buckets: int | None
         "log_likelihood": log_lik, "aic": 2 * p - 2 * log_lik, "bic": p * math.log(n) - 2 * log_lik,
         "skew": skew, "kurtosis": kurt, "jarque_bera": jarque_bera,
         "jarque_bera_p_value": chi_square_2_upper(jarque_bera), "omnibus": omnibus,
-        "omnibus_p_value": chi_square_2_upper(omnibus), "condition_number": float(math.sqrt(eigen[-1] / eigen[0])),
+        "omnibus_p_value": chi_square_2_upper(omnibus), "condition_number": float(math.sqrt(eigen[-1] / eigen[0])) if eigen[0] > 0 else math.inf,
     }
     if moments["durbin_watson"] is not None:
         rows["durbin_watson"] = moments["durbin_watson"]

@@ -60,7 +60,15 @@ def row_at(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def rows_at(df: DataFrame, order: str, positions: Sequence[int], buckets: int | None = None) -> DataFrame:
-    """Rows at the given positions (from 0) in ``order``, anywhere in the table."""
+    """Rows at the given positions (from 0, or from the end if negative) in ``order``, anywhere in the table.
+
+    A position outside the table raises, as in a list.
+    """
+    number = df.count()
+    outside = [p for p in positions if not -number <= p < number]
+    if outside:
+        raise IndexError(f"positions {outside} are outside a table of {number} rows")
+    positions = [p % number for p in positions]
     numbered = with_position(df, order, buckets=buckets)
     return numbered.where(F.col("position").isin(*positions)).drop("position")
 
