@@ -38,7 +38,7 @@ def student_two_sided(t: float, freedom: float) -> float:
 
 
 def f_upper(f: float, above: float, below: float) -> float:
-    return beta_share(below / 2, above / 2, below / (below + above * f))
+    return 0.0 if math.isinf(f) else beta_share(below / 2, above / 2, below / (below + above * f))
 
 
 def student_quantile(p: float, freedom: float) -> float:

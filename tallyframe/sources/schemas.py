@@ -79,5 +79,3 @@ ORDERS = T.StructType(
         T.StructField("status", _TEXT),
     ]
 )
-
-ORDER_STATUSES = ("Finalizata", "Anulata", "In curs")

@@ -13,11 +13,14 @@ from tallyframe.operators import (
 from tallyframe.sources import schemas
 
 
+STATUSES = ("open", "packed", "void")
+
+
 @pytest.fixture(scope="module")
 def orders(spark):
     rows = [
-        (1, "a", ["x", "y"], 20, "Finalizata"), (15, "b", ["z"], 90, "Anulata"), (23, "c", [], 90, "In curs"),
-        (88, "d", ["q"], 70, "Finalizata"),
+        (4, "n1", ["p", "q"], 12, "packed"), (6, "n2", ["r"], 55, "void"), (11, "n3", [], 55, "open"),
+        (30, "n4", ["s"], 41, "packed"),
     ]
     return spark.createDataFrame(rows, schemas.ORDERS)
 
@@ -33,40 +36,65 @@ def column(df, name="v"):
 # --- orders ----------------------------------------------------------------
 
 def test_order_reports(orders):
-    finished = F.col("status") == "Finalizata"
-    assert aggregate.conditional_sum(orders, finished, "total").first()[0] == 90
+    finished = F.col("status") == "packed"
+    assert aggregate.conditional_sum(orders, finished, "total").first()[0] == 53
     assert aggregate.conditional_sum(orders, F.col("status") == "?", "total").first()[0] == 0
-    assert aggregate.maximum(orders, "total", floor=0).first()[0] == 90
+    assert aggregate.maximum(orders, "total", floor=0).first()[0] == 55
     assert aggregate.maximum(orders.where("false"), "total", floor=0).first()[0] == 0
-    assert aggregate.row_of_max(orders, "total", "id").first()["id"] == 15  # first of the tie
-    assert aggregate.row_of_min(orders, "total", "id").first()["items"] == ["x", "y"]
-    assert [r["id"] for r in select.sort_desc(orders, "total", "id").collect()] == [15, 23, 88, 1]
+    assert aggregate.row_of_max(orders, "total", "id").first()["id"] == 6  # first of the tie
+    assert aggregate.row_of_min(orders, "total", "id").first()["items"] == ["p", "q"]
+    assert [r["id"] for r in select.sort_desc(orders, "total", "id").collect()] == [6, 11, 30, 4]
 
 
 def test_status_updates(spark, orders):
-    allowed = schemas.ORDER_STATUSES
-    updated, row = clean.update_status_by_id(orders, 23, "Anulata", allowed)
-    assert row.first()["status"] == "Anulata" and updated.where("status = 'Anulata'").count() == 2
-    assert clean.update_status_by_id(orders, 999, "Anulata", allowed)[1].count() == 0
+    updated, row = clean.update_status_by_id(orders, 11, "void", STATUSES)
+    assert row.first()["status"] == "void" and updated.where("status = 'void'").count() == 2
+    assert clean.update_status_by_id(orders, 999, "void", STATUSES)[1].count() == 0
     with pytest.raises(ValueError):
-        clean.update_status_by_id(orders, 23, "lost", allowed)
-    batch = spark.createDataFrame([(1, "In curs"), (88, "Anulata")], "id int, status string")
-    got = {r["id"]: r["status"] for r in clean.update_statuses(orders, batch, allowed).collect()}
-    assert got == {1: "In curs", 15: "Anulata", 23: "In curs", 88: "Anulata"}
-    bad = spark.createDataFrame([(1, "lost")], "id int, status string")
-    with pytest.raises(Exception, match="unknown status"):
-        clean.update_statuses(orders, bad, allowed).collect()
+        clean.update_status_by_id(orders, 11, "lost", STATUSES)
+    batch = spark.createDataFrame([(4, "open"), (30, "void")], "id int, status string")
+    got = {r["id"]: r["status"] for r in clean.update_statuses(orders, batch, STATUSES).collect()}
+    assert got == {4: "open", 6: "void", 11: "open", 30: "void"}
+    for rows, message in (([(4, "lost")], "unknown status"), ([(4, "open"), (4, "void")], "two updates")):
+        with pytest.raises(Exception, match=message):
+            clean.update_statuses(orders, spark.createDataFrame(rows, "id int, status string"), STATUSES).collect()
 
 
 def test_append_order(orders):
-    longer, row = clean.append_order(orders, [5, "e", ["k"], 1, "In curs"])
-    assert longer.count() == 5 and row.first()["items"] == ["k"]
+    longer, row = clean.append_order(orders, [5, "n5", ["t"], 1, "open"])
+    assert longer.count() == 5 and row.first()["items"] == ["t"]
     with pytest.raises(ValueError):
-        clean.append_order(orders, [5, "e"])
+        clean.append_order(orders, [5, "n5"])
     with pytest.raises(TypeError):
         clean.append_order(orders, "5")
 
 
+def test_extremes_of_any_type(spark, orders):
+    assert aggregate.row_of_max(orders, "status", "id").first()["id"] == 6
+    assert aggregate.row_of_min(orders, "customer", "id").first()["id"] == 4
+    timed = orders.withColumn("at", F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(id % 11)"))
+    assert aggregate.row_of_max(timed, "at", "id").first()["id"] == 30
+    assert aggregate.row_of_max(orders.where("false"), "status", "id").count() == 0
+
+
+def test_positions_from_both_ends(orders):
+    assert sorted(r["id"] for r in select.rows_at(orders, "id", [-1, 0]).collect()) == [4, 30]
+    with pytest.raises(IndexError):
+        select.rows_at(orders, "id", [4])
+
+
+def test_confusion_has_a_row_for_every_class(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "a int, p int")
+    got = {tuple(r) for r in model.confusion_matrix(rows, "a", "p", [0, 1]).collect()}
+    assert got == {(0, 1, 2), (1, 0, 0)}
+
+
+def test_nothing_to_cluster(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(20)], "id int, a double, b double")
+    with pytest.raises(ValueError, match="nothing to cluster"):
+        cluster.cluster_assign(same, ["a", "b"], k_max=3)
+
+
 # --- aggregates ------------------------------------------------------------
 
 def test_nothing_to_aggregate(spark):
