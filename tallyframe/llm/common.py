@@ -31,11 +31,13 @@ by_value(__name__)
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker and is shared by its tasks."""
+    """An object that the tasks of a Python worker share; a worker holds one, so a later stage frees what an earlier one kept."""
     holder = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.held = None, None
+        holder.held = make()
+        holder.name = name
+    return holder.held
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

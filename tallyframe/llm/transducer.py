@@ -150,7 +150,7 @@ class TokenCounter(dict):
     """Number of tokens of each pre-token, by the second transducer."""
 
     limit = 400_000
-    states_limit = 400_000
+    states_limit = 200_000
 
     def __init__(self, tokens: list[bytes], merges: list[tuple[bytes, bytes]], special: list[str], newer: dict[int, int]):
         super().__init__()
