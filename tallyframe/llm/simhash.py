@@ -13,7 +13,6 @@ are sent to the tasks are bounded (64/16 blocks of 65,536 counts) at any size.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -288,11 +287,23 @@ def print_groups(rows: DataFrame, tau: int, parts: int) -> DataFrame:
 
 # One document of each group -----------------------------------------------------------------------
 
-#: Fingerprints per text over its distinct words, and as many over its distinct shingles.
-TURNS = 4
 SHINGLE = 5
-#: Shingle sets of Jaccard similarity 0.8 have cosine 8/9, so their fingerprints differ in acos(8/9)/pi of the bits.
-SIMILAR_BITS = round(64 * TURNS * float(np.arccos(8 / 9)) / float(np.pi)) + 1
+#: Texts of similarity 0.8 share one of the band keys with probability 1 - (1 - 0.8 ** BAND_ROWS) ** BANDS = 0.9998.
+BANDS = 28
+BAND_ROWS = 6
+#: SimHash fingerprints of the distinct shingles.
+TURNS = 4
+#: Shingle sets of Jaccard similarity 0.8 have cosine 8/9, so a bit differs with chance acos(8/9)/pi: mean 39 bits of 256.
+_TURN = float(np.arccos(8 / 9)) / float(np.pi)
+#: Mean and six standard deviations; from FILTER_FROM shingles on, pairs beyond are not compared further.
+LOOSE_BITS = round(64 * TURNS * _TURN + 6 * (64 * TURNS * _TURN * (1 - _TURN)) ** 0.5)
+FILTER_FROM = 100
+#: Rounds that compare each text with one leader before all open pairs are compared.
+ROUNDS = 2
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 31, BANDS * BAND_ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
 
 
 def _turned(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -303,67 +314,135 @@ def _turned(hashes: np.ndarray, turn: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def wide_print(text: str | None) -> tuple[list[int], list[int]]:
-    """TURNS fingerprints of the distinct words and TURNS of the distinct shingles, as signed integers."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, sorted; none for a text without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return [0] * TURNS, [0] * TURNS
-    single = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], dtype=np.uint64)
-    runs = np.unique(shingle_hashes(words, SHINGLE))
-    return tuple([int(majority(_turned(h, t)).view(np.int64)) for t in range(TURNS)] for h in (single, runs))
+    return np.unique(shingle_hashes(words, SHINGLE)) if words else np.array([], np.uint64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, band]: a hash of BAND_ROWS min-hashes; sets must not be empty."""
+    out = np.empty((len(sets), BANDS), np.uint64)
+    done = 0
+    while done < len(sets):
+        size, stop = 0, done
+        while stop < len(sets) and (stop == done or size + len(sets[stop]) <= 200_000):
+            size += len(sets[stop])
+            stop += 1
+        some = sets[done:stop]
+        values = (np.concatenate(some) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0, *map(len, some[:-1])])
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for i in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+                least = np.minimum.reduceat(values * _FACTORS[i] + _SHIFTS[i], starts)
+                key = _turned(key ^ least.astype(np.uint64), 1)
+            out[done:stop, band] = key
+        done = stop
+    return out
 
 
-def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id", text_col: str = "text",
-                  tau: int = TAU, parts: int = PARTS) -> DataFrame:
-    """The rows of ``docs``, with only the row of least key of each group of near copies.
+def shingle_prints(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, key, text_id, n, s, bands) of (__row, __key, text): rows of one shingle set share the text_id.
 
-    Two texts are linked if one of their word fingerprints differs in at most
-    ``tau`` bits and their shingle fingerprints, over all turns, in no more bits
-    than sets of five-word shingles of similarity 0.8 do.  Texts that share a
-    word fingerprint are compared with the one that leads it.  Equal texts are
-    one group, null and empty texts too; a null key comes last in a group.
+    n counts the shingles, s are TURNS fingerprints of them, bands the keys of the bands.
     """
-    rows = with_row(docs, columns)
-    at = columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        both = [wide_print(t) for t in batch.column(at).to_pylist()]
-        lists = [pa.array([b[i] for b in both], pa.list_(pa.int64())) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in ("__row", "__key")], *lists], ["row", "key", "w", "s"])
-
-    keyed = rows.withColumn("__key", F.col(f"`{key_col}`")).select(*columns, "__row", "__key")
-    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key_col].dataType),
-                         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("w", "s")]])
-    narrow = map_batches(keyed, work, kind)
-    printed = checkpointed(narrow.withColumn("text_id", F.xxhash64("w", "s")))
-    texts = checkpointed(printed.groupBy("text_id").agg(F.first("w").alias("w"), F.first("s").alias("s")))
-    sides = [texts.select(F.col("text_id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab"]
-    bits = sum((F.bit_count(F.col("s_a")[t].bitwiseXOR(F.col("s_b")[t])) for t in range(TURNS)), F.lit(0))
-
-    def verified(parts_found: list[DataFrame]) -> DataFrame:
-        every = reduce(DataFrame.union, parts_found)
-        pairs = checkpointed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        return checkpointed(pairs.join(sides[0], "a").join(sides[1], "b").where(bits <= SIMILAR_BITS).select("a", "b"))
-
-    def of_leads(near: DataFrame, leads: DataFrame) -> DataFrame:
-        a, b = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab")
-        return near.join(a, "a").join(b, "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
-
-    led, single = [], []
-    for turn in range(TURNS):  # texts of one word fingerprint, and those a bit apart
-        own = texts.select("text_id", F.col("w")[turn].alias("fp"))
-        leads = checkpointed(own.groupBy("fp").agg(F.min("text_id").alias("lead")))
-        led.append(leads)
-        single.append(own.join(leads, "fp").where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b")))
-        single.append(of_leads(links(leads, 1, 2), leads))
-    edges = verified(single)
-    # What these connect needs no further pair, so a dense group costs few pairs and not its square.
-    clusters = checkpointed(components(edges))
-    others = []
-    for leads in led:
-        placed = with_cluster(leads.select("fp", "lead"), clusters, "lead")
-        others.append(of_leads(links(placed, tau, parts), leads))
-    roots = checkpointed(components(edges.union(verified(others)))).withColumnRenamed("vertex", "text_id")
+        names = batch.schema.names
+        sets = [shingle_set(t) for t in batch.column(names.index(text_col)).to_pylist()]
+        ids = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+        prints = [[int(majority(_turned(x, t)).view(np.int64)) for t in range(TURNS)] if len(x) else [0] * TURNS for x in sets]
+        full = np.flatnonzero([len(x) for x in sets])
+        keys = band_keys([sets[i] for i in full]).view(np.int64)
+        cuts = np.cumsum([0, *(BANDS * (len(x) > 0) for x in sets)])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(names.index("__row")), batch.column(names.index("__key")), pa.array(np.array(ids, np.uint64).view(np.int64)),
+             pa.array([len(x) for x in sets], pa.int64()), pa.array(prints, pa.list_(pa.int64())),
+             pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(keys.ravel()))],
+            ["row", "key", "text_id", "n", "s", "bands"])
+
+    many = T.ArrayType(T.LongType())
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", docs.schema["__key"].dataType),
+                         T.StructField("text_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", many), T.StructField("bands", many)])
+    return map_batches(docs, work, kind)
+
+
+def add_shingles(df: DataFrame, text_col: str) -> DataFrame:
+    """(text_id, shingles) of (text_id, text)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        sets = [shingle_set(t).view(np.int64) for t in batch.column(names.index(text_col)).to_pylist()]
+        cuts = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sets)))
+        return pa.RecordBatch.from_arrays([batch.column(names.index("text_id")), lists], ["text_id", "shingles"])
+
+    return map_batches(df, work, "text_id long, shingles array<long>")
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Sizes that allow similarity 0.8 and fingerprints within LOOSE_BITS, of the structs ``a`` and ``b`` with n and s."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    bits = sum((F.bit_count(F.col(f"{a}.s")[t].bitwiseXOR(F.col(f"{b}.s")[t])) for t in range(TURNS)), F.lit(0))
+    return (small * 5 >= large * 4) & ((small < FILTER_FROM) | (bits <= LOOSE_BITS))
+
+
+def similar_texts(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(vertex, root) of the texts that links of shingle similarity >= 0.8 reach.
+
+    ``cells`` is a stored table (text_id, n, s, band), ``sets`` one of (text_id,
+    shingles).  Rounds compare each text with one leader, so a dense group costs
+    few pairs.
+    """
+    sides = [sets.select(F.col("text_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        held = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        both = held.join(sides[0], "a").join(sides[1], "b")
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        return checkpointed(both.where(shared * 9 >= (F.size("of_a") + F.size("of_b")) * 4).select("a", "b"))
+
+    def place(roots: DataFrame | None) -> DataFrame:
+        """(band, x): x is the text with its cluster."""
+        cluster = F.col("text_id")
+        rows = cells
+        if roots is not None:
+            rows = cells.join(roots.withColumnRenamed("vertex", "text_id"), "text_id", "left")
+            cluster = F.coalesce("root", "text_id")
+        return checkpointed(rows.select("band", F.struct("text_id", "n", "s", cluster.alias("cluster")).alias("x")))
+
+    edges, roots = None, None
+    for turn in range(ROUNDS):
+        placed = place(roots)
+        leads = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("x.text_id", F.lit(turn)).alias("h"), "x")).alias("lead"))
+        met = placed.join(checkpointed(leads), "band").where(F.col("x.cluster") != F.col("lead.x.cluster"))
+        met = met.where(may_be_similar("x", "lead.x"))
+        chosen = met.groupBy("x.text_id").agg(F.min(F.struct("lead.h", F.col("lead.x.text_id").alias("b"))).alias("to"))
+        found = verified(chosen.select(F.col("text_id").alias("a"), F.col("to.b").alias("b")))
+        edges = found if edges is None else edges.union(found)
+        roots = checkpointed(components(edges))
+    return roots
+
+
+def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with only the row of least key of each group of near copies.
+
+    Two texts are linked if their sets of five-word shingles have Jaccard
+    similarity 0.8 or more, counted exactly for texts that share a band of
+    min-hashes.  Equal sets are one group, null and empty texts too; a null key
+    comes last in a group.
+    """
+    rows = with_row(docs, columns)
+    keyed = rows.withColumn("__key", F.col(f"`{key_col}`")).select(F.col(f"`{text_col}`"), "__row", "__key")
+    printed = checkpointed(shingle_prints(keyed, text_col))
+    texts = checkpointed(printed.groupBy("text_id").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("bands").alias("bands"), F.min("row").alias("__row")))
+    every = texts.select("text_id", "n", "s", F.explode("bands").alias("band"))
+    shared = checkpointed(every.groupBy("band").agg(F.count("*").alias("texts")).where("texts > 1").select("band"))
+    cells = checkpointed(every.join(shared, "band"))
+    met = texts.join(cells.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "__row")
+    sets = checkpointed(add_shingles(rows.select("__row", F.col(f"`{text_col}`")).join(met, "__row").select("text_id", F.col(f"`{text_col}`")), text_col))
+    roots = similar_texts(cells, sets).withColumnRenamed("vertex", "text_id")
     placed = checkpointed(printed.select("row", "key", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")))
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row"))
     kept = checkpointed(placed.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")))

@@ -328,6 +328,37 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.one_per_group(df, ["doc_id", "text"]).collect()) == [3, 5, 6, 8]
 
 
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def plain_firsts(rows):
+    """The least key of each group that links of similarity >= 0.8 form."""
+    sets = [plain_set(t) for _, t in rows]
+    roots = plain_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    return sorted({min(k for (k, _), other in zip(rows, roots) if other == r) for r in roots})
+
+
+def edited(rng, words, edits):
+    """The words with single words replaced at even distances; each takes five shingles."""
+    out = list(words)
+    for at in range(edits):
+        out[(at * len(words)) // edits + rng.randrange(3)] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_copies_of_least_similarity_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for pair in range(150):  # 5 to 7 replaced words of 300 take the similarity to 0.79 to 0.85
+        words = [f"w{rng.randrange(2000)}" for _ in range(300)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(edited(rng, words, 5 + pair % 3)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.one_per_group(df, ["doc_id", "text"]).collect())
+    assert got == plain_firsts(rows)
+
+
 # Token counts and pieces ------------------------------------------------------------------------
 
 STRANGE = ["", " ", "  ", "x'll 'll 're're don't 'tis it''s '", " <|endoftext|> a<|endoftext|><|endoftext|>b", "a" * 3000, " " * 60, "\x00a\x85 z\n\n", "ⅷ²3 日本語🙂", "?!' 's"]
