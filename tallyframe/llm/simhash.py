@@ -393,7 +393,7 @@ def similar_texts(cells: DataFrame, sets: DataFrame) -> DataFrame:
 
     ``cells`` is a stored table (text_id, n, s, band), ``sets`` one of (text_id,
     shingles).  Rounds compare each text with one leader, so a dense group costs
-    few pairs.
+    few pairs.  After them every pair of a band in different clusters is compared.
     """
     sides = [sets.select(F.col("text_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
 
@@ -422,7 +422,16 @@ def similar_texts(cells: DataFrame, sets: DataFrame) -> DataFrame:
         found = verified(chosen.select(F.col("text_id").alias("a"), F.col("to.b").alias("b")))
         edges = found if edges is None else edges.union(found)
         roots = checkpointed(components(edges))
-    return roots
+    # Of two texts of different clusters, one at least is outside the cluster that has most texts of their band.
+    placed = place(roots)
+    sizes = placed.groupBy("band", F.col("x.cluster").alias("cluster")).agg(F.count("*").alias("texts"))
+    main = checkpointed(sizes.groupBy("band").agg(F.max(F.struct("texts", "cluster"))["cluster"].alias("main"), F.count("*").alias("clusters")).where("clusters > 1"))
+    open_cells = checkpointed(placed.join(main, "band"))
+    outside = open_cells.where(F.col("x.cluster") != F.col("main")).select("band", F.col("x").alias("y"))
+    apart = F.col("x.cluster") != F.col("y.cluster")
+    left = open_cells.join(outside, (open_cells["band"] == outside["band"]) & apart & may_be_similar("x", "y"))
+    last = verified(left.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")))
+    return checkpointed(components(edges.union(last)))
 
 
 def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -359,6 +359,23 @@ def test_near_copies_of_least_similarity_are_found(spark):
     assert got == plain_firsts(rows)
 
 
+def test_near_copies_do_not_hang_on_one_leader(spark):
+    rng = random.Random(13)
+    rows = []
+    words = [f"w{i}" for i in range(200)]
+    for _ in range(30):  # all share their word set; only each two are near copies
+        rng.shuffle(words)
+        near = [*words[:100], words[101], words[100], *words[102:]]
+        rows += [" ".join(words), " ".join(near)]
+    for _ in range(3):  # many texts that are less similar than 0.8, some more
+        base = [f"v{rng.randrange(2000)}" for _ in range(300)]
+        rows += [" ".join(edited(rng, base, rng.randrange(2, 6))) for _ in range(40)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.one_per_group(df, ["doc_id", "text"]).collect())
+    assert got == plain_firsts(rows)
+
+
 # Token counts and pieces ------------------------------------------------------------------------
 
 STRANGE = ["", " ", "  ", "x'll 'll 're're don't 'tis it''s '", " <|endoftext|> a<|endoftext|><|endoftext|>b", "a" * 3000, " " * 60, "\x00a\x85 z\n\n", "ⅷ²3 日本語🙂", "?!' 's"]
