@@ -7,7 +7,6 @@ from tallyframe.operators import cluster
 from tallyframe.plans.sizing import small_table
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
-_PART = ["p_size", "p_retailprice"]
 # Centres in the units of (l_quantity, l_extendedprice / 1000).
 _CENTERS = [(10.0, 20.0), (25.0, 50.0), (40.0, 80.0)]
 
@@ -32,23 +31,23 @@ def _(t):
 
 @query("cluster_sweep", "Q2 Q3 Q4 Q5")
 def _(t):
-    return cluster.cluster_sweep(t.part, _PART, 6)[0]
+    return cluster.cluster_sweep(t.lineitem, _FEATURES)[0]
 
 
 @query("best_k_of_sweep", "Q2 Q6")
 def _(t):
-    return cluster.best_k(cluster.cluster_sweep(t.part, _PART, 5)[0])
+    return cluster.best_k(cluster.cluster_sweep(t.lineitem, _FEATURES)[0])
 
 
 @query("cluster_assign", "Q7 J5")
 def _(t):
-    return cluster.cluster_assign(t.part, _PART, 4)[0].select("p_partkey", "cluster")
+    return cluster.cluster_assign(t.lineitem, _FEATURES)[0].select("l_orderkey", "l_linenumber", "cluster")
 
 
 @query("cluster_centers", "Q10")
 def _(t):
-    _, model = cluster.cluster_assign(t.part, _PART, 3)
-    return cluster.cluster_centers(t.part, model, _PART)
+    _, model = cluster.cluster_assign(t.lineitem, _FEATURES)
+    return cluster.cluster_centers(t.lineitem, model, _FEATURES)
 
 
 def _points(t):

@@ -291,3 +291,12 @@ def test_ols_recovers_a_plane(spark):
     report = {r["name"]: r["value"] for r in model.ols_summary(fitted, "id", buckets=3).collect()}
     assert report["r2"] > 0.999 and report["f_p_value"] < 1e-12 and 0 < report["durbin_watson"] < 4
     assert {r["feature"] for r in model.ols_coefficients(fitted).collect()} == {"const", "a", "b"}
+
+
+def test_cluster_queries_try_all_k_on_lineitem(spark):
+    from tallyframe.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    assert sorted(r["k"] for r in QUERIES["cluster_sweep"](spark, folder).collect()) == list(range(2, 11))
+    labelled = QUERIES["cluster_assign"](spark, folder)
+    assert labelled.count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
