@@ -300,3 +300,9 @@ def test_cluster_queries_try_all_k_on_lineitem(spark):
     assert sorted(r["k"] for r in QUERIES["cluster_sweep"](spark, folder).collect()) == list(range(2, 11))
     labelled = QUERIES["cluster_assign"](spark, folder)
     assert labelled.count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
+def test_exact_silhouette_takes_more_than_20000_rows(spark):
+    df = spark.range(20_500).select((F.col("id") % 2 * 10 + F.col("id") % 10 / 10).alias("v"), (F.col("id") % 2).alias("label"))
+    exact = cluster.silhouette_exact(df, ["v"], "label").first()[0]
+    assert 0.9 < exact < 1
