@@ -6,6 +6,7 @@ from tallyframe.llm.mixing import op3_mixing
 from tallyframe.llm.orderhash import op10_order_minhash
 from tallyframe.llm.pieces import op9_pieces
 from tallyframe.llm.quality import op7_quality
+from tallyframe.llm.recompression import op11_recompression
 from tallyframe.llm.secret_spans import op4_secrets
 from tallyframe.llm.simhash import op5_simhash
 from tallyframe.llm.suffixtree import op2_suffix_tree
@@ -15,7 +16,7 @@ from tallyframe.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_suffix_tree, op3_mixing, op4_secrets, op5_simhash, op6_token_counts, op7_quality, op8_toxicity, op9_pieces,
-    op10_order_minhash,
+    op10_order_minhash, op11_recompression,
 )}
 #: The other operators train models, walk graphs or follow tokenizer files, which SQL cannot express.
 ORACLES = {"op1_warc": OP1_SQL}
