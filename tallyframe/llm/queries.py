@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.collocations import OP13_SQL, op13_setm
 from tallyframe.llm.mixing import op3_mixing
 from tallyframe.llm.orderhash import op10_order_minhash
 from tallyframe.llm.pieces import op9_pieces
@@ -16,7 +17,7 @@ from tallyframe.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_suffix_tree, op3_mixing, op4_secrets, op5_simhash, op6_token_counts, op7_quality, op8_toxicity, op9_pieces,
-    op10_order_minhash, op11_recompression,
+    op10_order_minhash, op11_recompression, op13_setm,
 )}
 #: The other operators train models, walk graphs or follow tokenizer files, which SQL cannot express.
-ORACLES = {"op1_warc": OP1_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op13_setm": OP13_SQL}

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tallyframe.llm.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [q for q in QUERIES if q != "op13_setm"])  # that one has no row per document
 def test_odd_rows(name, spark, odd_dir):
     table, key = ("pages", "page_id") if name == "op1_warc" else ("documents", "doc_id")
     want = sorted(str(r[0]) for r in spark.read.parquet(f"{odd_dir}/{table}.parquet").select(key).collect())
