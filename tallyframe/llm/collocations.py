@@ -170,10 +170,20 @@ def pair_counts(relation: DataFrame) -> DataFrame:
     return relation.mapInArrow(work, "block long, left long, right long, n long")
 
 
-def extended(relation: DataFrame, frequent: DataFrame) -> DataFrame:
+def frequent_pairs(relation: DataFrame, least: int) -> DataFrame:
+    """(block, left, right, a, id): the pairs with at least ``least`` occurrences over all blocks, for every block that has them.
+
+    A stage table.  Blocks hold a pair once, so even the most frequent pair has one row per block.
+    """
+    pair = Window.partitionBy("left", "right")
+    rows = pair_counts(relation).withColumn("row", F.monotonically_increasing_id())
+    counted = rows.select("block", "left", "right", F.sum("n").over(pair).alias("a"), F.min("row").over(pair).alias("id"))
+    return checkpointed(counted.where(F.col("a") >= least))
+
+
+def extended(relation: DataFrame, pairs: DataFrame) -> DataFrame:
     """The relation of the next length: the merge-join of the relation with itself, semi-joined with the frequent pairs."""
-    hits = pair_counts(relation).join(frequent.select("left", "right", "id"), ["left", "right"]).groupBy("block").agg(
-        F.collect_list(F.struct("left", "right", "id")).alias("hits"))  # at most the pairs of one block
+    hits = pairs.groupBy("block").agg(F.collect_list(F.struct("left", "right", "id")).alias("hits"))  # at most the pairs of one block
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +233,10 @@ def mine_phrases(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     held = phrases.select("id", "lang", F.array("word").alias("words"), F.array("a").alias("pre"), F.array("a").alias("suf"))
     found = []
     for length in range(2, longest + 1):
-        counts = pair_counts(relation).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        frequent = numbered(counts)
-        if frequent.isEmpty():
+        pairs = frequent_pairs(relation, least)
+        if pairs.isEmpty():
             break
+        frequent = pairs.groupBy("id").agg(*[F.max(c).alias(c) for c in ("left", "right", "a")])
         left = held.select(F.col("id").alias("left"), "lang", F.col("words").alias("w"), F.col("pre").alias("p"))
         right = held.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"), F.col("suf").alias("s"))
         here = frequent.join(left, "left").join(right, "right")
@@ -239,7 +249,7 @@ def mine_phrases(df: DataFrame, text_col: str = "text", group_col: str = "lang",
             found[-1] = found[-1].join(ends[0].union(ends[1]), "id", "left_anti")
         found.append(here)
         if length < longest:
-            relation = extended(relation, frequent)
+            relation = extended(relation, pairs)
         held = here
     if not found:
         return df.sparkSession.createDataFrame([], "lang string, phrase string, a long, l long, r long, n long, score long")
