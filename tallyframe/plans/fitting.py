@@ -18,20 +18,18 @@ def fit(df: DataFrame, exprs: Mapping[str, Column] | None = None, quantiles: Qua
     and interpolate linearly (see :mod:`tallyframe.plans.quantiles`).
     """
     exprs, quantiles = dict(exprs or {}), dict(quantiles or {})
-    found = df.agg(*[e.alias(name) for name, e in exprs.items()]).first().asDict() if exprs else {}
-    return found | (refined_quantiles(df, [], quantiles).first().asDict() if quantiles else {})
+    if quantiles:
+        return refined_quantiles(df, [], quantiles, exprs).first().asDict()
+    return df.agg(*[e.alias(name) for name, e in exprs.items()]).first().asDict() if exprs else {}
 
 
 def fit_by(df: DataFrame, by: Sequence[str], exprs: Mapping[str, Column], quantiles: Quantiles | None = None) -> DataFrame:
     """One row of statistics per group; rows with a null key are left out."""
     exprs, quantiles = dict(exprs), dict(quantiles or {})
     df = df.na.drop(subset=list(by))
-    plain = df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs or {"__rows": F.count("*")}).items()])
-    if not quantiles:
-        return plain
-    plain, bounded = hold_small(plain)
-    refined = refined_quantiles(df, by, quantiles)  # at most one row per group of plain
-    return plain.drop("__rows").join(F.broadcast(refined) if bounded else refined, list(by), "left")
+    if quantiles:
+        return refined_quantiles(df, by, quantiles, exprs)
+    return df.groupBy(*by).agg(*[e.alias(n) for n, e in (exprs or {"__rows": F.count("*")}).items()])
 
 
 #: A key with more rows is dealt over several tasks when its statistics cannot be broadcast.

@@ -1,24 +1,26 @@
-"""Exact interpolated quantiles without holding a column in one task.
+"""Exact interpolated quantiles in two scans, without holding a column in one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one hash
-map, on each task and again in the final one.  Here each wanted rank is
-searched by counting instead.  A double is read as the 64-bit integer that has
-the same order, and rows are counted by the leading bits of that integer:
-
-1. the first scan counts every (group, column) by its first 20 bits;
-2. only the prefixes that hold a wanted rank go on, each scan with 12 more
-   bits, until a prefix holds few rows or a single value.  There are at most
-   four such scans, whatever the values are, infinities and NaN included;
-3. the distinct values of the remaining prefixes are counted and ranked.
-
-Every step is a count that combines before its shuffle, so a value that fills a
-third of the table moves as one row per task.  All columns travel in one long
-frame keyed by (group, column), which makes the grouped and the ungrouped form
-the same plan.
+map, on each task and again in the final one.  Here a sketch is the index of an
+exact search:
+
+1. The first scan aggregates a mergeable quantile sketch per (group, column),
+   beside any other statistics.  The sketch gives each wanted rank a bracket of
+   two values, three times as wide as the sketch's rank error at 99 % confidence.
+2. The second scan counts rows by the stretch between brackets that they fall
+   into, and by value inside the brackets.  The running counts tell exactly
+   which value holds a rank, or that a bracket missed it.
+
+A bracket that holds more than FEW_ROWS rows, where brackets are a 130th of a
+group, is first narrowed by a sketch of the rows inside it, one more scan for
+every factor of a hundred.  Where a bracket missed its rank the search starts
+again from all rows.  All counts combine before their shuffle, so a value that
+fills a third of the table moves as one row per task.  NaN is the greatest value.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +28,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans.sizing import hold_small
 
-#: A prefix with at most so many rows is ranked by its distinct values.
-FEW_ROWS = 100_000
-#: Bits that are left out of the prefix, scan by scan.
-SHIFTS = (44, 32, 20, 8, 0)
+#: A bracket with at most so many rows is ranked by its distinct values.
+FEW_ROWS = 1_000_000
+#: Size of a sketch, and its rank error at 99 % confidence.
+SKETCH = 4_096
+RANK_ERROR = 2.296 / SKETCH**0.9021
+#: Half width of a bracket in ranks.
+SLACK = 3 * RANK_ERROR
+#: Steps of the ranks by which a bracket is narrowed, and how often that is tried.
+GRID = 500
+NARROWINGS = 8
 
 Quantiles = Mapping[str, tuple[str, float]]
 
@@ -38,87 +46,151 @@ def quantile_columns(quantiles: Quantiles) -> list[str]:
     return sorted({c for c, _ in quantiles.values()})
 
 
-def _place(p: float) -> str:
-    """SQL for the 0-based place of a quantile among the rows."""
-    return f"({float(p)!r}D * (__n - 1))"
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"double('{'-' if x < 0 else ''}Infinity')"
 
 
-def ordered_bits(v: Column) -> Column:
-    """The double as a 64-bit integer of the same order; NaN is the greatest, both zeros are 0.
+def _value(column: str) -> str:
+    return f"cast(`{column.replace('`', '``')}` AS double)"
 
-    These are the bits of the number's size: exponent, then fraction.  Powers
-    of two and products with them are exact, so no bit is lost.
+
+class Search:
+    """The wanted places: each has a column, and in the state of a group its ranks, bracket and rows inside.
+
+    Expressions are SQL text, because one text is one call to the JVM.
     """
-    size = F.abs(v)
-    guess = F.floor(F.log2(size))
-    low, high = size < F.pow(F.lit(2.0), guess), size >= F.pow(F.lit(2.0), guess + 1)
-    power = guess - low.cast("long") + high.cast("long")
-    # Two factors, because 2 ** -power alone can be out of range.
-    half = F.floor(power / 2)
-    fraction = (size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power) - 1) * F.lit(2.0**52)
-    normal = F.shiftleft((power + 1023).cast("long"), 52) + fraction.cast("long")
-    bits = (
-        F.when(size == 0, 0)
-        .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
-        .when(size == F.lit(float("inf")), 2047 * 2**52)
-        .otherwise(normal)
-    )
-    return F.when(F.isnan(v), F.lit(2**63 - 1)).when(v < 0, -bits).otherwise(bits)
-
-
-def refined_quantiles(df: DataFrame, by: Sequence[str], quantiles: Quantiles, few_rows: int = FEW_ROWS) -> DataFrame:
-    """Columns ``by`` plus one exact quantile per name, for the groups that have any value."""
-    columns = quantile_columns(quantiles)
-    probs = sorted({p for _, p in quantiles.values()})
-    keys = [*by, "__c"]
-    value = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
-    long = df.select(*by, F.inline(F.array(*value))).where(F.col("__v").isNotNull()).withColumn("__k", ordered_bits(F.col("__v")))
-    ranks = F.expr(f"array_distinct(array({', '.join(f'floor({_place(p)}), ceil({_place(p)})' for p in probs)}))")
-    held = F.exists("__ranks", lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m")))
-    sizes = [F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
-
-    def inside(prefixes: DataFrame, bounded: bool, shift: int) -> DataFrame:
-        """The rows of the prefixes; beyond a known number of prefixes, equal rows are counted before they move."""
-        rows = long.groupBy(*keys, "__v", "__k").agg(F.count("*").alias("__w")) if not bounded else long.withColumn("__w", F.lit(1))
-        side = prefixes.select(*keys, "__n", "__ranks", F.col("__before").alias("__from"), "__prefix")
-        return rows.withColumn("__prefix", F.shiftright("__k", shift)).join(F.broadcast(side) if bounded else side, [*keys, "__prefix"])
-
-    first = long.groupBy(*keys, F.shiftright("__k", SHIFTS[0]).alias("__prefix")).agg(*sizes)
-    group = Window.partitionBy(*keys)
-    upto = F.sum("__m").over(group.orderBy("__prefix"))
-    counted = first.select("*", F.sum("__m").over(group).alias("__n"), (upto - F.col("__m")).alias("__before")).withColumn("__ranks", ranks)
-    prefixes, bounded = hold_small(counted.where(held))
-    wide = (F.col("__m") > few_rows) & (F.col("__lo") < F.col("__hi"))
-    at = SHIFTS[0]
-    for shift in SHIFTS[1:]:
-        if prefixes.where(wide).isEmpty():
+
+    def __init__(self, quantiles: Quantiles):
+        self.columns = quantile_columns(quantiles)
+        self.places = sorted({(self.columns.index(c), float(p)) for c, p in quantiles.values()})
+        self.bounds = [f"__{tag}{j}" for j in range(len(self.places)) for tag in ("lo", "hi")]
+        self.ranks = [f"__{tag}{j}" for j in range(len(self.places)) for tag in ("at", "to")]
+        self.counts = [f"__n{i}" for i in range(len(self.columns))]
+
+    def of(self, column: int) -> list[int]:
+        return [j for j, (i, _) in enumerate(self.places) if i == column]
+
+    def first_scan(self) -> list[Column]:
+        out = []
+        for i, c in enumerate(self.columns):
+            v = _value(c)
+            out += [F.expr(f"count({v}) AS __n{i}"),
+                    F.expr(f"kll_sketch_agg_double(CASE WHEN isnan({v}) THEN double('Infinity') ELSE {v} END, {SKETCH}) AS __k{i}")]
+        return out
+
+    def brackets(self, sketched: bool = True) -> list[str]:
+        """The state of every place; a group too small for its sketch to matter, or any without one, looks at all values."""
+        out = []
+        for j, (i, p) in enumerate(self.places):
+            n = f"__n{i}"
+            all_values = f"({n} <= {int(2 / RANK_ERROR)})" if sketched else "true"
+            for tag, rank, end in (("lo", p - SLACK, -math.inf), ("hi", p + SLACK, math.inf)):
+                near = f"kll_sketch_get_quantile_double(__k{i}, {_number(rank)})" if sketched and 0 < rank < 1 else _number(end)
+                out.append(f"CASE WHEN {all_values} THEN {_number(end)} ELSE {near} END AS __{tag}{j}")
+            place = f"({_number(p)} * ({n} - 1))"
+            out += [f"floor({place}) AS __at{j}", f"ceil({place}) AS __to{j}",
+                    f"CASE WHEN {all_values} THEN {n} ELSE ceil({n} * {_number(min(1.0, 2 * SLACK))}) END AS __size{j}"]
+        return out
+
+
+def _attached(df: DataFrame, by: Sequence[str], state: DataFrame, search: Search) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their group's brackets, as columns or, for a single group, as literals."""
+    narrow = [F.col(f"`{c}`") for c in dict.fromkeys([*by, *search.columns])]
+    if not by:
+        row = state.select(*search.bounds).first()
+        return df.select(*narrow), {c: _number(row[c]) for c in search.bounds}
+    from tallyframe.plans.fitting import join_stats  # which in turn fits with this module
+
+    return join_stats(df.select(*narrow), state.select(*by, *search.bounds), list(by)), {c: c for c in search.bounds}
+
+
+def _narrowed(df: DataFrame, by: Sequence[str], state: DataFrame, search: Search, few_rows: int) -> DataFrame:
+    """The state after sketching the rows inside brackets that hold too many; one scan a round."""
+    many = range(len(search.places))
+    for _ in range(NARROWINGS):
+        sizes = [f"__size{j}" for j in many]
+        if state.where(f"greatest(0, {', '.join(sizes)}) > {few_rows}").isEmpty():
             break
-        same = [*keys, "__n", "__ranks", "__from"]
-        finer = inside(prefixes, bounded, at).groupBy(*same, F.shiftright("__k", shift).alias("__prefix")).agg(
-            F.sum("__w").alias("__m"), *sizes[1:])
-        run = F.sum("__m").over(Window.partitionBy(*keys, "__from").orderBy("__prefix"))
-        finer = finer.withColumn("__before", F.col("__from") + run - F.col("__m")).drop("__from").where(held)
-        prefixes, bounded = hold_small(finer)
-        at = shift
-
-    alone = prefixes.where("__lo <=> __hi").select(*keys, "__n", F.col("__before").alias("__from"), F.col("__lo").alias("__v"), "__m")
-    several = prefixes.where("NOT (__lo <=> __hi)")
-    ranked = alone
-    if not bounded or not several.isEmpty():
-        ranked = alone.unionByName(
-            inside(several, bounded, at).groupBy(*keys, "__n", "__from", "__v").agg(F.sum("__w").alias("__m")))
-    run = F.sum("__m").over(Window.partitionBy(*keys, "__from").orderBy("__v"))
-    ranked = ranked.withColumn("__cum", F.col("__from") + run).withColumn("__prev", F.col("__cum") - F.col("__m"))
-
-    def pick(c: str, p: float) -> Column:
-        def at_rank(rank: str) -> str:
-            hit = f"__c = {columns.index(c)} AND __prev <= {rank} AND __cum > {rank}"
-            return f"max(CASE WHEN {hit} THEN __v END)"
-
-        low, high = at_rank(f"floor({_place(p)})"), at_rank(f"ceil({_place(p)})")
-        part = f"max(CASE WHEN __c = {columns.index(c)} THEN {_place(p)} - floor({_place(p)}) END)"
+        rows, at = _attached(df, by, state, search)
+        aggregates = []
+        for j, (i, _) in enumerate(search.places):
+            v, lo, hi = _value(search.columns[i]), at[f"__lo{j}"], at[f"__hi{j}"]
+            inside = f"({v} >= {lo} AND {v} <= {hi} AND NOT isnan({v}))"
+            aggregates += [f"count_if({v} < {lo}) AS __b{j}", f"count_if({inside}) AS __c{j}",
+                           f"kll_sketch_agg_double(CASE WHEN {inside} THEN {v} END, {SKETCH}) AS __k{j}"]
+        found = rows.groupBy(*by).agg(*[F.expr(e) for e in aggregates])
+        both = state.join(found, list(by)) if by else state.crossJoin(found)  # one row each
+        grid = ", ".join(_number(g / GRID) for g in range(GRID + 1))
+        changed = []
+        for j in many:
+            held = f"(__at{j} >= __b{j} AND __to{j} - __b{j} < __c{j} AND __c{j} > {few_rows})"
+            first = f"cast(floor((__at{j} - __b{j}) / __c{j} * {GRID}) AS int) - 1"
+            last = f"cast(ceil((__to{j} - __b{j} + 1) / __c{j} * {GRID}) AS int) + 1"
+            steps = f"kll_sketch_get_quantile_double(__k{j}, array({grid}))"
+            lo = f"CASE WHEN {held} AND {first} > 0 THEN get({steps}, {first}) ELSE __lo{j} END"
+            hi = f"CASE WHEN {held} AND {last} < {GRID} THEN get({steps}, {last}) ELSE __hi{j} END"
+            # What cannot be narrowed further, or missed, counts as narrow.
+            size = f"CASE WHEN {held} AND {lo} < {hi} THEN ceil(__c{j} * ({last} - {first}) / {GRID}) ELSE 0 END"
+            changed += [f"{lo} AS __lo{j}", f"{hi} AS __hi{j}", f"{size} AS __size{j}"]
+        kept = [f"`{c}`" for c in state.columns if c not in (*search.bounds, *sizes)]
+        state = hold_small(both.selectExpr(*kept, *changed))[0]
+    return state
+
+
+def _ranked(df: DataFrame, by: Sequence[str], state: DataFrame, search: Search) -> DataFrame:
+    """(by, column, value, previous count, count so far) of the values and stretches that hold a wanted rank."""
+    rows, at = _attached(df, by, state, search)
+    cells = []
+    for i, c in enumerate(search.columns):
+        v, own = _value(c), search.of(i)
+        ends = [at[f"__{tag}{j}"] for j in own for tag in ("lo", "hi")]
+        stretch = " + ".join(f"cast({v} > {e} AS int) + cast({v} >= {e} AS int)" for e in ends)
+        inside = " OR ".join([f"isnan({v})", *[f"{v} >= {at[f'__lo{j}']} AND {v} <= {at[f'__hi{j}']}" for j in own]])
+        cells.append(f"named_struct('__c', {i}, '__s', {stretch}, '__v', CASE WHEN {inside} THEN {v} END)")
+    long = rows.select(*by, F.expr(f"inline(array({', '.join(cells)}))"))
+    counted = long.where("__s IS NOT NULL").groupBy(*by, "__c", "__s", "__v").agg(F.count("*").alias("__m"))
+    # Inside brackets at most FEW_ROWS values of a (group, column) are ranked, outside one row per stretch.
+    upto = F.sum("__m").over(Window.partitionBy(*by, "__c").orderBy("__s", "__v"))
+    ordered = counted.withColumn("__cum", upto).withColumn("__prev", F.col("__cum") - F.col("__m"))
+    if by:
+        ordered, rank = ordered.join(state.select(*by, *search.ranks), list(by)), {c: c for c in search.ranks}
+    else:
+        rank = state.select(*search.ranks).first().asDict()
+    wanted = " OR ".join(
+        f"__c = {i} AND __prev <= {rank[r]} AND __cum > {rank[r]}"
+        for j, (i, _) in enumerate(search.places) for r in (f"__at{j}", f"__to{j}") if rank[r] is not None)
+    return hold_small(ordered.where(wanted or "false").select(*by, "__c", "__v", "__prev", "__cum"))[0]
+
+
+def refined_quantiles(
+    df: DataFrame, by: Sequence[str], quantiles: Quantiles, exprs: Mapping[str, Column] | None = None, few_rows: int = FEW_ROWS
+) -> DataFrame:
+    """Columns ``by``, the aggregates ``exprs`` and one exact quantile per name; null where a group has no value."""
+    by, exprs, search = list(by), dict(exprs or {}), Search(quantiles)
+    names = [f"`{c}`" for c in (*by, *exprs)]
+    aggregates = [e.alias(n) for n, e in exprs.items()] + search.first_scan()
+    scanned = df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
+    state, bounded = hold_small(scanned.selectExpr(*names, *search.counts, *search.brackets()))
+    for attempt in range(2):
+        hits = _ranked(df, by, _narrowed(df, by, state, search, few_rows), search)
+        if attempt or hits.where("__v IS NULL").isEmpty():
+            break
+        state = state.selectExpr(*names, *search.counts, *search.brackets(sketched=False))
+
+    picks = []
+    for j, (i, _) in enumerate(search.places):
+        for side, rank in (("low", "at"), ("high", "to")):
+            picks.append(F.expr(f"max(CASE WHEN __c = {i} AND __prev <= __{rank}{j} AND __cum > __{rank}{j} THEN __v END) AS __{side}{j}"))
+    side = state.selectExpr(*names, *search.counts, *search.ranks)
+    # One row per group and a few hits each; without keys every hit belongs to the one row.
+    joined = side.join(F.broadcast(hits) if bounded else hits, list(by), "left") if by else side.join(hits, F.lit(True), "left")
+    out = []
+    for name, (c, p) in quantiles.items():
+        i = search.columns.index(c)
+        j = search.places.index((i, float(p)))
+        place = f"({_number(p)} * (__n{i} - 1))"
         # Equal neighbours need no line between them, which infinite ones do not have.
-        return F.expr(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * {part} END")
-
-    picks = [pick(c, p).alias(name) for name, (c, p) in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
+        line = f"__low{j} + (__high{j} - __low{j}) * ({place} - floor({place}))"
+        out.append(F.expr(f"CASE WHEN __low{j} = __high{j} THEN __low{j} ELSE {line} END").alias(name))
+    picked = joined.groupBy(*[F.col(n) for n in (*names, *search.counts)]).agg(*picks)
+    return picked.select(*[F.col(n) for n in names], *out)

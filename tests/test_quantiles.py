@@ -12,6 +12,19 @@ PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
 WANTED = {f"q{i}": ("v", p) for i, p in enumerate(PROBS)}
 
 
+def few(monkeypatch, rows):
+    """Narrow every bracket of more rows."""
+    monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (None, rows))
+
+
+def count_scans(monkeypatch):
+    """A list that grows with each aggregate over the table."""
+    scans = []
+    real = quantiles.hold_small
+    monkeypatch.setattr(quantiles, "hold_small", lambda df: scans.append(1) or real(df))
+    return scans
+
+
 def samples():
     rng = np.random.default_rng(7)
     hot = np.where(rng.random(5000) < 0.34, 3.25, rng.normal(size=5000))
@@ -40,7 +53,7 @@ def between(ordered, p):
 @pytest.mark.parametrize("kind", list(samples()))
 def test_against_numpy(spark, monkeypatch, kind):
     values = samples()[kind]
-    monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (50,))
+    few(monkeypatch, 50)
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
     got = fitting.fit(df, {"n": F.count("v")}, WANTED)
     want = [between(np.sort(values), p) for p in PROBS]
@@ -57,7 +70,7 @@ def test_groups_with_a_hot_group(spark, monkeypatch, held):
     if not held:  # as with more groups than the driver may hold
         monkeypatch.setattr(quantiles, "hold_small", lambda df, limit=0: (checkpointed(df), False))
         monkeypatch.setattr(fitting, "hold_small", lambda df, limit=0: (checkpointed(df), False))
-    monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (200,))
+    few(monkeypatch, 200)
     df = spark.createDataFrame(pdf)
     df = df.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     wanted = {"v1": ("v", 0.25), "v2": ("v", 0.5), "w2": ("w", 0.5)}
@@ -75,32 +88,49 @@ def test_all_null_and_empty(spark):
         assert fitting.fit(df, quantiles=WANTED) == dict.fromkeys(WANTED)
 
 
-def test_bits_keep_the_order_and_tell_all_doubles_apart(spark):
-    rng = np.random.default_rng(5)
-    some = rng.integers(-(2**63), 2**63 - 1, 4000, dtype=np.int64).view(np.float64)
-    edge = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, np.nextafter(1, 0), np.nextafter(2, 0), 2.0, 1.7976931348623157e308, np.inf]
-    values = np.unique(np.concatenate([some[~np.isnan(some)], edge, [-e for e in edge]]))
-    rows = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", quantiles.ordered_bits(F.col("v")).alias("k")).toPandas()
-    rows = rows.sort_values("v", kind="stable")
-    own = np.abs(rows["v"].to_numpy()).view(np.int64)
-    assert (rows["k"].to_numpy() == np.where(rows["v"] < 0, -own, own)).all()
-    nan = spark.createDataFrame([(float("nan"),)], "v double").select(quantiles.ordered_bits(F.col("v"))).first()[0]
-    assert nan > own.max()
+@pytest.mark.parametrize("kind", list(samples()))
+def test_two_scans_on_ordinary_data(spark, monkeypatch, kind):
+    values = samples()[kind]
+    scans = count_scans(monkeypatch)
+    fitting.fit(spark.createDataFrame(pd.DataFrame({"v": values})), {"n": F.count("v")}, WANTED)
+    assert len(scans) == 2
 
 
-def test_number_of_scans_is_bounded(spark, monkeypatch):
-    scans = []
-    real = quantiles.hold_small
-    monkeypatch.setattr(quantiles, "hold_small", lambda df: scans.append(1) or real(df))
-    monkeypatch.setattr(quantiles.refined_quantiles, "__defaults__", (0,))
-    values = np.concatenate([10.0 ** np.linspace(-300, 300, 3000), 1 + np.arange(1000) * 2.0**-52, [np.inf, np.nan]])
+def test_three_scans_on_hostile_data(spark, monkeypatch):
+    values = np.concatenate([10.0 ** np.linspace(-300, 300, 3000), 1 + np.arange(3000) * 2.0**-52, [np.inf, np.nan]])
     df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(3)
-    assert np.isnan(fitting.fit(df, quantiles={"top": ("v", 1.0)})["top"])
-    got = fitting.fit(df, quantiles={"mid": ("v", 0.5), "low": ("v", 0.0)})
+    scans = count_scans(monkeypatch)
+    few(monkeypatch, 60)
+    got = fitting.fit(df, quantiles={"mid": ("v", 0.5), "low": ("v", 0.0), "top": ("v", 1.0)})
     ordered = np.sort(values)  # NaN last
-    assert got["low"] == ordered[0]
-    assert got["mid"] == pytest.approx(ordered[2000:2002].mean() if len(values) % 2 == 0 else ordered[len(values) // 2], rel=1e-15)
-    assert len(scans) <= 2 * len(quantiles.SHIFTS)
+    assert got["low"] == ordered[0] and np.isnan(got["top"])
+    assert got["mid"] == pytest.approx(between(ordered, 0.5), rel=1e-15)
+    assert len(scans) <= 3
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    """Brackets of no width around the wrong ranks still end in the exact values."""
+    values = samples()["even"]
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    real = quantiles.Search.brackets
+
+    def wrong(self, sketched=True):
+        columns = real(self, sketched)
+        if not sketched:
+            return columns
+        return [f"0.5D AS {c.rsplit(' ', 1)[1]}" if " AS __lo" in c or " AS __hi" in c else c for c in columns]
+
+    monkeypatch.setattr(quantiles.Search, "brackets", wrong)
+    scans = count_scans(monkeypatch)
+    got = fitting.fit(df, quantiles=WANTED)
+    assert [got[k] for k in WANTED] == pytest.approx([between(np.sort(values), p) for p in PROBS], rel=1e-12)
+    assert len(scans) == 3
+
+
+def test_nan_is_the_greatest(spark):
+    values = np.concatenate([np.full(4000, np.nan), np.arange(6000.0), [np.inf]])
+    got = fitting.fit(spark.createDataFrame([(float(v),) for v in values], "v double"), quantiles={"a": ("v", 0.3), "b": ("v", 0.7), "c": ("v", 0.6)})
+    assert got["a"] == 3000.0 and np.isnan(got["b"]) and got["c"] == np.inf
 
 
 def test_many_groups(spark, monkeypatch):
