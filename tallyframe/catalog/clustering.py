@@ -29,25 +29,72 @@ def _(t):
     return rounded(out.select("event_id", "v_scaled", "user_id_scaled"), 6)
 
 
-@query("cluster_sweep", "Q2 Q3 Q4 Q5")
+def _models_sql(score):
+    """K-means for k = 2..10 as SQL: the seeded starts, every Lloyd step as a table of its own, then ``score`` over ``fin``.
+
+    ``fin`` holds the last centres, ``own`` each row's nearest one and ``r`` the scaled rows.
+    """
+    xs = range(3)
+    digest = "md5(concat_ws(',', '42', " + ", ".join(f"coalesce(round({c} * 1000)::BIGINT::VARCHAR, '')" for c in _FEATURES) + "))"
+    place = ", ".join(f"({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem) AS x{i}" for i, c in enumerate(_FEATURES))
+    far = " + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in xs)
+
+    def nearest(source):
+        return f"SELECT id, k, min({{'d': {far}, 'c': c}}) AS near FROM r, {source} GROUP BY id, k"
+
+    steps = "".join(
+        f""", s{n + 1} AS MATERIALIZED (SELECT s.k, s.c, {", ".join(f"coalesce(a.m{i}, s.c{i}) AS c{i}" for i in xs)} FROM s{n} s LEFT JOIN
+          (SELECT k, near.c AS c, {", ".join(f"avg(x{i}) AS m{i}" for i in xs)} FROM ({nearest(f"s{n}")}) JOIN r USING (id) GROUP BY ALL) a USING (k, c))"""
+        for n in range(cluster.LLOYD_STEPS))
+    return f"""WITH r AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, {digest} AS h, {place} FROM lineitem),
+      parts AS (SELECT ('0x' || substr(h, 1, 7))::BIGINT % 10 AS part, {", ".join(f"arg_min(x{i}, h) AS c{i}" for i in xs)} FROM r GROUP BY 1),
+      starts AS (SELECT row_number() OVER (ORDER BY part) - 1 AS c, c0, c1, c2 FROM parts),
+      s0 AS MATERIALIZED (SELECT k, c, c0, c1, c2 FROM starts, range(2, 11) t(k) WHERE c < k AND k <= (SELECT count(*) FROM starts)){steps},
+      fin AS (SELECT * FROM s{cluster.LLOYD_STEPS}),
+      own AS MATERIALIZED (SELECT id, k, near.c AS c, near.d AS d, x0, x1, x2 FROM ({nearest("fin")}) JOIN r USING (id)),
+      sums AS MATERIALIZED (SELECT k, c, count(*) AS n, sum(x0) AS t0, sum(x1) AS t1, sum(x2) AS t2, sum(x0 * x0 + x1 * x1 + x2 * x2) AS q
+        FROM own GROUP BY k, c),
+      total AS (SELECT k, sum(n) AS n, count(*) AS found, sum(t0) / sum(n) AS m0, sum(t1) / sum(n) AS m1, sum(t2) / sum(n) AS m2 FROM sums GROUP BY k),
+      ch AS (SELECT k, (sum(s.n * ((t0 / s.n - m0) ** 2 + (t1 / s.n - m1) ** 2 + (t2 / s.n - m2) ** 2)) / (any_value(found) - 1)) /
+          (sum(q - (t0 * t0 + t1 * t1 + t2 * t2) / s.n) / (any_value(t.n) - any_value(found))) AS ch FROM sums s JOIN total t USING (k) GROUP BY k),
+      far AS (SELECT own.id, own.k, own.c = s.c AS me, s.n AS n, s.n * (x0 * x0 + x1 * x1 + x2 * x2) + q - 2 * (x0 * t0 + x1 * t1 + x2 * t2) AS f
+        FROM own JOIN sums s USING (k)),
+      ab AS (SELECT id, k, max(f / greatest(n - 1, 1)) FILTER (me) AS a, min(f / n) FILTER (NOT me) AS b, max(n) FILTER (me) AS size FROM far GROUP BY id, k),
+      sil AS (SELECT k, avg(CASE WHEN size <= 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS silhouette FROM ab GROUP BY k),
+      cost AS (SELECT k, sum(d) AS inertia FROM own GROUP BY k),
+      sweep AS (SELECT k::INTEGER AS k, silhouette, inertia, ch AS calinski_harabasz FROM sil JOIN cost USING (k) JOIN ch USING (k))
+      {score}"""
+
+
+_BEST = "(SELECT arg_max(k, silhouette) FROM sweep)"
+
+
+@query("cluster_sweep", "Q2 Q3 Q4 Q5", _models_sql(
+    "SELECT k, round(silhouette, 6) AS silhouette, round(inertia, 2) AS inertia, round(calinski_harabasz, 2) AS calinski_harabasz FROM sweep"))
 def _(t):
-    return cluster.cluster_sweep(t.lineitem, _FEATURES)[0]
+    sweep = cluster.cluster_sweep(t.lineitem, _FEATURES)[0]
+    return rounded(rounded(sweep, 6, "silhouette"), 2, "inertia", "calinski_harabasz")
 
 
-@query("best_k_of_sweep", "Q2 Q6")
+@query("best_k_of_sweep", "Q2 Q6", _models_sql(
+    """, drops AS (SELECT k, (inertia - lag(inertia) OVER (ORDER BY k)) / lag(inertia) OVER (ORDER BY k) AS drop FROM sweep)
+    SELECT (SELECT arg_max(k, silhouette) FROM sweep) AS by_silhouette, (SELECT arg_min(k, drop) FROM drops) AS by_elbow,
+      (SELECT arg_max(k, calinski_harabasz) FROM sweep) AS by_calinski_harabasz"""))
 def _(t):
     return cluster.best_k(cluster.cluster_sweep(t.lineitem, _FEATURES)[0])
 
 
-@query("cluster_assign", "Q7 J5")
+@query("cluster_assign", "Q7 J5", _models_sql(
+    f"SELECT l_orderkey, l_linenumber, c::INTEGER AS cluster FROM own JOIN r USING (id) WHERE k = {_BEST}"))
 def _(t):
     return cluster.cluster_assign(t.lineitem, _FEATURES)[0].select("l_orderkey", "l_linenumber", "cluster")
 
 
-@query("cluster_centers", "Q10")
+@query("cluster_centers", "Q10", _models_sql(
+    "SELECT c::INTEGER AS cluster, " + ", ".join(f"round(c{i}, 6) + 0.0 AS {c}" for i, c in enumerate(_FEATURES)) + f" FROM fin WHERE k = {_BEST}"))
 def _(t):
     _, model = cluster.cluster_assign(t.lineitem, _FEATURES)
-    return cluster.cluster_centers(t.lineitem, model, _FEATURES)
+    return rounded(cluster.cluster_centers(t.lineitem, model), 6, *_FEATURES)
 
 
 def _points(t):
