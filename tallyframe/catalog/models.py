@@ -100,9 +100,46 @@ def _(t):
     return out.withColumn("s", F.round(F.col("s") / n, 4))
 
 
-@query("ols_fit", "L7 L10")
+def _normal_sql(x1, x2, x3):
+    """The normal equations of three features, solved by the inverse of their covariances: ``p`` holds the parameters."""
+    x = {1: x1, 2: x2, 3: x3}
+    sums = ", ".join(f"covar_pop({x[i]}, {x[j]}) * count(*) AS s{i}{j}" for i, j in ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)))
+    means = ", ".join(f"avg({x[i]}) AS m{i}, covar_pop({x[i]}, {_Y}) * count(*) AS t{i}" for i in x)
+    return f"""WITH c AS (SELECT count(*)::DOUBLE AS n, avg({_Y}) AS my, var_pop({_Y}) * count(*) AS tss, {sums}, {means} FROM lineitem),
+      d AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det FROM c),
+      i AS (SELECT *, (s22 * s33 - s23 * s23) / det AS i11, (s13 * s23 - s12 * s33) / det AS i12, (s12 * s23 - s13 * s22) / det AS i13,
+        (s11 * s33 - s13 * s13) / det AS i22, (s12 * s13 - s11 * s23) / det AS i23, (s11 * s22 - s12 * s12) / det AS i33 FROM d),
+      b AS (SELECT *, i11 * t1 + i12 * t2 + i13 * t3 AS b1, i12 * t1 + i22 * t2 + i23 * t3 AS b2, i13 * t1 + i23 * t2 + i33 * t3 AS b3 FROM i),
+      p AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS a, tss - b1 * t1 - b2 * t2 - b3 * t3 AS ssr,
+        1 / n + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23) AS i00 FROM b)"""
+
+
+@query(
+    "ols_fit",
+    "L7 L10",
+    _normal_sql(*_FEATURES) + f""", f AS (SELECT unnest(['const', '{"', '".join(_FEATURES)}']) AS feature, unnest([a, b1, b2, b3]) AS b,
+        unnest([sqrt(ssr / (n - 4) * i00), sqrt(ssr / (n - 4) * i11), sqrt(ssr / (n - 4) * i22), sqrt(ssr / (n - 4) * i33)]) AS e FROM p)
+      SELECT feature, round(b, 3) AS coefficient, round(e, 3) AS std_error, round(b / e, 3) AS t FROM f""",
+)
+def _(t):
+    out = model.ols_coefficients(model.ols_fit(t.lineitem, _Y, _FEATURES))
+    return rounded(out.select("feature", "coefficient", "std_error", "t"), 3, "coefficient", "std_error", "t")
+
+
+@query(
+    "ols_collinear",
+    "L7 L9 L10",
+    f"""WITH r AS (SELECT regr_slope({_Y}, {_X}) AS b, regr_intercept({_Y}, {_X}) AS a, count(*) AS n, regr_r2({_Y}, {_X}) AS r2 FROM lineitem)
+       SELECT round(b / 5, 4) AS single, round(2 * b / 5, 4) AS double, round(a, 3) AS const, 1::DOUBLE AS df_model, (n - 2)::DOUBLE AS df_resid, round(r2, 8) AS r2 FROM r""",
+)
 def _(t):
-    return model.ols_coefficients(model.ols_fit(t.lineitem, _Y, _FEATURES))
+    """A feature beside its double: the slope is shared out by the least norm, and the model has one degree of freedom."""
+    both = t.lineitem.select(_Y, F.col(_X).alias("single"), (F.col(_X) * 2).alias("double"))
+    fitted = model.ols_fit(both, _Y, ["single", "double"])
+    params = model.ols_coefficients(fitted).groupBy().pivot("feature", ["single", "double", "const"]).agg(F.first("coefficient"))
+    report = model.ols_summary(fitted).groupBy().pivot("name", ["df_model", "df_resid", "r2"]).agg(F.first("value"))
+    one = params.join(report, F.lit(True), "left")  # one row each
+    return rounded(rounded(rounded(one, 4, "single", "double"), 3, "const"), 8, "r2")
 
 
 @query(
@@ -157,6 +194,25 @@ def _(t):
     return out.withColumn("value", value).where(F.col("value").isNotNull())
 
 
-@query("ols_summary_full", "L8")
+_FULL = {**{k: v for k, v in _DIGITS.items() if k != "durbin_watson"}, "f": 6, "df_model": 0, "df_resid": 0}
+
+
+@query(
+    "ols_summary_full",
+    "L8",
+    _normal_sql(*_FEATURES) + f""",
+      e AS (SELECT {_Y} - (a + b1 * {_FEATURES[0]} + b2 * {_FEATURES[1]} + b3 * {_FEATURES[2]}) AS e FROM lineitem, p),
+      m AS (SELECT avg(e) AS me FROM e),
+      s AS (SELECT sum(e * e) AS ssr, (sum((e - me) ** 3) / count(*)) / (sum((e - me) ** 2) / count(*)) ** 1.5 AS skew,
+        (sum((e - me) ** 4) / count(*)) / (sum((e - me) ** 2) / count(*)) ** 2 AS kurt FROM e, m),
+      l AS (SELECT p.n, p.tss, s.*, 1 - s.ssr / p.tss AS r2, -p.n / 2 * (ln(2 * pi()) + ln(s.ssr / p.n) + 1) AS ll FROM p, s)
+      SELECT unnest(['n', 'df_model', 'df_resid', 'r2', 'r2_adjusted', 'f', 'log_likelihood', 'aic', 'bic', 'skew', 'kurtosis', 'jarque_bera']) AS name,
+        unnest([n, 3, n - 4, round(r2, 8), round(1 - (1 - r2) * (n - 1) / (n - 4), 8), round(((tss - ssr) / 3) / (ssr / (n - 4)), 6), round(ll, 2),
+          round(8 - 2 * ll, 2), round(4 * ln(n) - 2 * ll, 2), round(skew, 6), round(kurt, 5), round(n / 6 * (skew ** 2 + (kurt - 3) ** 2 / 4), 1)]) AS value FROM l""",
+)
 def _(t):
-    return model.ols_summary(model.ols_fit(t.lineitem, _Y, _FEATURES))
+    out = model.ols_summary(model.ols_fit(t.lineitem, _Y, _FEATURES))
+    value = F.lit(None).cast("double")
+    for name, digits in _FULL.items():
+        value = F.when(F.col("name") == name, F.round("value", digits)).otherwise(value)
+    return out.withColumn("value", value).where(F.col("value").isNotNull())

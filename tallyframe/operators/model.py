@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scalar import indicator_above, stable_bucket
 from tallyframe.functions.tails import chi_square_2_upper, f_upper, student_quantile, student_two_sided
-from tallyframe.operators.cluster import assemble
 from tallyframe.operators.impute import fill_mean
 from tallyframe.operators.ordered import with_previous
 from tallyframe.plans.fitting import fit
@@ -193,34 +192,120 @@ def gram_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sums.select(F.inline(F.array(*entries)))
 
 
+#: Triangles that one task, or the driver, puts together.
+FAN_IN = 64
+#: A scaled column whose rest is shorter than this depends on the others.
+DEPENDENT = 1e-11
+
+
 @dataclass
 class OlsResult:
-    model: LinearRegressionModel
+    """Least squares with a constant, whose parameters come first in every list."""
+
     features: list[str]
     target: str
     filled: DataFrame
+    params: list[float]
+    std_errors: list[float]
+    n: int
+    rank: int
+    condition_number: float
 
     @property
     def names(self) -> list[str]:
         return ["const", *self.features]
 
     @property
-    def params(self) -> list[float]:
-        return [float(self.model.intercept), *map(float, self.model.coefficients)]
-
-    @property
-    def std_errors(self) -> list[float]:
-        *slopes, const = self.model.summary.coefficientStandardErrors  # the intercept comes last
-        return [float(const), *map(float, slopes)]
+    def freedom(self) -> int:
+        return self.n - self.rank
+
+
+def _triangles(df: DataFrame, width: int, parts: int) -> DataFrame:
+    """(n, r): the triangular QR factor of each partition, combined in a tree until few are left."""
+    kind = "n long, r array<double>"
+
+    def out(n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([r.ravel()], pa.list_(pa.float64()))], ["n", "r"])
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((width, width))
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            r = np.linalg.qr(np.vstack([r, np.column_stack([np.ones(batch.num_rows), *columns])]), mode="r")
+            n += batch.num_rows
+        if n:
+            yield out(n, r)
+
+    def of_triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((width, width))
+        for batch in batches:
+            found = np.asarray(batch.column(1).flatten()).reshape(-1, width)
+            r = np.linalg.qr(np.vstack([r, found]), mode="r")
+            n += sum(batch.column(0).to_pylist())
+        if n:
+            yield out(n, r)
+
+    triangles = df.mapInArrow(of_rows, kind)
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        triangles = triangles.repartition(parts).mapInArrow(of_triangles, kind)
+    return triangles
+
+
+def pivoted_rank(r: np.ndarray, tolerance: float = DEPENDENT) -> int:
+    """Rank of the columns, each scaled to length 1, by QR with column pivoting."""
+    lengths = np.linalg.norm(r, axis=0)
+    rest = r / np.where(lengths > 0, lengths, 1.0)
+    rank = 0
+    while rank < r.shape[1]:
+        sizes = np.linalg.norm(rest, axis=0)
+        pivot = int(sizes.argmax())
+        if sizes[pivot] <= tolerance:
+            break
+        direction = rest[:, pivot] / sizes[pivot]
+        for _ in range(2):  # the second turn removes what rounding left
+            rest = rest - np.outer(direction, direction @ rest)
+        rest[:, pivot] = 0.0
+        rank += 1
+    return rank
 
 
 def ols_fit(df: DataFrame, target: str, features: Sequence[str]) -> OlsResult:
-    """Least squares with a constant; target and features are mean-filled."""
+    """Least squares with a constant, by tall-skinny QR; target and features are mean-filled.
+
+    Every partition reduces its rows to a triangle, and triangles are put
+    together in a tree, so the squares of the values are never formed and one
+    scan of any table ends in a matrix of the features' size.  Collinear and
+    constant features get the solution of least norm, as a pseudo-inverse gives
+    it; the rank is found on columns of equal length, so their units do not matter.
+    A column without any value or a table without rows raises ValueError.
+    """
     _check(df, target, features)
+    features = list(features)
     filled = fill_mean(df, [*features, target])
-    ready = assemble(filled, features).select("features", F.col(target).alias("label"))
-    model = LinearRegression(solver="normal", regParam=0.0).fit(ready)
-    return OlsResult(model, list(features), target, filled)
+    narrow = filled.select(*[F.col(f"`{c}`").cast("double").alias(f"__c{i}") for i, c in enumerate([*features, target])])
+    width = len(features) + 2
+    rows = _triangles(narrow, width, narrow.rdd.getNumPartitions()).collect()  # at most FAN_IN triangles
+    if not rows:
+        raise ValueError("least squares need at least one row")
+    n = sum(r["n"] for r in rows)
+    whole = np.linalg.qr(np.vstack([np.reshape(r["r"], (width, width)) for r in rows]), mode="r")
+    if not np.isfinite(whole).all():
+        raise ValueError(f"{[*features, target]} hold NaN, infinity or no value at all")
+    r, z = whole[:-1, :-1], whole[:-1, -1]
+    rank = pivoted_rank(r)
+    lengths = np.linalg.norm(r, axis=0)
+    if rank == r.shape[1]:  # on columns of equal length, so that units cost no digits
+        inverse = np.linalg.inv(r / lengths) / lengths[:, None]
+    else:
+        u, size, v = np.linalg.svd(r)
+        inverse = (v[:rank].T / size[:rank]) @ u[:, :rank].T
+    params = inverse @ z
+    ssr = float(whole[-1, -1] ** 2 + ((z - r @ params) ** 2).sum())
+    variance = ssr / (n - rank) if n > rank else math.nan
+    errors = np.sqrt(variance * (inverse**2).sum(axis=1))
+    condition = float(np.linalg.cond(r)) if rank == r.shape[1] else math.inf
+    return OlsResult(features, target, filled, params.tolist(), errors.tolist(), n, rank, condition)
 
 
 def ols_residuals(result: OlsResult) -> DataFrame:
@@ -234,12 +319,13 @@ def ols_residuals(result: OlsResult) -> DataFrame:
 
 def ols_coefficients(result: OlsResult, confidence: float = 0.95) -> DataFrame:
     """Coefficient, error, t, p and interval per feature, smallest p first."""
-    freedom = result.model.summary.degreesOfFreedom
-    reach = student_quantile(0.5 + confidence / 2, freedom)
+    freedom = result.freedom
+    reach = student_quantile(0.5 + confidence / 2, freedom) if freedom > 0 else math.nan
     rows = []
     for name, b, e in zip(result.names, result.params, result.std_errors):
-        t = b / e if e else math.nan
-        p = student_two_sided(t, freedom) if e else math.nan
+        known = e > 0  # false for nan, which an exact fit of as many rows as ranks gives
+        t = b / e if known else math.nan
+        p = student_two_sided(t, freedom) if known else math.nan
         rows.append((name, b, e, t, p, b - reach * e, b + reach * e))
     schema = "feature string, coefficient double, std_error double, t double, p_value double, low double, high double"
     return small_table(result.filled.sparkSession, rows, schema).orderBy("p_value", "feature")
@@ -282,25 +368,23 @@ def ols_summary(result: OlsResult, order: str | None = None, buckets: int | None
     """The numbers of a regression report as (name, value) rows."""
     moments = residual_moments(ols_residuals(result), "residual", order, buckets)
     spread = fit(result.filled, {"v": F.var_pop(result.target)})["v"]
-    n, p, ssr = moments["n"], len(result.names), moments["ssr"]
+    n, p, ssr = moments["n"], result.rank, moments["ssr"]
     k, freedom = p - 1, n - p
     tss = n * spread
     r2 = 1 - ssr / tss if tss else math.nan
-    f = ((tss - ssr) / k) / (ssr / freedom) if ssr and k else math.inf
+    f = ((tss - ssr) / k) / (ssr / freedom) if ssr and k and freedom > 0 else math.inf
     log_lik = -n / 2 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr else math.inf
     skew, kurt = (math.nan if moments[m] is None else moments[m] for m in ("skew", "kurtosis"))
     jarque_bera = n / 6 * (skew**2 + (kurt - 3) ** 2 / 4)
     omnibus = _normal_from_skew(skew, n) ** 2 + _normal_from_kurtosis(kurt, n) ** 2 if n >= 8 else math.nan
-    grid = {(r["x"], r["y"]): r["s"] for r in gram_sums(result.filled, result.features).collect()}
-    gram = np.array([[grid.get((a, b), grid.get((b, a))) for b in result.names] for a in result.names])
-    eigen = np.linalg.eigvalsh(gram)
     rows = {
         "n": float(n), "df_model": float(k), "df_resid": float(freedom), "r2": r2,
-        "r2_adjusted": 1 - (1 - r2) * (n - 1) / freedom, "f": f, "f_p_value": f_upper(f, k, freedom),
+        "r2_adjusted": 1 - (1 - r2) * (n - 1) / freedom if freedom > 0 else math.nan, "f": f,
+        "f_p_value": f_upper(f, k, freedom) if k and freedom > 0 else math.nan,
         "log_likelihood": log_lik, "aic": 2 * p - 2 * log_lik, "bic": p * math.log(n) - 2 * log_lik,
         "skew": skew, "kurtosis": kurt, "jarque_bera": jarque_bera,
         "jarque_bera_p_value": chi_square_2_upper(jarque_bera), "omnibus": omnibus,
-        "omnibus_p_value": chi_square_2_upper(omnibus), "condition_number": float(math.sqrt(eigen[-1] / eigen[0])) if eigen[0] > 0 else math.inf,
+        "omnibus_p_value": chi_square_2_upper(omnibus), "condition_number": result.condition_number,
     }
     if moments["durbin_watson"] is not None:
         rows["durbin_watson"] = moments["durbin_watson"]
