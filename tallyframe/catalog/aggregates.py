@@ -235,12 +235,10 @@ def _(t):
     "density_curve",
     "G14",
     """WITH s AS (SELECT min(value) AS lo, max(value) AS hi, stddev_samp(value) * count(*) ** -0.2 AS h, count(*) AS n FROM events),
-         f AS (SELECT lo + (least(floor((value - lo) / ((hi - lo) / 1000)), 999) + 0.5) * ((hi - lo) / 1000) AS c, count(*) AS m
-               FROM events, s GROUP BY 1),
          g AS (SELECT i::INTEGER AS point, lo + i * ((hi - lo) / 199) AS x, h, n FROM s, range(200) r(i))
        SELECT point, round(any_value(x), 6) AS x,
-         round(sum(m * exp(-((x - c) / h * ((x - c) / h)) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density
-       FROM g, f GROUP BY point""",
+         round(sum(exp(-((x - value) / h * ((x - value) / h)) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density
+       FROM g, events GROUP BY point""",
 )
 def _(t):
     out = agg.density_curve(t.events, "value")
