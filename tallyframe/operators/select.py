@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.plans.ordering import with_position
+from tallyframe.plans.fitting import join_stats
+from tallyframe.plans.ordering import key_value, with_position
+from tallyframe.plans.quantiles import nth_values
 
 #: Up to this many rows per group Spark limits groups before the shuffle itself.
 GROUP_LIMIT = 1_000
@@ -120,13 +123,22 @@ def head_per_group(df: DataFrame, by: Sequence[str], order: str, n: int) -> Data
     """The first n rows of each group in ``order``; null keys are left out.
 
     For small n Spark trims every group before the shuffle.  For larger n the
-    same trimming is done first inside salted parts of each group, so that a
-    hot group never reaches one task whole.
+    n-th key of each group is found by counting, and only rows up to it are
+    shuffled, so a hot group never reaches one task whole.  Keys that are
+    neither numbers nor times are trimmed inside salted parts of each group.
     """
     rows = df.na.drop(subset=list(by))
     if n > GROUP_LIMIT:
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
-        rows = _first_rows(rows, [*by, "__salt"], order, n).drop("__salt")
+        kind = df.schema[order].dataType
+        if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+            keyed = rows.withColumn("__key", key_value(rows, order))
+            bound = nth_values(keyed.select(*by, "__key"), by, "__key", n)
+            # Rows without a key come first in the order.
+            near = join_stats(keyed, bound, list(by)).where(F.col("__key").isNull() | (F.col("__key") <= F.col("nth")))
+            rows = near.select(*df.columns)
+        else:
+            rows = rows.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+            rows = _first_rows(rows, [*by, "__salt"], order, n).drop("__salt")
     return _first_rows(rows, by, order, n)
 
 

@@ -194,3 +194,22 @@ def refined_quantiles(
         out.append(F.expr(f"CASE WHEN __low{j} = __high{j} THEN __low{j} ELSE {line} END").alias(name))
     picked = joined.groupBy(*[F.col(n) for n in (*names, *search.counts)]).agg(*picks)
     return picked.select(*[F.col(n) for n in names], *out)
+
+
+def nth_values(df: DataFrame, by: Sequence[str], column: str, n: int, few_rows: int = FEW_ROWS) -> DataFrame:
+    """(by, nth): the n-th smallest value of ``column`` per group, or the greatest of a smaller group; null without values.
+
+    The search is that of the quantiles, only that the rank is given and not
+    its share of the rows: one scan counts the groups, further ones narrow the
+    brackets of groups with more than ``few_rows`` rows, the last one ranks.
+    """
+    by, search = list(by), Search({"nth": (column, 0.0)})
+    counted = df.groupBy(*by).agg(F.expr(f"count({_value(column)}) AS __n0"))
+    place = f"least({int(n)}, __n0) - 1"
+    ends = [f"{_number(-math.inf)} AS __lo0", f"{_number(math.inf)} AS __hi0", f"{place} AS __at0", f"{place} AS __to0", "__n0 AS __size0"]
+    state, _ = hold_small(counted.selectExpr(*[f"`{c}`" for c in by], "__n0", *ends))
+    for attempt in range(2):
+        hits = _ranked(df, by, _narrowed(df, by, state, search, few_rows) if attempt == 0 else state, search)
+        if hits.where("__v IS NULL").isEmpty():
+            break
+    return state.select(*by).join(hits.select(*by, F.col("__v").alias("nth")), by, "left")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import ordered, select
-from tallyframe.plans import ordering
+from tallyframe.plans import ordering, quantiles
 
 
 def table(spark, n=400, groups=1, share=0.5, seed=5):
@@ -97,3 +97,35 @@ def test_head_per_group_keeps_the_first_rows(spark, n):
     got = select.head_per_group(df, ["g"], "id", n).toPandas()
     want = df.toPandas().sort_values("id").groupby("g").head(n)
     assert sorted(got["id"]) == sorted(want["id"])
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp_ntz", "string"])
+def test_only_kept_rows_reach_the_window_of_a_large_head(spark, monkeypatch, kind):
+    """A hot group of 20,000 rows at n = 5,000; text keys are trimmed in salted parts instead."""
+    key = F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")) if kind == "string" else F.col("id")
+    if kind == "timestamp_ntz":
+        key = F.timestamp_add("SECOND", F.col("id"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, "cold").otherwise(None).alias("g"),
+        (key if kind in ("string", "timestamp_ntz") else key.cast(kind)).alias("k"), "id")
+    seen = []
+    real = select._first_rows
+    monkeypatch.setattr(select, "_first_rows", lambda rows, by, order, n: seen.append(rows.count()) or real(rows, by, order, n))
+    got = select.head_per_group(df, ["g"], "k", 5_000).toPandas()
+    want = df.toPandas().dropna(subset=["g"]).sort_values("id").groupby("g").head(5_000)
+    assert sorted(got["id"]) == sorted(want["id"]) and len(got) == 10_000
+    assert kind == "string" or seen == [10_000]
+
+
+def test_large_heads_of_tied_null_and_short_groups(spark):
+    rows = [("tied", 1.0, i) for i in range(2_000)] + [("short", float(i), i) for i in range(7)] + [("null", None, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, k double, id long")
+    got = select.head_per_group(df, ["g"], "k", 1_200).groupBy("g").count().collect()
+    assert sorted(tuple(r) for r in got) == [("null", 3), ("short", 7), ("tied", 1_200)]
+
+
+def test_nth_values_with_narrowed_brackets(spark):
+    df = spark.range(40_000).select((F.col("id") % 4).alias("g"), (F.col("id") * 7919 % 40_009).cast("double").alias("v"))
+    got = {r["g"]: r["nth"] for r in quantiles.nth_values(df, ["g"], "v", 3_000, few_rows=500).collect()}
+    want = df.toPandas().sort_values("v").groupby("g").nth(2_999).set_index("g")["v"].to_dict()
+    assert got == want
