@@ -212,8 +212,8 @@ def _(t):
     "histogram",
     "G13",
     """WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS w FROM events)
-       SELECT least(floor((value - lo) / w), 19)::INTEGER AS bin, round(any_value(lo) + bin * any_value(w), 6) AS "left",
-         round(any_value(lo) + bin * any_value(w) + any_value(w), 6) AS "right", count(*) AS n FROM events, b GROUP BY bin""",
+       SELECT i::INTEGER AS bin, round(lo + i * w, 6) AS "left", round(lo + i * w + w, 6) AS "right",
+         (SELECT count(*) FROM events WHERE least(floor((value - lo) / w), 19) = i) AS n FROM b, range(20) r(i)""",
 )
 def _(t):
     return rounded(agg.histogram(t.events, "value", 20), 6)
@@ -225,12 +225,26 @@ def _(t):
     """WITH q AS (SELECT count(value) AS n, min(value) AS lo, max(value) - min(value) AS span,
            quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events),
          b AS (SELECT lo, ceil(span / least(span / (log2(n) + 1), 2 * iqr / n ** (1.0 / 3))) AS k, span FROM q)
-       SELECT least(floor((value - lo) / (span / k)), k - 1)::INTEGER AS bin, count(*) AS n FROM events, b GROUP BY bin""",
+       SELECT i::INTEGER AS bin, (SELECT count(*) FROM events WHERE least(floor((value - lo) / (span / k)), k - 1) = i) AS n
+       FROM b, range(1000) r(i) WHERE i < k""",
 )
 def _(t):
     return agg.histogram(t.events, "value", None).select("bin", "n")
 
 
+@query(
+    "histogram_gaps",
+    "G13",
+    """WITH e AS (SELECT CASE WHEN event_id % 5 = 0 THEN 5000.0 ELSE value END AS v FROM events),
+         b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 40 AS w FROM e)
+       SELECT i::INTEGER AS bin, (SELECT count(*) FROM e WHERE least(floor((v - lo) / w), 39) = i) AS n FROM b, range(40) r(i)""",
+)
+def _(t):
+    """A second heap of rows far from the others, with empty bins between."""
+    far = t.events.select(F.when(F.col("event_id") % 5 == 0, 5000.0).otherwise(F.col("value")).alias("v"))
+    return agg.histogram(far, "v", 40).select("bin", "n")
+
+
 @query(
     "density_curve",
     "G14",

@@ -41,6 +41,23 @@ def _(t):
     return model.logistic_slopes(_logistic(t)).withColumn("slope", F.abs(F.round("slope", 6)))
 
 
+@query(
+    "predict_labels",
+    "L1 L2 L3",
+    """WITH k AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_linenumber) AS key, (l_quantity > 25)::INTEGER AS large,
+           (l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.5) FROM lineitem))::INTEGER AS label FROM lineitem),
+         s AS (SELECT *, ('0x' || substr(md5(key), 1, 8))::BIGINT % 10 < 8 AS train FROM k),
+         m AS (SELECT large, (avg(label) > 0.5)::INTEGER AS prediction FROM s WHERE train GROUP BY large)
+       SELECT key, label, prediction FROM s JOIN m USING (large) WHERE NOT train""",
+)
+def _(t):
+    """With one feature of two values the fitted label is the training rows' majority for that value."""
+    keyed = t.lineitem.select("l_extendedprice", (F.col("l_quantity") > 25).cast("int").alias("large"),
+                              F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("key"))
+    fitted = model.logistic_fit(keyed, "l_extendedprice", ["large"], "key")
+    return fitted.predict_labels(fitted.test).select("key", "label", "prediction")
+
+
 @query("logistic_confusion", "L2 L3 L5")
 def _(t):
     fitted = _logistic(t)

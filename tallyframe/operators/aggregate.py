@@ -231,9 +231,9 @@ def bin_number(column: str, low: float, width: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = 10) -> DataFrame:
-    """Counts per equal-width bin with its edges; ``bins=None`` chooses the number.
+    """Counts per equal-width bin with its edges, bins without rows included; ``bins=None`` chooses the number.
 
-    Bins without rows are not listed.
+    A column without values has no bins.
     """
     fitted = _fit_bins(df, column, bins)
     if fitted is None:
@@ -244,8 +244,10 @@ def histogram(df: DataFrame, column: str, bins: int | None = 10) -> DataFrame:
         .groupBy(bin_number(column, low, width, bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     left = F.lit(low) + F.col("bin") * F.lit(width)
-    return counted.select("bin", left.alias("left"), (left + F.lit(width)).alias("right"), "n")
+    return every.join(counted, "bin", "left").select(
+        "bin", left.alias("left"), (left + F.lit(width)).alias("right"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 #: Bins of a bandwidth, and the bandwidths beyond which a kernel counts as zero (it is below 2e-14 there).
