@@ -7,7 +7,7 @@ from tallyframe.catalog.registry import NULLED_EVENTS, nulled_events, query, rou
 from tallyframe.functions.scalar import lookup
 from tallyframe.operators import clean, select
 from tallyframe.plans.sizing import shared_folder, small_table
-from tallyframe.sources import tables
+from tallyframe.sources import json_array, tables
 
 _EVENT_TEXT = T.StructType(
     [
@@ -33,6 +33,14 @@ def _(t):
     return tables.read_json_records(t.spark, path, _EVENT_TEXT, lines=True)
 
 
+@query("read_json_array", "S2", "SELECT event_id, event_type, value, props FROM events")
+def _(t):
+    """Arrays of one file per partition, cut into chunks of 64 KiB that many tasks read."""
+    path = shared_folder(t.spark, "events-arrays")
+    json_array.write_json_arrays(t.events.select(*_EVENT_TEXT.names), path)
+    return json_array.read_json_array(t.spark, path, _EVENT_TEXT, chunk_bytes=1 << 16)
+
+
 @query(
     "literal_table",
     "S3",

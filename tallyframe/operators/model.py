@@ -16,10 +16,14 @@ from tallyframe.functions.tails import chi_square_2_upper, f_upper, student_quan
 from tallyframe.operators.impute import fill_mean
 from tallyframe.operators.ordered import with_previous
 from tallyframe.plans.fitting import fit
+from tallyframe.plans.shipping import by_value
 from tallyframe.plans.sizing import small_table
 from tallyframe.sources.tables import cached_input
 
 
+by_value(__name__)
+
+
 def _check(df: DataFrame, target: str, features: Sequence[str]) -> None:
     unknown = [c for c in [target, *features] if c not in df.columns]
     if unknown:
