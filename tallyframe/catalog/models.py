@@ -145,18 +145,18 @@ def _(t):
 
 @query(
     "ols_collinear",
-    "L7 L9 L10",
+    "L7 L8 L10",
     f"""WITH r AS (SELECT regr_slope({_Y}, {_X}) AS b, regr_intercept({_Y}, {_X}) AS a, count(*) AS n, regr_r2({_Y}, {_X}) AS r2 FROM lineitem)
-       SELECT round(b / 5, 4) AS single, round(2 * b / 5, 4) AS double, round(a, 3) AS const, 1::DOUBLE AS df_model, (n - 2)::DOUBLE AS df_resid, round(r2, 8) AS r2 FROM r""",
+       SELECT unnest(['single', 'double', 'const', 'df_model', 'df_resid', 'r2']) AS name,
+         unnest([round(b / 5, 4), round(2 * b / 5, 4), round(a, 4), 1, n - 2, round(r2, 4)]) AS value FROM r""",
 )
 def _(t):
     """A feature beside its double: the slope is shared out by the least norm, and the model has one degree of freedom."""
     both = t.lineitem.select(_Y, F.col(_X).alias("single"), (F.col(_X) * 2).alias("double"))
     fitted = model.ols_fit(both, _Y, ["single", "double"])
-    params = model.ols_coefficients(fitted).groupBy().pivot("feature", ["single", "double", "const"]).agg(F.first("coefficient"))
-    report = model.ols_summary(fitted).groupBy().pivot("name", ["df_model", "df_resid", "r2"]).agg(F.first("value"))
-    one = params.join(report, F.lit(True), "left")  # one row each
-    return rounded(rounded(rounded(one, 4, "single", "double"), 3, "const"), 8, "r2")
+    params = model.ols_coefficients(fitted).select(F.col("feature").alias("name"), F.col("coefficient").alias("value"))
+    report = model.ols_summary(fitted).where(F.col("name").isin("df_model", "df_resid", "r2"))
+    return rounded(params.unionByName(report), 4, "value")
 
 
 @query(
