@@ -176,7 +176,8 @@ def frequent_pairs(relation: DataFrame, least: int) -> DataFrame:
     A stage table.  Blocks hold a pair once, so even the most frequent pair has one row per block.
     """
     pair = Window.partitionBy("left", "right")
-    rows = pair_counts(relation).withColumn("row", F.monotonically_increasing_id())
+    # Numbered behind the shuffle, which the window shares; the stage table fixes the numbers.
+    rows = pair_counts(relation).repartition("left", "right").withColumn("row", F.monotonically_increasing_id())
     counted = rows.select("block", "left", "right", F.sum("n").over(pair).alias("a"), F.min("row").over(pair).alias("id"))
     return checkpointed(counted.where(F.col("a") >= least))
 
