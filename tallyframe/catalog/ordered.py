@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyframe.catalog.registry import nulled_events, query, rounded
-from tallyframe.operators import correlate, ordered
+from tallyframe.operators import correlate, ordered, splines
 from tallyframe.plans.sizing import small_table
 
 
@@ -75,6 +75,60 @@ for _method, _formula in (("linear", _LINEAR), ("quadratic", _QUADRATIC), ("cubi
     _interpolated(_method, _formula, True, 3)
 
 
+# The slopes at the known rows by elimination row after row, then the curve between them.
+def _spline_sql(method, by):
+    part = "PARTITION BY user_id" if by else ""
+    k, least = {"quadratic": (3, 3), "cubic": (2, 4)}[method]
+    edge = {
+        "quadratic": ("(1.0, 1.0, 2 * sp)", "(1.0, 1.0, 2 * sm)"),
+        "cubic": (
+            "(x2 - x1, x2 - x, ((x1 - x + 2 * (x2 - x)) * (x2 - x1) * sp + (x1 - x) ** 2 * (y2 - y1) / (x2 - x1)) / (x2 - x))",
+            "(x - w2, w1 - w2, ((x - w1 + 2 * (x - w2)) * (w1 - w2) * sm + (x - w1) ** 2 * (z1 - z2) / (w1 - w2)) / (x - w2))",
+        ),
+    }[method]
+    first, last = (e[1:-1] for e in edge)
+    fb, fc, fr = first.split(", ")
+    la, lb, lr = last.split(", ")
+    curve = {
+        "cubic": "v1 + t * (d1 + t / h * (3 * s - 2 * d1 - d2 + t / h * (d1 + d2 - 2 * s)))",
+        "quadratic": """CASE WHEN 2 * t <= h THEN v1 + t * (d1 + t * (4 * s - 3 * d1 - d2) / (2 * h))
+          ELSE v2 + (t - h) * (d2 + (t - h) * (3 * d2 + d1 - 4 * s) / (2 * h)) END""",
+    }[method]
+    return f"""WITH RECURSIVE p AS (SELECT event_id, {"user_id" if by else "0"} AS u, (row_number() OVER ({part} ORDER BY ts) - 1)::DOUBLE AS x,
+         CASE WHEN event_id % 7 >= 3 THEN value END AS v FROM events),
+       k AS (SELECT u, x, v AS y, row_number() OVER w AS r, count(*) OVER (PARTITION BY u) AS n, lag(x) OVER w AS w1, lag(v) OVER w AS z1,
+         lag(x, 2) OVER w AS w2, lag(v, 2) OVER w AS z2, lead(x) OVER w AS x1, lead(v) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(v, 2) OVER w AS y2
+         FROM p WHERE v IS NOT NULL WINDOW w AS (PARTITION BY u ORDER BY x)),
+       h AS (SELECT *, (y1 - y) / (x1 - x) AS sp, (y - z1) / (x - w1) AS sm FROM k WHERE n >= {least}),
+       e AS MATERIALIZED (SELECT u, r, n, x, CASE WHEN r = 1 THEN 0.0::DOUBLE WHEN r = n THEN {la} ELSE 1 / (x - w1) END AS a,
+         CASE WHEN r = 1 THEN {fb} WHEN r = n THEN {lb} ELSE {k} * (1 / (x - w1) + 1 / (x1 - x)) END AS b,
+         CASE WHEN r = 1 THEN {fc} WHEN r = n THEN 0.0::DOUBLE ELSE 1 / (x1 - x) END AS c,
+         CASE WHEN r = 1 THEN {fr} WHEN r = n THEN {lr} ELSE {k + 1} * (sm / (x - w1) + sp / (x1 - x)) END AS q FROM h),
+       f AS (SELECT u, r, n, (c / b)::DOUBLE AS cp, (q / b)::DOUBLE AS dp FROM e WHERE r = 1
+         UNION ALL SELECT e.u, e.r, e.n, e.c / (e.b - e.a * f.cp), (e.q - e.a * f.dp) / (e.b - e.a * f.cp) FROM f JOIN e ON e.u = f.u AND e.r = f.r + 1),
+       g AS (SELECT u, r, dp AS d FROM f WHERE r = n UNION ALL SELECT f.u, f.r, f.dp - f.cp * g.d FROM g JOIN f ON f.u = g.u AND f.r = g.r - 1),
+       m AS (SELECT k.u, k.x AS x1, k.y AS v1, g.d AS d1, lead(k.x) OVER w AS x2, lead(k.y) OVER w AS v2, lead(g.d) OVER w AS d2
+         FROM k JOIN g ON k.u = g.u AND k.r = g.r WINDOW w AS (PARTITION BY k.u ORDER BY k.x)),
+       j AS (SELECT p.event_id, p.v, p.x - m.x1 AS t, m.x2 - m.x1 AS h, (v2 - v1) / (m.x2 - m.x1) AS s, v1, v2, d1, d2
+         FROM p ASOF LEFT JOIN m ON p.u = m.u AND p.x >= m.x1)
+       SELECT event_id, round(coalesce(v, {curve}), 6) + 0.0 AS v FROM j"""
+
+
+def _splined(method, by, buckets):
+    ids = {"quadratic": "W4 V5", "cubic": "W5 V5"}[method]
+
+    @query(f"spline_{method}" + ("_per_user" if by else ""), ids, _spline_sql(method, by))
+    def _(t):
+        rows = nulled_events(t, below=3).select("event_id", "user_id", "ts", "v")
+        out = splines.spline(rows, "v", "ts", ["user_id"] if by else [], method, buckets)
+        return rounded(out.select("event_id", "v"), 6, "v")
+
+
+for _method in splines.LEAST:
+    _splined(_method, False, 8)
+    _splined(_method, True, 3)
+
+
 @query(
     "average_rank",
     "W6",
