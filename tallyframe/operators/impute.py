@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.aggregate import mode
 from tallyframe.plans.fitting import fit
-from tallyframe.plans.sizing import BROADCAST_ROWS, checkpointed, small_table
+from tallyframe.plans.sizing import checkpointed
+from tallyframe.plans.spacetree import LEAF_ROWS, grow, nearest
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,163 +31,79 @@ def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- nearest rows ----------------------------------------------------------
 
-#: Columns that form the search grid; more columns still count in the distance.
-GRID_COLUMNS = 2
-#: A search round starts with cells of at most this many donors.
-CELL_DONORS = 5_000
-GROWTH = 4.0
 
-
-def knn_impute(df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5) -> DataFrame:
+def knn_impute(
+    df: DataFrame, columns: Sequence[str], row_id: str, k: int = 5, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """Fill nulls with the mean over the k nearest rows that have the value.
 
     The distance of two rows is ``sqrt(d / shared * sum of squares)`` over the
     columns both have; ties go to the lower id.  Rows without any value are
-    dropped, and a cell without a comparable donor gets the column mean.
+    dropped, and a cell without a comparable donor gets the column mean.  NaN
+    counts as missing; other values must be finite.
 
-    The search is exact and no pair is formed outside neighbouring grid cells.
-    Cells start so narrow that none holds many donors.  A recipient with k
-    donors within one cell width is settled, because closer ones cannot lie
-    beyond the neighbouring cells; the others go on with wider cells.
+    The search is exact.  Donors stand in k-d trees, one for each set of known
+    columns (:mod:`tallyframe.plans.spacetree`), and each open cell opens only
+    leaves that can hold one of its k nearest.  Leaves have at most
+    ``leaf_rows`` points, wherever the rows crowd and however far some lie.
     """
     columns = list(columns)
     d = len(columns)
-    mask = F.lit(0)
-    for i, c in enumerate(columns):
-        mask = mask + F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    known = F.concat(*[F.when(F.col(c).isNotNull(), "1").otherwise("0") for c in columns])
     rows = df.select(
-        F.col(row_id).alias("__id"), *[F.col(c).cast("double").alias(c) for c in columns]
-    ).withColumn("__mask", mask).where(F.col("__mask") > 0)
-    full = (1 << d) - 1
-
-    stats = fit(
-        rows,
-        {f"{c}|avg": F.avg(c) for c in columns} | {f"{c}|span": F.max(c) - F.min(c) for c in columns},
-    )
-    spans = {c: stats[f"{c}|span"] or 0.0 for c in columns}
-    masks = {r[0]: r[1] for r in rows.groupBy("__mask").count().collect()}  # at most 2**d rows
-    pairs = []
-    for r, m in itertools.product(masks, masks):
-        shared = [c for i, c in enumerate(columns) if (r & m) >> i & 1]
-        if r != full and shared and m & ~r:
-            pairs.append((r, m, sorted(shared, key=lambda c: -spans[c])))
-
-    def paired(frame: DataFrame, side: int) -> DataFrame:
-        """One row per mask pair it takes part in, with the shared values, widest column first."""
-        table = small_table(
-            df.sparkSession,
-            [(pair[side], i, [columns.index(c) for c in pair[2]]) for i, pair in enumerate(pairs)],
-            "__mask int, __pair int, __order array<int>",
-        )
-        known = F.array(*[F.col(c) for c in columns])
-        joined = frame.join(F.broadcast(table) if len(pairs) <= BROADCAST_ROWS else table, "__mask")
-        return joined.withColumn("__shared", F.transform("__order", lambda i: F.get(known, i))).drop("__order")
+        F.col(row_id).alias("__id"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
+    ).withColumn("__mask", known).where(F.col("__mask").contains("1"))
+    full = "1" * d
+    stats = fit(rows, {c: F.avg(c) for c in columns})
 
     open_rows = rows.where(F.col("__mask") != full)
     # Rows with the same known values have the same neighbours: each point is searched once.
-    points = open_rows.groupBy("__mask", *columns).agg(F.min("__id").alias("__id"))
-    found: list[DataFrame] = []
-    if pairs:
-        # Donors that share a point tie for every recipient of their pair, so the
-        # k lowest ids stand for all of them, however many rows the point has.
-        point = Window.partitionBy("__pair", "__shared").orderBy("__id")
-        donors = paired(rows, 1).withColumn("__r", F.row_number().over(point)).where(F.col("__r") <= k)
-        donors = checkpointed(
-            donors.select(
-                F.col("__id").alias("__donor"), *[F.col(c).alias(f"__d_{i}") for i, c in enumerate(columns)],
-                "__pair", "__shared",
-            )
-        )
-        reach = max(spans.values()) or 1.0
-        width = _first_width(donors, [[spans[c] for c in pair[2]] for pair in pairs], sum(masks.values()), k)
-        missing = F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(columns)])
-        left = points.select("*", F.explode(F.filter(missing, lambda i: i.isNotNull())).alias("__target"))
-        while True:
-            last = width >= reach
-            near = _nearest(paired(left, 0), donors, columns, width, k, bounded=not last)
-            if last:
-                found.append(near)
-                break
-            near = checkpointed(near.where(F.col("__hits") == k))
-            found.append(near)
-            left = checkpointed(left.join(near.select("__id", "__target"), ["__id", "__target"], "left_anti"))
-            if left.isEmpty():
-                break
-            width *= GROWTH
-    filled = open_rows
-    if found:
-        values = found[0]
-        for more in found[1:]:
-            values = values.unionByName(more)
-        wide = values.groupBy("__id").agg(
-            *[F.max(F.when(F.col("__target") == i, F.col("__value"))).alias(f"__new{i}") for i in range(d)]
-        )
-        answers = points.join(wide, "__id", "left").select(
-            F.col("__mask").alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)],
-            *[f"__new{i}" for i in range(d)],
-        )
-        same = F.col("__mask") == F.col("__m")
-        for i, c in enumerate(columns):
-            same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
-        filled = open_rows.join(answers, same, "left").withColumns(
-            {c: F.coalesce(F.col(c), F.col(f"__new{i}")) for i, c in enumerate(columns)}
-        )
+    points = checkpointed(open_rows.groupBy("__mask", *columns).agg(F.min("__id").alias("__id")))
+    asked = fit(points, {c: F.count(c) for c in columns} | {"__n": F.count("*")})
+    # Donors that agree wherever a seeker knows a value tie for all, so the k lowest ids stand for them.
+    seen_columns = [c for c in columns if asked[c]]
+    donors = _lowest(rows, ["__mask", *seen_columns], "__id", k)
+    weights = [asked[c] / max(asked["__n"], 1) for c in columns]
+    donors, levels = grow(checkpointed(donors), columns, "__mask", max(leaf_rows, k), weights)
+
+    # Which trees a seeker meets: those that share a column with it.  Each mask is the name of a root.
+    masks = levels[0].select(F.col("__node").alias("__mask"))
+    known_at = F.array(*[F.when(F.substring("__mask", i + 1, 1) == "1", i) for i in range(d)])
+    places = F.explode(F.filter(known_at, lambda i: i.isNotNull())).alias("__place")
+    seen = masks.where(F.col("__mask") != full).select("__mask", places)
+    given = masks.select(F.col("__mask").alias("__node"), places)
+    roots = seen.join(given, "__place").select("__mask", "__node").distinct()
+
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(i)) for i, c in enumerate(columns)]),
+                       lambda i: i.isNotNull())
+    seekers = points.select("*", F.explode(missing).alias("__target"))
+    value = F.get(F.array(*[F.col(f"__d_{i}") for i in range(d)]), F.col("__target"))
+    accept = F.get("__hi", F.col("__target")).isNotNull()
+    met = nearest(
+        seekers, ["__id", "__target"], roots, donors.withColumnRenamed("__id", "__donor"), levels, columns,
+        value, accept, "__donor", k,
+    )
+    wide = met.groupBy("__id").agg(
+        *[F.avg(F.when(F.col("__target") == i, F.col("__value"))).alias(f"__new{i}") for i in range(d)]
+    )
+    answers = points.join(wide, "__id").select(
+        F.col("__mask").alias("__m"), *[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)],
+        *[f"__new{i}" for i in range(d)],
+    )
+    same = F.col("__mask") == F.col("__m")
+    for i, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"__p{i}"))
+    filled = open_rows.join(answers, same, "left").withColumns(
+        {c: F.coalesce(F.col(c), F.col(f"__new{i}")) for i, c in enumerate(columns)}
+    )
     done = rows.where(F.col("__mask") == full)
     out = done.select("__id", *columns).unionByName(filled.select("__id", *columns))
     return out.select(
-        F.col("__id").alias(row_id), *[F.coalesce(F.col(c), F.lit(stats[f"{c}|avg"])).alias(c) for c in columns]
+        F.col("__id").alias(row_id), *[F.coalesce(F.col(c), F.lit(stats[c])).alias(c) for c in columns]
     )
 
 
-def _cell(width: float) -> Column:
-    return F.transform(
-        F.slice("__shared", 1, GRID_COLUMNS), lambda v: F.floor(v / F.lit(width)).cast("long")
-    )
-
-
-def _first_width(donors: DataFrame, spans: list[list[float]], n: int, k: int) -> float:
-    """The width that suits an even spread; narrowed while some cell is crowded."""
-    fits = []
-    for widest, *others in spans:
-        widest = widest or 1.0
-        area = (2.0 * k / max(n, 1)) * widest
-        fits.append((area * others[0]) ** 0.5 if others and others[0] > area else area)
-    width = min(fits)
-    for _ in range(40):
-        crowd = donors.groupBy("__pair", _cell(width).alias("c")).count().agg(F.max("count")).first()[0] or 0
-        if crowd <= max(CELL_DONORS, 50 * k):
-            break
-        width /= GROWTH
-    return width
-
-
-def _nearest(seekers: DataFrame, donors: DataFrame, columns, width: float, k: int, bounded: bool) -> DataFrame:
-    """The k nearest donors of each open cell among the neighbouring grid cells."""
-    d = len(columns)
-    step = F.lit(None)
-    for n in range(1, GRID_COLUMNS + 1):
-        moves = [F.array(*[F.lit(s).cast("long") for s in o]) for o in itertools.product((-1, 0, 1), repeat=n)]
-        step = F.when(F.size("__at") == n, F.array(*moves)).otherwise(step)
-    seekers = (
-        seekers.withColumn("__at", _cell(width))
-        .withColumn("__step", F.explode(step))
-        .withColumn("__cell", F.zip_with("__at", "__step", lambda a, b: a + b))
-        .drop("__at", "__step", "__shared", "__mask")
-    )
-    offers = donors.withColumn("__cell", _cell(width)).drop("__shared")
-    gaps = [F.col(c) - F.col(f"__d_{i}") for i, c in enumerate(columns)]
-    square, shared = F.lit(0.0), F.lit(0)
-    for g in gaps:
-        square = square + F.coalesce(g * g, F.lit(0.0))
-        shared = shared + F.when(g.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    value = F.lit(None).cast("double")
-    for i in range(d):
-        value = F.when(F.col("__target") == i, F.col(f"__d_{i}")).otherwise(value)
-    met = seekers.join(offers, ["__pair", "__cell"]).select(
-        "__id", "__target", "__donor", (F.lit(float(d)) / shared * square).alias("__far"), value.alias("__value")
-    ).where(F.col("__value").isNotNull())
-    if bounded:
-        met = met.where(F.col("__far") <= F.lit(width * width))
-    order = Window.partitionBy("__id", "__target").orderBy("__far", "__donor")
-    best = met.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
-    return best.groupBy("__id", "__target").agg(F.avg("__value").alias("__value"), F.count("*").alias("__hits"))
+def _lowest(rows: DataFrame, by: Sequence[str], order: str, k: int) -> DataFrame:
+    """Up to k rows with the lowest ``order`` per point; tasks trim their rows before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")

@@ -6,6 +6,7 @@ import pytest
 
 from tallyframe.operators import correlate, impute
 from tallyframe.operators.clean import nan_to_null
+from tallyframe.plans import spacetree
 
 
 def brute_knn(pdf, columns, k):
@@ -45,17 +46,60 @@ def points(kind):
 
 
 @pytest.mark.parametrize("kind", ["even", "dense_spot", "repeated"])
-def test_knn_matches_brute_force(spark, monkeypatch, kind):
-    monkeypatch.setattr(impute, "CELL_DONORS", 10)
+def test_knn_matches_brute_force(spark, kind):
     pdf = points(kind)
     df = nan_to_null(spark.createDataFrame(pdf))
-    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in impute.knn_impute(df, ["a", "b", "c"], "id", 4).collect()}
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in impute.knn_impute(df, ["a", "b", "c"], "id", 4, leaf_rows=10).collect()}
     want = brute_knn(pdf, ["a", "b", "c"], 4)
     assert got.keys() == want.keys()
     for key, row in want.items():
         assert got[key] == pytest.approx(row, rel=1e-9)
 
 
+def test_knn_with_ten_columns_of_random_nulls(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(250, 10))
+    x[:2] *= 1e6
+    x[rng.random(x.shape) < 0.12] = np.nan
+    names = list("abcdefghij")
+    pdf = pd.DataFrame(x, columns=names).assign(id=np.arange(len(x)))
+    df = nan_to_null(spark.createDataFrame(pdf))
+    got = {r["id"]: tuple(r[c] for c in names) for r in impute.knn_impute(df, names, "id", 3, leaf_rows=8).collect()}
+    want = brute_knn(pdf, names, 3)
+    assert got.keys() == want.keys()
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row, rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["spread", "hot", "far"])
+def test_tree_leaves_are_bounded(spark, kind):
+    """Every point is in one leaf, inside its box; hot values and far rows leave no large leaf."""
+    rng = np.random.default_rng(3)
+    x = rng.random((6_000, 2))
+    if kind == "hot":
+        x[:4_000, 0] = 0.5
+    if kind == "far":
+        x[:6] *= 1e9
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(len(x)), mask="11")
+    placed, levels = spacetree.grow(spark.createDataFrame(pdf), ["a", "b"], "mask", 40)
+    got = placed.toPandas()
+    assert sorted(got["id"]) == list(range(6_000))
+    boxes = {r["__node"]: r for level in levels for r in level.where("__leaf").collect()}
+    for node, part in got.groupby("__node"):
+        box = boxes.pop(node)
+        assert len(part) == box["__n"] <= 40
+        assert (part[["a", "b"]].min().to_numpy() == box["__lo"]).all()
+        assert (part[["a", "b"]].max().to_numpy() == box["__hi"]).all()
+    assert not boxes and len(levels) <= 6
+
+
+def test_knn_counts_nan_as_missing_and_takes_empty_tables(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 1.5, float("nan")), (3, 9.0, 7.0)], "id int, a double, b double")
+    got = {r["id"]: r["b"] for r in impute.knn_impute(df, ["a", "b"], "id", 1).collect()}
+    assert got == {1: 5.0, 2: 5.0, 3: 7.0}
+    assert impute.knn_impute(df.where("id > 9"), ["a", "b"], "id", 1).collect() == []
+
+
 def test_knn_without_comparable_donor_takes_the_mean(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, 4.0), (3, None, 6.0), (4, None, None)], "id int, a double, b double")
     got = {r["id"]: (r["a"], r["b"]) for r in impute.knn_impute(df, ["a", "b"], "id", 2).collect()}
