@@ -53,9 +53,12 @@ def interpolate(
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; choose from {METHODS}")
-    by, name = list(by), name or column
+    name = name or column
     depth = 1 if method == "linear" else 2
-    rows, n = place_rows(df, order, by, buckets, "__pos")
+    rows = df
+    if by:  # as one text, which is never null, so that a null key is a group like any other
+        rows, by = df.withColumn("__by", F.to_json(F.struct(*by))), ["__by"]
+    rows, n = place_rows(rows, order, by, buckets, "__pos")
     if n > 1:
         rows = with_guests(rows, order, by, F.col(column).isNotNull(), ["__pos", column], depth)
     v, at = F.col(column).cast("double"), F.col("__pos").cast("double")

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tallyframe.operators import splines
+from tallyframe.operators import ordered, splines
 from tallyframe.operators.clean import nan_to_null
 
 
@@ -98,3 +98,13 @@ def test_empty_table_and_unknown_method(spark):
     assert splines.spline(df, "v", "t").collect() == []
     with pytest.raises(ValueError):
         splines.spline(df, "v", "t", method="linear")
+
+
+@pytest.mark.parametrize("method", ordered.METHODS)
+def test_interpolate_keeps_groups_with_a_null_key(spark, method):
+    pdf = pd.concat([table(40, 1).assign(g="a"), table(25, 2).assign(g=None)], ignore_index=True)
+    pdf["t"] = np.arange(len(pdf)) * 2
+    df = nan_to_null(spark.createDataFrame(pdf, "t long, v double, g string"))
+    whole, cut = (ordered.interpolate(df, "v", "t", ["g"], method, n).orderBy("t").toPandas() for n in (1, 5))
+    assert len(whole) == len(cut) == len(pdf)
+    np.testing.assert_allclose(cut["v"], whole["v"], rtol=1e-9)
