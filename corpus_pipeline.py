@@ -47,13 +47,16 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    The texts meet their numbers of copies by a sort-merge join at every size.
+    """
     numbered = docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id())
     rows = checkpointed(numbered)
     sizes = checkpointed(rows.select("__row", F.xxhash64("doc_id", "text").alias("twin"), "source", mixing.word_count(
         mixing.text_or_empty()).alias("size")))
     mixed = mixing.mix(sizes, ["twin", "__row"]).select("__row", "copies").where("copies > 0")
-    return mixing.repeat_rows(rows.join(checkpointed(mixed), "__row"), F.col("copies"), COLUMNS)
+    return mixing.repeat_rows(rows.join(checkpointed(mixed).hint("merge"), "__row"), F.col("copies"), COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,8 +298,8 @@ _TURN = float(np.arccos(8 / 9)) / float(np.pi)
 #: Mean and six standard deviations; from FILTER_FROM shingles on, pairs beyond are not compared further.
 LOOSE_BITS = round(64 * TURNS * _TURN + 6 * (64 * TURNS * _TURN * (1 - _TURN)) ** 0.5)
 FILTER_FROM = 100
-#: Rounds that compare each text with one leader before all open pairs are compared.
-ROUNDS = 2
+#: Rounds that compare each text with the nearest leader of its bands before all open pairs are compared; they end when one links nothing.
+ROUNDS = 4
 
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 31, BANDS * BAND_ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -381,18 +381,31 @@ def add_shingles(df: DataFrame, text_col: str) -> DataFrame:
     return map_batches(df, work, "text_id long, shingles array<long>")
 
 
+def bits_apart(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.s")[t].bitwiseXOR(F.col(f"{b}.s")[t])) for t in range(TURNS)), F.lit(0))
+
+
 def may_be_similar(a: str, b: str) -> Column:
     """Sizes that allow similarity 0.8 and fingerprints within LOOSE_BITS, of the structs ``a`` and ``b`` with n and s."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    bits = sum((F.bit_count(F.col(f"{a}.s")[t].bitwiseXOR(F.col(f"{b}.s")[t])) for t in range(TURNS)), F.lit(0))
-    return (small * 5 >= large * 4) & ((small < FILTER_FROM) | (bits <= LOOSE_BITS))
+    return (small * 5 >= large * 4) & ((small < FILTER_FROM) | (bits_apart(a, b) <= LOOSE_BITS))
+
+
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """(a, b): each text with the least text_id that chains of fingerprints within TAU bits reach.
+
+    ``texts`` is a stored table (text_id, s); the first fingerprint of s counts.
+    """
+    rows = checkpointed(texts.select(F.col("text_id").alias("key"), F.col("s")[0].alias("fp")))
+    groups = print_groups(rows, TAU, PARTS)
+    return checkpointed(rows.join(groups, "fp").where("key <> component_id").select(F.col("key").alias("a"), F.col("component_id").alias("b")))
 
 
-def similar_texts(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def similar_texts(cells: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
     """(vertex, root) of the texts that links of shingle similarity >= 0.8 reach.
 
     ``cells`` is a stored table (text_id, n, s, band), ``sets`` one of (text_id,
-    shingles).  Rounds compare each text with one leader, so a dense group costs
+    shingles), ``near`` one of pairs (a, b) to compare first.  Rounds compare each text with one leader, so a dense group costs
     few pairs.  After them every pair of a band in different clusters is compared.
     """
     sides = [sets.select(F.col("text_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
@@ -412,16 +425,19 @@ def similar_texts(cells: DataFrame, sets: DataFrame) -> DataFrame:
             cluster = F.coalesce("root", "text_id")
         return checkpointed(rows.select("band", F.struct("text_id", "n", "s", cluster.alias("cluster")).alias("x")))
 
-    edges, roots = None, None
+    edges = verified(near)
+    roots = components(edges)
     for turn in range(ROUNDS):
         placed = place(roots)
         leads = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("x.text_id", F.lit(turn)).alias("h"), "x")).alias("lead"))
         met = placed.join(checkpointed(leads), "band").where(F.col("x.cluster") != F.col("lead.x.cluster"))
         met = met.where(may_be_similar("x", "lead.x"))
-        chosen = met.groupBy("x.text_id").agg(F.min(F.struct("lead.h", F.col("lead.x.text_id").alias("b"))).alias("to"))
+        chosen = met.groupBy("x.text_id").agg(F.min(F.struct(bits_apart("x", "lead.x").alias("bits"), "lead.h", F.col("lead.x.text_id").alias("b"))).alias("to"))
         found = verified(chosen.select(F.col("text_id").alias("a"), F.col("to.b").alias("b")))
-        edges = found if edges is None else edges.union(found)
-        roots = checkpointed(components(edges))
+        if found.isEmpty():
+            break
+        edges = checkpointed(edges.union(found))
+        roots = components(edges)
     # Of two texts of different clusters, one at least is outside the cluster that has most texts of their band.
     placed = place(roots)
     sizes = placed.groupBy("band", F.col("x.cluster").alias("cluster")).agg(F.count("*").alias("texts"))
@@ -438,9 +454,11 @@ def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id",
     """The rows of ``docs``, with only the row of least key of each group of near copies.
 
     Two texts are linked if their sets of five-word shingles have Jaccard
-    similarity 0.8 or more, counted exactly for texts that share a band of
+    similarity 0.8 or more, counted exactly for texts whose SimHash fingerprints
+    are chained to one text within TAU bits and for texts that share a band of
     min-hashes.  Equal sets are one group, null and empty texts too; a null key
     comes last in a group.
+    Rows of texts, which no size makes small, meet by a sort-merge join throughout.
     """
     rows = with_row(docs, columns)
     keyed = rows.withColumn("__key", F.col(f"`{key_col}`")).select(F.col(f"`{text_col}`"), "__row", "__key")
@@ -449,13 +467,15 @@ def one_per_group(docs: DataFrame, columns: list[str], key_col: str = "doc_id",
     every = texts.select("text_id", "n", "s", F.explode("bands").alias("band"))
     shared = checkpointed(every.groupBy("band").agg(F.count("*").alias("texts")).where("texts > 1").select("band"))
     cells = checkpointed(every.join(shared, "band"))
-    met = texts.join(cells.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "__row")
-    sets = checkpointed(add_shingles(rows.select("__row", F.col(f"`{text_col}`")).join(met, "__row").select("text_id", F.col(f"`{text_col}`")), text_col))
-    roots = similar_texts(cells, sets).withColumnRenamed("vertex", "text_id")
+    near = simhash_links(texts)
+    compared = cells.select("text_id").union(near.select("a")).union(near.select("b")).distinct()
+    met = texts.join(compared, "text_id", "left_semi").select("text_id", "__row")
+    sets = checkpointed(add_shingles(rows.select("__row", F.col(f"`{text_col}`")).join(met.hint("merge"), "__row").select("text_id", F.col(f"`{text_col}`")), text_col))
+    roots = similar_texts(cells, sets, near).withColumnRenamed("vertex", "text_id")
     placed = checkpointed(printed.select("row", "key", "text_id").join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id")))
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row"))
     kept = checkpointed(placed.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").select(*columns)
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*columns)
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -566,3 +566,14 @@ def test_pipeline_catches_planted_rows(spark, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
     by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(list(r["ids"]) == library.encode(by_id[r["doc_id"]]) for r in last)
+
+
+def test_near_fingerprints_are_compared_without_a_common_band(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda sets: np.array([simhash._turned(x[:1] + np.arange(simhash.BANDS, dtype=np.uint64), 1) * np.uint64(len(x)) for x in sets]))
+    words = "a b c d e f g h i".split()
+    prints = lambda some: int(simhash.majority(simhash.shingle_set(" ".join(some))))
+    last = next(w for w in map(str, range(100_000)) if (prints(words) ^ prints([*words, w])).bit_count() <= simhash.TAU)  # similarity 5/6
+    rows = [(2, " ".join([*words, last])), (1, " ".join(words)), (3, "j k l m n o p")]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"])
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert "SortMergeJoin" in kept._jdf.queryExecution().toString()
