@@ -12,7 +12,6 @@ ids are committed up to the boundary on which all their paths agree.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,11 +43,16 @@ def read_model(path: str) -> tuple[list[str], list[float], list[int]]:
     return [sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], [kind(i) for i in ids]
 
 
+def raw_pieces(pieces: list[str], kinds: list[int]) -> list[bytes]:
+    """The bytes that each id decodes to."""
+    return [b"" if k == 2 else bytes([int(p[3:5], 16)]) if k == 1 else p.encode() for p, k in zip(pieces, kinds)]
+
+
 class Encoder(dict):
-    """Ids of each remembered segment; also the lattice's arcs and what may follow what."""
+    """Packed ids of each remembered segment; also the lattice's arcs and what may follow what."""
 
-    limit = 600_000  # segments, and pairs
-    pairs = 800_000
+    limit = 400_000  # segments, and pairs
+    pairs = 400_000
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         super().__init__()
@@ -56,13 +60,10 @@ class Encoder(dict):
         self.scores = {p: scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = [0] * 256
-        self.raw = [p.encode() for p in pieces]
         for i, (p, k) in enumerate(zip(pieces, kinds)):
             if k == 1:
                 self.bytes[int(p[3:5], 16)] = i
-                self.raw[i] = bytes([int(p[3:5], 16)])
-            elif k == 2:
-                self.raw[i] = b""
+        self.raw = raw_pieces(pieces, kinds)
         self.size, self.names, self.lone = len(pieces), [*pieces, ""], {}
         self.first = len(pieces)  # stands before the first boundary
         self.trie: dict = {}  # pieces by their characters from the last to the first; "" holds the id
@@ -71,7 +72,7 @@ class Encoder(dict):
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by the two arcs' numbers as one
 
     def merged(self, text: str) -> list[str]:
         """Merge the characters of a short text: the best score first, then the leftmost."""
@@ -112,11 +113,11 @@ class Encoder(dict):
                 ends.insert(0, (end - 1, self.number(text[end - 1])))
             for start, arc in reversed(ends):
                 left = arcs[start - base]
-                known = follows.get((left, arc))
+                known = follows.get(left << 32 | arc)
                 if known is None:
                     if len(follows) >= self.pairs:
                         follows.clear()
-                    known = follows[left, arc] = self.may_follow(self.names[left], self.names[arc])
+                    known = follows[left << 32 | arc] = self.may_follow(self.names[left], self.names[arc])
                 if known:
                     starts.append(start)
                     arcs.append(arc)
@@ -143,8 +144,8 @@ class Encoder(dict):
             end = starts[end - base]
         return out[::-1]
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        found = tuple(self.stream(segment))
+    def __missing__(self, segment: str) -> bytes:
+        found = np.array(self.stream(segment), "<i4").tobytes()
         if len(segment) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
@@ -156,12 +157,27 @@ class Encoder(dict):
         if not text:
             return np.zeros(0, np.int32)
         line = SPACE_SIGN + text.replace(" ", SPACE_SIGN)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, SEGMENT.findall(line))), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, SEGMENT.findall(line))), "<i4")
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes join into characters, the first space sign goes, the others become spaces."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return (text[1:] if text.startswith(SPACE_SIGN) else text).replace(SPACE_SIGN, " ")
+        return decode_bytes(b"".join(map(self.raw.__getitem__, ids)))
+
+
+def decode_bytes(raw: bytes) -> str:
+    """The text of the bytes of ids: they join into characters, the first space sign goes, the others become spaces."""
+    text = raw.decode("utf-8", "replace")
+    return (text[1:] if text.startswith(SPACE_SIGN) else text).replace(SPACE_SIGN, " ")
+
+
+def decode_lists(lists: pa.ListArray, raw: list[bytes]) -> list[str]:
+    """The text of each list of ids; the bytes of all lists stand in one Arrow buffer, without an object for each id."""
+    flat = lists.flatten()  # a null list has no values
+    ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+    sizes = np.fromiter(map(len, raw), np.int32)
+    cuts = np.cumsum(sizes[flat.to_numpy()], dtype=np.int64)
+    cuts = np.concatenate([[0], cuts])[ends].tolist()
+    data = pa.array(raw, pa.binary()).take(flat).buffers()[2]
+    return [decode_bytes(data.slice(a, b - a).to_pybytes()) if b > a else "" for a, b in zip(cuts, cuts[1:])]
 
 
 def encode(df: DataFrame, path: str | None = None, name: str = "ids", text_col: str = "text") -> DataFrame:
@@ -187,11 +203,11 @@ def decode(df: DataFrame, path: str | None = None, name: str = "decoded", ids_co
     """All columns of ``df`` and the text of the ids; null ids give an empty text."""
     at = df.columns.index(ids_col)
     path = path or public_tokenizers.path(MODEL)
-    shared = df.sparkSession.sparkContext.broadcast(read_model(path))
+    pieces, _, kinds = read_model(path)
+    shared = df.sparkSession.sparkContext.broadcast(raw_pieces(pieces, kinds))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo = worker_cache(f"pieces_{path}", lambda: Encoder(*shared.value))
-        texts = [memo.decode(i or []) for i in batch.column(at).to_pylist()]
+        texts = decode_lists(batch.column(at), shared.value)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return map_batches(df, work, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
