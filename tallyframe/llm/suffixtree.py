@@ -11,6 +11,9 @@ Frequent words, states and next words are bounded by the least share of the
 corpus that they must have (at most 1 / share of each), so they are sent to all
 tasks.  All other words are counted and looked up by joins and grow with the
 corpus; their probabilities come from the root.
+
+``learn`` and ``score`` are this bounded form, for a tree that the driver holds.
+The query takes ``wordcontexts``, which tries every context.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import by_value, checkpointed, key_text_crc, map_batches, text_or_empty
+from tallyframe.llm.common import by_value, checkpointed, key_text_crc, map_batches
+from tallyframe.llm.wordcontexts import score_texts
 
 by_value(__name__)
 
@@ -289,8 +293,9 @@ def score(df: DataFrame, tree: Tree, counts: DataFrame, key_col: str = "doc_id",
 
 
 def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every whole document, by states from every context of the documents learned from."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    tree, counts = learn(docs.where(~held_out(F.col("doc_id"))).select(text_or_empty().alias("text")))
-    return score(docs, tree, counts).select(
+    found, tokens = score_texts(docs, ~held_out(F.col("doc_id")))
+    return found.select(
         F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "n_tokens", "n_known",
-        F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
