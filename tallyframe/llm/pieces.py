@@ -12,6 +12,7 @@ ids are committed up to the boundary on which all their paths agree.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,8 @@ SPACE_SIGN = "▁"
 SEGMENT = re.compile(f"{SPACE_SIGN}*[^{SPACE_SIGN}]+|{SPACE_SIGN}+")
 #: Segments up to this length are remembered.
 REMEMBERED = 40
+#: Characters before a boundary whose pieces are remembered together.
+TAIL = 3
 #: Characters between two attempts to commit.
 STRIDE = 64
 
@@ -53,6 +56,7 @@ class Encoder(dict):
 
     limit = 400_000  # segments, and pairs
     pairs = 400_000
+    tail_limit = 50_000
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         super().__init__()
@@ -66,23 +70,31 @@ class Encoder(dict):
         self.raw = raw_pieces(pieces, kinds)
         self.size, self.names, self.lone = len(pieces), [*pieces, ""], {}
         self.first = len(pieces)  # stands before the first boundary
-        self.trie: dict = {}  # pieces by their characters from the last to the first; "" holds the id
-        for piece, i in self.ids.items():
-            node = self.trie
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.trie: dict = {}  # pieces by their characters from the last to the first: (id or -1, longer ones)
+        for piece in sorted(self.ids, key=len):
+            level = self.trie
+            for c in piece[:0:-1]:
+                level = level.setdefault(c, (-1, {}))[1]
+            old = level.get(piece[0])
+            level[piece[0]] = self.ids[piece], old[1] if old else {}
+        self.tails: dict = {}
         self.follows: dict[int, bool] = {}  # by the two arcs' numbers as one
 
     def merged(self, text: str) -> list[str]:
         """Merge the characters of a short text: the best score first, then the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
+        parts, scores, none = list(text), self.scores, float("-inf")
+        gains = [scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains:
+            best = max(gains)
+            if best == none:
                 break
-            i = -best[1]
+            i = gains.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = scores.get(parts[i - 1] + parts[i], none)
+            if i < len(gains):
+                gains[i] = scores.get(parts[i] + parts[i + 1], none)
         return parts
 
     def may_follow(self, left: str, right: str) -> bool:
@@ -96,28 +108,61 @@ class Encoder(dict):
             self.names.append(character)
         return at
 
+    def arcs_of(self, tail: str) -> tuple[tuple[tuple[int, int], ...], dict]:
+        """(length, arc) of the pieces that end a tail, the longest first, and the trie's level behind it if it goes on; remembered."""
+        ends, level = [], self.trie
+        for c in reversed(tail):
+            node = level.get(c)
+            if node is None:
+                level = {}
+                break
+            ends.append(node[0])
+            level = node[1]
+        found = [(k + 1, arc) for k, arc in enumerate(ends) if arc >= 0]
+        if not found or found[0][0] > 1:
+            found.insert(0, (1, self.number(tail[-1])))
+        if len(self.tails) >= self.tail_limit:
+            self.tails.clear()
+        held = self.tails[tail] = tuple(reversed(found)), level if len(tail) == TAIL else {}
+        return held
+
+    def longer(self, text: str, at: int, base: int, level: dict) -> tuple[tuple[int, int], ...]:
+        """(length, arc) of the pieces longer than the tail of ``text`` that starts at ``at``, the longest first."""
+        found, length = [], TAIL
+        while at > base:
+            at -= 1
+            length += 1
+            node = level.get(text[at])
+            if node is None:
+                break
+            arc, level = node
+            if arc >= 0:
+                found.append((length, arc))
+        return tuple(reversed(found))
+
     def stream(self, text: str) -> list[int]:
         """Ids of a segment, read once from the left; only a window of arcs is held."""
         out: list[int] = []
         base, starts, arcs = 0, [0], [self.first]  # of boundary base + k: start and number of its surviving arc
-        follows, trie = self.follows, self.trie
+        follows = self.follows
+        tails = self.tails
         for end in range(1, len(text) + 1):
-            node, ends = trie, []
-            for start in range(end - 1, max(base, end - self.longest) - 1, -1):  # pieces that end here, read backwards
-                node = node.get(text[start])
-                if node is None:
-                    break
-                if "" in node:
-                    ends.append((start, node[""]))
-            if not ends or ends[0][0] != end - 1:
-                ends.insert(0, (end - 1, self.number(text[end - 1])))
-            for start, arc in reversed(ends):
-                left = arcs[start - base]
-                known = follows.get(left << 32 | arc)
+            at = end - TAIL
+            tail = text[at if at > base else base : end]
+            held = tails.get(tail)
+            if held is None:
+                held = self.arcs_of(tail)
+            ends, level = held
+            if level and at > base:  # longer pieces come first
+                ends = self.longer(text, at, base, level) + ends
+            for length, arc in ends:
+                start = end - length
+                key = arcs[start - base] << 32 | arc
+                known = follows.get(key)
                 if known is None:
                     if len(follows) >= self.pairs:
                         follows.clear()
-                    known = follows[left << 32 | arc] = self.may_follow(self.names[left], self.names[arc])
+                    known = follows[key] = self.may_follow(self.names[key >> 32], self.names[arc])
                 if known:
                     starts.append(start)
                     arcs.append(arc)
@@ -145,7 +190,7 @@ class Encoder(dict):
         return out[::-1]
 
     def __missing__(self, segment: str) -> bytes:
-        found = np.array(self.stream(segment), "<i4").tobytes()
+        found = array("i", self.stream(segment)).tobytes()
         if len(segment) <= REMEMBERED:
             if len(self) >= self.limit:
                 self.clear()
