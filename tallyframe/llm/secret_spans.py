@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -185,29 +184,38 @@ def gradient(score: np.ndarray, moves: np.ndarray, tags: np.ndarray, real: np.nd
 def train(texts: list[str]) -> tuple[dict[str, tuple[float, ...]], np.ndarray]:
     """(weights by feature, one per tag; moves [from, to]) of greatest conditional likelihood, by Adagrad with weight decay."""
     rng = np.random.default_rng(SEED)
-    windows = [w for t in texts for w in labelled_windows(t, rng)]
-    often = Counter(n for rows, _ in windows for r in rows for n in r)
-    names = {n: i for i, n in enumerate(sorted(n for n, c in often.items() if c >= 3))}
+    windows, seen = [], {}  # names become numbers text by text, so that the driver never holds the names of all windows
+    for text in texts:
+        for rows, tags in labelled_windows(text, rng):
+            windows.append(([np.array([seen.setdefault(n, len(seen)) for n in r], np.int32) for r in rows], tags))
+    often = np.zeros(len(seen), np.int64)
+    for rows, _ in windows:
+        np.add.at(often, np.concatenate(rows), 1)
+    names = {n: i for i, n in enumerate(sorted(n for n, k in seen.items() if often[k] >= 3))}
     none = len(names)
+    number = np.array([names.get(n, -1) for n in seen], np.int32)
+    del seen
     weights, moves = np.zeros((none + 1, 3)), np.zeros((3, 3))
     moves[O, I] = NEVER
-    if not any(t != O for _, tags in windows for t in tags):
+    if not any(t != O for _, marks in windows for t in marks):
         moves[:, 1:] = NEVER  # nothing to learn from: every token is outside
         return {}, moves
     length = 2 * AROUND + 1
     most = max(len(r) for rows, _ in windows for r in rows)
-    slots = np.full((len(windows), length, most), none)
+    slots = np.full((len(windows), length, most), none, np.int32)
     tags = np.zeros((len(windows), length), dtype=np.int64)
     real = np.zeros((len(windows), length), dtype=bool)
     for n, (rows, marks) in enumerate(windows):
         for t, r in enumerate(rows):
-            known = [names[x] for x in r if x in names]
+            known = number[r]
+            known = known[known >= 0]
             slots[n, t, : len(known)] = known
         tags[n, : len(marks)] = marks
         real[n, : len(marks)] = True
+    del windows
     weight_sum, move_sum = np.full_like(weights, 1e-3), np.full_like(moves, 1e-3)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(windows))
+        order = rng.permutation(len(slots))
         for at in range(0, len(order), 128):
             pick = order[at : at + 128]
             score = weights[slots[pick]].sum(axis=2)

@@ -130,7 +130,9 @@ def train(texts: list[str], labels: list[int], prior: float) -> Network:
     """Adam on the log loss; ``prior`` is the share of label 1 among all training labels."""
     rng = np.random.default_rng(SEED)
     memo = WordBuckets()
+    memo.limit = 50_000  # few, and not kept while training: this is the driver
     docs = [word_ids(t, memo) for t in texts]
+    del memo
     y = np.array(labels, dtype=np.float32)
     apart = {d.tobytes(): d for d in docs}.values()  # a copied text counts once
     seen, in_docs = np.unique(np.concatenate([np.unique(d) for d in apart] or [np.zeros(1, np.int32)]), return_counts=True)
