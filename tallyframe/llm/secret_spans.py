@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import by_value, map_batches, text_or_empty, worker_cache
+from tallyframe.llm.common import by_value, made_in_a_task, map_batches, text_or_empty, worker_cache
 
 by_value(__name__)
 
@@ -184,7 +184,7 @@ def gradient(score: np.ndarray, moves: np.ndarray, tags: np.ndarray, real: np.nd
 def train(texts: list[str]) -> tuple[dict[str, tuple[float, ...]], np.ndarray]:
     """(weights by feature, one per tag; moves [from, to]) of greatest conditional likelihood, by Adagrad with weight decay."""
     rng = np.random.default_rng(SEED)
-    windows, seen = [], {}  # names become numbers text by text, so that the driver never holds the names of all windows
+    windows, seen = [], {}  # names become numbers text by text, so that the names of all windows are never held
     for text in texts:
         for rows, tags in labelled_windows(text, rng):
             windows.append(([np.array([seen.setdefault(n, len(seen)) for n in r], np.int32) for r in rows], tags))
@@ -350,13 +350,13 @@ SPAN_TYPE = T.ArrayType(T.StructType([
 
 def fit(df: DataFrame, key_col: str = "doc_id", text_col: str = "text",
         hinted: int = SAMPLE_HINTED, other: int = SAMPLE_OTHER) -> tuple[dict, np.ndarray]:
-    """Train on at most ``hinted`` keys whose texts hint at a pattern and ``other`` keys of any kind."""
+    """Train, in one task, on at most ``hinted`` keys whose texts hint at a pattern and ``other`` keys of any kind."""
     rows = df.select(F.col(f"`{key_col}`").alias("key"), text_or_empty(text_col).alias("text")).where("key is not null")
     order = [F.xxhash64("key"), F.col("key")]
     keys = rows.where(F.col("text").rlike(HINT)).select("key").orderBy(*order).limit(hinted)
     keys = keys.union(rows.select("key").orderBy(*order).limit(other)).distinct()
-    texts = sorted(r["text"] for r in rows.join(F.broadcast(keys), "key").select("text").collect())
-    return train(texts)
+    texts = rows.join(F.broadcast(keys), "key").select("text")
+    return made_in_a_task(texts, lambda found: train(sorted(text for text, in found)))
 
 
 def scan(df: DataFrame, model: tuple[dict, np.ndarray], name: str = "spans", text_col: str = "text") -> DataFrame:

@@ -140,9 +140,13 @@ def value_counts(prints: DataFrame, blocks: list[tuple[int, int, list[int]]]) ->
         keys, counts = np.unique(keys, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
+    # As columns: the driver holds no object for each count.
+    found = map_batches(prints, work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (found[c].to_numpy() for c in ("key", "n"))
     out = [np.zeros(1 << len(b)) for _, _, b in blocks]
-    for r in map_batches(prints, work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        out[r["key"] >> 16][r["key"] & 0xFFFF] = r["n"]
+    for at, counts in enumerate(out):
+        here = keys >> 16 == at
+        counts[keys[here] & 0xFFFF] = n[here]
     return out
 
 

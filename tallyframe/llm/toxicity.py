@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import by_value, checkpointed, key_text_crc, map_batches, text_or_empty, worker_cache
+from tallyframe.llm.common import by_value, checkpointed, key_text_crc, made_in_a_task, map_batches, text_or_empty, worker_cache
 
 by_value(__name__)
 
@@ -130,7 +130,7 @@ def train(texts: list[str], labels: list[int], prior: float) -> Network:
     """Adam on the log loss; ``prior`` is the share of label 1 among all training labels."""
     rng = np.random.default_rng(SEED)
     memo = WordBuckets()
-    memo.limit = 50_000  # few, and not kept while training: this is the driver
+    memo.limit = 50_000  # few, and not kept while training
     docs = [word_ids(t, memo) for t in texts]
     del memo
     y = np.array(labels, dtype=np.float32)
@@ -228,16 +228,22 @@ def training_labels(labels: DataFrame, key_col: str = "doc_id") -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text",
         per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Train on the ``per_class`` labelled keys of least hash in each class; whole texts, read once."""
+    """Train on the ``per_class`` labelled keys of least hash in each class, in one task; whole texts, read once."""
     known = checkpointed(training_labels(labels, key_col))
     n, ones = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     picked = [
         known.where(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(per_class) for c in (0, 1)
     ]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
-    rows = docs.select(F.col(f"`{key_col}`").alias("key"), text_or_empty(text_col).alias("text")).join(sample, "key").collect()
-    rows.sort(key=lambda r: (r["key"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], (ones or 0) / max(n, 1))
+    rows = docs.select(F.col(f"`{key_col}`").alias("key"), text_or_empty(text_col).alias("text")).join(sample, "key")
+    prior = (ones or 0) / max(n, 1)
+
+    def work(rows: list[tuple]) -> list:
+        rows = sorted(rows, key=lambda r: r[:2])
+        net = train([text for _, text, _ in rows], [toxic for _, _, toxic in rows], prior)
+        return [getattr(net, f.name) for f in fields(Network)]
+
+    return Network(*made_in_a_task(rows.select("key", "text", "toxic"), work))
 
 
 def score(df: DataFrame, net: Network, name: str = "score", text_col: str = "text") -> DataFrame:
