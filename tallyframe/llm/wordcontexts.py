@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import by_value, checkpointed, text_or_empty
+from tallyframe.llm.common import by_value, checkpointed, removed, text_or_empty
 
 by_value(__name__)
 
@@ -380,7 +380,9 @@ def score_texts(df: DataFrame, train, key_col: str = "doc_id", text_col: str = "
     if texts > range_tokens:
         hot[END] = -(-texts // range_tokens)
     hits = numbered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("hits"))  # the words of one block
-    held = blocks.select("block", "keys", "body").join(hits, "block", "left")
+    # Stored, as two steps read it; what is stored already takes no more room.
+    held = checkpointed(blocks.select("block", "keys", "body").join(hits, "block", "left"))
+    removed(blocks, numbered)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         for batch in batches:
@@ -406,7 +408,7 @@ def score_texts(df: DataFrame, train, key_col: str = "doc_id", text_col: str = "
     dealt = held.select("block", "body", "hits").mapInArrow(deal, EXCHANGE)
     if hot:
         dealt = dealt.unionByName(hot_states(held.select("body", "hits"), read, hot, tokens, buckets))
-    answered = dealt.groupBy("bucket").applyInPandas(lambda frame: range_answers(frame, hot, tokens), EXCHANGE)
+    answered = checkpointed(dealt.groupBy("bucket").applyInPandas(lambda frame: range_answers(frame, hot, tokens), EXCHANGE))
     found = answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "body")).alias("found"))  # the places of one block
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,13 @@ def test_a_context_is_a_state_however_small_its_share(spark, tmp_path):
     assert sum(not found[1_000 + i]["held_out"] for i in range(5)) >= 3
     assert found[1_000]["train_tokens"] > 300_000
     assert found[1_000]["score"] > found[1_000]["base_score"] + 100
+
+
+def test_tables_that_are_not_read_again_are_removed(spark, tmp_path, monkeypatch):
+    from tallyframe.plans import sizing
+
+    monkeypatch.setattr(sizing, "_base_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} d", i % 7 != 2) for i in range(60)], "doc_id long, text string, learn boolean")
+    found, _ = wordcontexts.score_texts(docs, docs["learn"])
+    assert found.count() == 60
+    assert len(list(tmp_path.glob("stage-*"))) == 2  # the blocks with their numbers, and the answers

@@ -3,6 +3,7 @@
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.plans import sizing
@@ -23,3 +24,14 @@ def test_a_stage_table_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
     assert spark.conf.get(sizing.REMOVE_SHUFFLES, None) == before
     assert stage.count() == 200_000
     assert rows.count() == 200_000  # the frame itself can run again
+
+
+def test_a_stage_table_can_be_removed_and_nothing_else(spark, tmp_path):
+    stage = sizing.checkpointed(spark.range(10))
+    folder = Path(stage.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    sizing.removed(stage)
+    assert not folder.exists()
+    spark.range(3).write.parquet(f"{tmp_path}/given")
+    with pytest.raises(ValueError):
+        sizing.removed(spark.read.parquet(f"{tmp_path}/given"))
