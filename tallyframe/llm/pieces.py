@@ -34,6 +34,8 @@ SEGMENT = re.compile(f"{SPACE_SIGN}*[^{SPACE_SIGN}]+|{SPACE_SIGN}+")
 REMEMBERED = 40
 #: Characters before a boundary whose pieces are remembered together.
 TAIL = 3
+#: First characters of a segment whose arcs are remembered together.
+HEAD = 5
 #: Characters between two attempts to commit.
 STRIDE = 64
 
@@ -54,12 +56,14 @@ def raw_pieces(pieces: list[str], kinds: list[int]) -> list[bytes]:
 class Encoder(dict):
     """Packed ids of each remembered segment; also the lattice's arcs and what may follow what."""
 
-    limit = 400_000  # segments, and pairs
+    limit = 400_000  # segments, half of them from before the last ones met
     pairs = 400_000
     tail_limit = 50_000
+    head_limit = 30_000
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[int]):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 0}
         self.scores = {p: scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
@@ -78,6 +82,7 @@ class Encoder(dict):
             old = level.get(piece[0])
             level[piece[0]] = self.ids[piece], old[1] if old else {}
         self.tails: dict = {}
+        self.heads: dict[str, tuple[list[int], list[int]]] = {}
         self.follows: dict[int, bool] = {}  # by the two arcs' numbers as one
 
     def merged(self, text: str) -> list[str]:
@@ -128,7 +133,7 @@ class Encoder(dict):
 
     def longer(self, text: str, at: int, base: int, level: dict) -> tuple[tuple[int, int], ...]:
         """(length, arc) of the pieces longer than the tail of ``text`` that starts at ``at``, the longest first."""
-        found, length = [], TAIL
+        found, length = (), TAIL
         while at > base:
             at -= 1
             length += 1
@@ -137,19 +142,17 @@ class Encoder(dict):
                 break
             arc, level = node
             if arc >= 0:
-                found.append((length, arc))
-        return tuple(reversed(found))
+                found = ((length, arc), *found)
+        return found
 
     def stream(self, text: str) -> list[int]:
         """Ids of a segment, read once from the left; only a window of arcs is held."""
         out: list[int] = []
         base, starts, arcs = 0, [0], [self.first]  # of boundary base + k: start and number of its surviving arc
-        follows = self.follows
-        tails = self.tails
+        follows, known_of, tail_of = self.follows, self.follows.get, self.tails.get
         for end in range(1, len(text) + 1):
             at = end - TAIL
-            tail = text[at if at > base else base : end]
-            held = tails.get(tail)
+            held = tail_of(tail := text[at if at > base else base : end])
             if held is None:
                 held = self.arcs_of(tail)
             ends, level = held
@@ -158,7 +161,7 @@ class Encoder(dict):
             for length, arc in ends:
                 start = end - length
                 key = arcs[start - base] << 32 | arc
-                known = follows.get(key)
+                known = known_of(key)
                 if known is None:
                     if len(follows) >= self.pairs:
                         follows.clear()
@@ -167,7 +170,7 @@ class Encoder(dict):
                     starts.append(start)
                     arcs.append(arc)
                     break
-            if end - base >= STRIDE and end % STRIDE == 0:
+            if end % STRIDE == 0 and end - base >= STRIDE:
                 open_ends = set(range(max(base, end - self.longest + 1), end + 1))
                 while len(open_ends) > 1:  # walk the latest path back until all paths are on one boundary
                     latest = max(open_ends)
@@ -178,6 +181,46 @@ class Encoder(dict):
                 starts, arcs, base = starts[meet - base :], arcs[meet - base :], meet
         return out + self.path(starts, arcs, len(text), base)
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a segment too short to commit before its end.
+
+        What survives at a boundary depends on the characters before it alone, so segments share the arcs of their first HEAD characters.
+        """
+        head = text[:HEAD]
+        held = self.heads.get(head)
+        if held is None:
+            if len(self.heads) >= self.head_limit:
+                self.heads.clear()
+            held = self.heads[head] = self.walk(head, [0], [self.first])
+        if len(text) > HEAD:
+            held = self.walk(text, held[0].copy(), held[1].copy())
+        return self.path(*held, len(text), 0)
+
+    def walk(self, text: str, starts: list[int], arcs: list[int]) -> tuple[list[int], list[int]]:
+        """The starts and arcs of all boundaries of ``text``, which are given up to one of them; as in ``stream``."""
+        follows, known_of, tail_of = self.follows, self.follows.get, self.tails.get
+        for end in range(len(starts), len(text) + 1):
+            at = end - TAIL
+            held = tail_of(tail := text[at:end] if at > 0 else text[:end])
+            if held is None:
+                held = self.arcs_of(tail)
+            ends, level = held
+            if level and at > 0:  # longer pieces come first
+                ends = self.longer(text, at, 0, level) + ends
+            for length, arc in ends:
+                start = end - length
+                key = arcs[start] << 32 | arc
+                known = known_of(key)
+                if known is None:
+                    if len(follows) >= self.pairs:
+                        follows.clear()
+                    known = follows[key] = self.may_follow(self.names[key >> 32], self.names[arc])
+                if known:
+                    starts.append(start)
+                    arcs.append(arc)
+                    break
+        return starts, arcs
+
     def path(self, starts: list[int], arcs: list[int], end: int, base: int) -> list[int]:
         out = []
         while end > base:
@@ -190,9 +233,12 @@ class Encoder(dict):
         return out[::-1]
 
     def __missing__(self, segment: str) -> bytes:
-        found = array("i", self.stream(segment)).tobytes()
+        found = self.old.get(segment)
+        if found is None:
+            found = array("i", self.whole(segment) if len(segment) < STRIDE else self.stream(segment)).tobytes()
         if len(segment) <= REMEMBERED:
-            if len(self) >= self.limit:
+            if len(self) >= self.limit // 2:  # what is met again outlives what is met once
+                self.old = self.copy()
                 self.clear()
             self[segment] = found
         return found
