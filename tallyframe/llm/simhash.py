@@ -302,6 +302,8 @@ _TURN = float(np.arccos(8 / 9)) / float(np.pi)
 #: Mean and six standard deviations; from FILTER_FROM shingles on, pairs beyond are not compared further.
 LOOSE_BITS = round(64 * TURNS * _TURN + 6 * (64 * TURNS * _TURN * (1 - _TURN)) ** 0.5)
 FILTER_FROM = 100
+#: Bits of the parities of a shingle set, for the pairs that no round has linked.
+PARITY_BITS = 1024
 #: Rounds that compare each text with the nearest leader of its bands before all open pairs are compared; they end when one links nothing.
 ROUNDS = 4
 
@@ -395,6 +397,34 @@ def may_be_similar(a: str, b: str) -> Column:
     return (small * 5 >= large * 4) & ((small < FILTER_FROM) | (bits_apart(a, b) <= LOOSE_BITS))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as integers; a bit tells whether an odd number of shingles fall to it."""
+    counts = np.bincount((shingles.view(np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return pack_bits((counts % 2 == 1).reshape(-1, 64))
+
+
+def add_parities(sets: DataFrame) -> DataFrame:
+    """(text_id, odd) of (text_id, shingles)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        odd = [parities(x.values.to_numpy()).view(np.int64).tolist() for x in batch.column(names.index("shingles"))]
+        return pa.RecordBatch.from_arrays([batch.column(names.index("text_id")), pa.array(odd, pa.list_(pa.int64()))], ["text_id", "odd"])
+
+    return map_batches(sets, work, "text_id long, odd array<long>")
+
+
+def parities_allow(a: str, b: str) -> Column:
+    """False only for sets of similarity below 0.8, of the structs ``a`` and ``b`` with n and odd.
+
+    A shingle that one set alone has turns one bit, so the sets differ in at
+    least as many shingles as bits; at similarity 0.8 they differ in a ninth of
+    their sizes' sum at most.
+    """
+    bits = sum((F.bit_count(F.col(f"{a}.odd")[k].bitwiseXOR(F.col(f"{b}.odd")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    return bits * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def simhash_links(texts: DataFrame) -> DataFrame:
     """(a, b): each text with the least text_id that chains of fingerprints within TAU bits reach.
 
@@ -410,7 +440,8 @@ def similar_texts(cells: DataFrame, sets: DataFrame, near: DataFrame) -> DataFra
 
     ``cells`` is a stored table (text_id, n, s, band), ``sets`` one of (text_id,
     shingles), ``near`` one of pairs (a, b) to compare first.  Rounds compare each text with one leader, so a dense group costs
-    few pairs.  After them every pair of a band in different clusters is compared.
+    few pairs.  After them every pair of a band in different clusters is compared, by
+    its parities first: texts that are alike but less than 0.8 leave next to no row.
     """
     sides = [sets.select(F.col("text_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
 
@@ -447,9 +478,13 @@ def similar_texts(cells: DataFrame, sets: DataFrame, near: DataFrame) -> DataFra
     sizes = placed.groupBy("band", F.col("x.cluster").alias("cluster")).agg(F.count("*").alias("texts"))
     main = checkpointed(sizes.groupBy("band").agg(F.max(F.struct("texts", "cluster"))["cluster"].alias("main"), F.count("*").alias("clusters")).where("clusters > 1"))
     open_cells = checkpointed(placed.join(main, "band"))
+    open_texts = open_cells.select(F.col("x.text_id").alias("text_id")).distinct()
+    odd = checkpointed(add_parities(sets.join(open_texts, "text_id", "left_semi")).withColumnRenamed("text_id", "id"))
+    open_cells = checkpointed(open_cells.join(odd, F.col("x.text_id") == F.col("id")).select("band", "main", F.struct("x.*", "odd").alias("x")))
     outside = open_cells.where(F.col("x.cluster") != F.col("main")).select("band", F.col("x").alias("y"))
     apart = F.col("x.cluster") != F.col("y.cluster")
-    left = open_cells.join(outside, (open_cells["band"] == outside["band"]) & apart & may_be_similar("x", "y"))
+    alike = may_be_similar("x", "y") & parities_allow("x", "y")
+    left = open_cells.join(outside, (open_cells["band"] == outside["band"]) & apart & alike)
     last = verified(left.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")))
     return checkpointed(components(edges.union(last)))
 

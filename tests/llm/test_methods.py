@@ -376,6 +376,34 @@ def test_near_copies_do_not_hang_on_one_leader(spark):
     assert got == plain_firsts(rows)
 
 
+def test_texts_alike_below_the_limit_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [f"v{rng.randrange(2000)}" for _ in range(150)]
+    rows = list(enumerate(" ".join(edited(rng, base, rng.randrange(1, 9))) for _ in range(150)))
+    made, stored = [], simhash.checkpointed
+
+    def counted(df):
+        out = stored(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.one_per_group(df, ["doc_id", "text"]).collect())
+    assert got == plain_firsts(rows) and len(got) > 50
+    assert max(made) <= 3 * len(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 30, 900, 20_000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 8 :], rng.integers(0, 1 << 63, size // 5).astype(np.uint64)]))
+        bits = sum(int(x).bit_count() for x in simhash.parities(a) ^ simhash.parities(b))
+        assert bits <= len(np.setxor1d(a, b)) and simhash.parities(a).tolist() == simhash.parities(a[::-1].copy()).tolist()
+
+
 # Token counts and pieces ------------------------------------------------------------------------
 
 STRANGE = ["", " ", "  ", "x'll 'll 're're don't 'tis it''s '", " <|endoftext|> a<|endoftext|><|endoftext|>b", "a" * 3000, " " * 60, "\x00a\x85 z\n\n", "ⅷ²3 日本語🙂", "?!' 's"]
