@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import by_value, checkpointed, text_or_empty
+from tallyframe.llm.common import by_value, checkpointed, removed, text_or_empty
 
 by_value(__name__)
 
@@ -124,11 +124,25 @@ def relation_batch(rows: list[tuple]) -> pa.RecordBatch:
          pa.array(names, pa.list_(pa.int64()))], ["block", "size", "places", "codes", "names"])
 
 
-def frequent_words(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
+    """(block, code, a, id, lang, word): the words with at least ``least`` occurrences, for every block that has them.
+
+    A stage table; one row of each word names its lang and word, the others hold
+    null there.  Blocks hold a word once, so even the most frequent one has one
+    row per block, and the shuffle that counts words also marks them.
+    """
+    word = Window.partitionBy("lang", "word")
+    both = F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))
+    rows = blocks.select("block", "lang", F.posexplode(both).alias("code", "hit")).select("block", "lang", "code", "hit.word", "hit.n")
+    # Numbered behind the shuffle, which the window shares; the stage table fixes the numbers.
+    rows = rows.repartition("lang", "word").withColumn("row", F.monotonically_increasing_id())
+    counted = rows.select("*", F.sum("n").over(word).alias("a"), F.min("row").over(word).alias("id")).where(F.col("a") >= least)
+    return checkpointed(counted.select("block", "code", "a", "id", *[F.when(F.col("row") == F.col("id"), F.col(c)).alias(c) for c in ("lang", "word")]))
+
+
+def word_relation(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """The relation of length 1: the blocks without the words that are not frequent."""
-    words = blocks.select("block", "lang", F.posexplode("words").alias("code", "word"))
-    hits = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(
-        F.collect_list(F.struct("code", "id")).alias("hits"))  # at most the words of one block
+    hits = words.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("hits"))  # at most the words of one block
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +155,8 @@ def frequent_words(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
                 keep = codes >= 0
                 yield relation_batch([(block.as_py(), int(keep.sum()), pack(unpack(places.as_py(), size)[keep]), pack(codes[keep]), names)])
 
-    both = blocks.join(hits, "block").select("block", "size", "places", "codes", "hits", F.size("words").alias("width"))
+    narrow = blocks.select("block", "size", "places", "codes", F.size("words").alias("width"))  # the words stay where they are
+    both = narrow.join(hits, "block").select("block", "size", "places", "codes", "hits", "width")
     return checkpointed(both.mapInArrow(work, RELATION))
 
 
@@ -204,11 +219,6 @@ def extended(relation: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(relation.join(hits, "block").select(*relation.columns, "hits").mapInArrow(work, RELATION))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """A stage table with an id that stays the same whenever it is read again."""
-    return checkpointed(df.withColumn("id", F.monotonically_increasing_id()))
-
-
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     """floor(1000 a n / (left right)); the products have 38 digits."""
     a, n, left, right, thousand = (c.cast("decimal(38,0)") for c in (a, n, left, right, F.lit(1000)))
@@ -223,13 +233,15 @@ def mine_phrases(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     arithmetic.  A phrase that lies in a longer one of as many occurrences is
     dropped.  A null text has no words, a null group counts as ``und``, repeated
     rows count again, and an empty table gives no rows.  Other columns are not read.
+    Stage tables are deleted when the next length is made.
     """
     docs = df.select(F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     blocks = word_blocks(docs)
-    totals = blocks.groupBy("lang").agg(F.sum(F.col("size").cast("long")).alias("n"))
-    words = blocks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
-    phrases = numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
-    relation = frequent_words(blocks, phrases)
+    totals = checkpointed(blocks.groupBy("lang").agg(F.sum(F.col("size").cast("long")).alias("n")))
+    words = frequent_words(blocks, least)
+    phrases = checkpointed(words.where("word is not null").select("id", "lang", "word", "a"))
+    relation = word_relation(blocks, words)
+    removed(blocks, words)
     # pre and suf count the first and the last 1, 2, ... words of the phrase.
     held = phrases.select("id", "lang", F.array("word").alias("words"), F.array("a").alias("pre"), F.array("a").alias("suf"))
     found = []
@@ -249,8 +261,10 @@ def mine_phrases(df: DataFrame, text_col: str = "text", group_col: str = "lang",
                     for side, counted in (("left", "pre"), ("right", "suf"))]
             found[-1] = found[-1].join(ends[0].union(ends[1]), "id", "left_anti")
         found.append(here)
+        spent = relation
         if length < longest:
             relation = extended(relation, pairs)
+        removed(spent, pairs)
         held = here
     if not found:
         return df.sparkSession.createDataFrame([], "lang string, phrase string, a long, l long, r long, n long, score long")

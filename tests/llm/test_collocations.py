@@ -1,7 +1,9 @@
 """Phrase mining against a plain count of all phrases."""
 
+import os
 import random
 import re
+import urllib.parse
 from collections import Counter, defaultdict
 
 import pytest
@@ -106,3 +108,20 @@ def test_query_equals_its_sql_on_odd_rows(spark, odd_dir):
     want = con.execute(collocations.OP13_SQL)
     assert [c[0] for c in want.description] == rows.columns
     assert sorted(tuple(r) for r in rows.collect()) == sorted(want.fetchall()) != []
+
+
+def test_spent_stage_tables_are_deleted_and_words_meet_no_join(spark, rows, monkeypatch):
+    made, stored = [], collocations.checkpointed
+
+    def noted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        out = stored(df)
+        made.append((out.columns, [urllib.parse.urlparse(f).path for f in out.inputFiles()], plan))
+        return out
+
+    monkeypatch.setattr(collocations, "checkpointed", noted)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert mined(df, least=12) == plain(rows, 12, 5, 2_000)
+    spent = [files for columns, files, _ in made if "block" in columns]
+    assert len(spent) > 4 and not any(os.path.exists(f) for files in spent for f in files)
+    assert not any("Join" in plan for columns, _, plan in made if "word" in columns)
