@@ -47,11 +47,20 @@ RELATION = "block long, size int, places binary, codes binary, names array<long>
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    """Compressed byte planes; ascending numbers as their differences."""
+    numbers = numbers.astype("<i4")
+    steps = np.diff(numbers, prepend=np.int32(0)).astype("<i4")
+    ascending = bool((steps >= 0).all())
+    planes = (steps if ascending else numbers).view(np.uint8).reshape(-1, 4).T
+    return bytes([ascending]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes, size: int) -> np.ndarray:
-    return np.zeros(0, "<i4") if size == 0 else np.frombuffer(pa.decompress(packed, size * 4, codec="zstd", asbytes=True), "<i4")
+    if size == 0:
+        return np.zeros(0, "<i4")
+    planes = np.frombuffer(pa.decompress(memoryview(packed)[1:], size * 4, codec="zstd", asbytes=True), np.uint8).reshape(4, size)
+    numbers = np.ascontiguousarray(planes.T).view("<i4").ravel()
+    return np.cumsum(numbers, dtype="<i4") if packed[0] else numbers
 
 
 def pieces_of(text: str) -> list[list[bytes]]:

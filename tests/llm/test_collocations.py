@@ -6,6 +6,7 @@ import re
 import urllib.parse
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallyframe.llm import collocations
@@ -125,3 +126,11 @@ def test_spent_stage_tables_are_deleted_and_words_meet_no_join(spark, rows, monk
     spent = [files for columns, files, _ in made if "block" in columns]
     assert len(spent) > 4 and not any(os.path.exists(f) for files in spent for f in files)
     assert not any("Join" in plan for columns, _, plan in made if "word" in columns)
+
+
+def test_places_take_little_room_and_come_back():
+    places = np.arange(100_000) + np.repeat(np.arange(5_000), 20)
+    codes = np.random.default_rng(5).zipf(1.3, 100_000) % 40_000
+    for numbers in (places, codes, places[:1], codes[:0], np.array([3, 3, 3]), np.array([2**31 - 1, 0])):
+        assert collocations.unpack(collocations.pack(numbers), len(numbers)).tolist() == numbers.tolist()
+    assert len(collocations.pack(places)) < 5_000
