@@ -50,6 +50,8 @@ def interpolate(
                    (one before and two after at the start); null outside.
     ``cubic``      a Catmull-Rom piece on two known rows either side; outside
                    the known range the line through the two nearest rows.
+
+    Rows tied in ``order`` follow each other in the order of their other columns.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; choose from {METHODS}")
@@ -60,10 +62,10 @@ def interpolate(
         rows, by = df.withColumn("__by", F.to_json(F.struct(*by))), ["__by"]
     rows, n = place_rows(rows, order, by, buckets, "__pos")
     if n > 1:
-        rows = with_guests(rows, order, by, F.col(column).isNotNull(), ["__pos", column], depth)
+        rows = with_guests(rows, "__pos", by, F.col(column).isNotNull(), [column], depth)
     v, at = F.col(column).cast("double"), F.col("__pos").cast("double")
     cell = Window.partitionBy(*by, BUCKET)
-    up, down = cell.orderBy(F.col(order)), cell.orderBy(F.col(order).desc())
+    up, down = cell.orderBy("__pos"), cell.orderBy(F.col("__pos").desc())
 
     def near(direction) -> Column:
         """Nearest known row in one direction, with the known row beyond it."""

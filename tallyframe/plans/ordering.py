@@ -3,8 +3,9 @@
 The order key is cut into buckets of about equal row counts by a quantile
 sketch.  Windows run inside (group, bucket); what a bucket needs from outside
 (an offset, or the nearest known rows) comes from a summary with one row per
-(group, bucket).  The key must be a unique, non-null number or time, because
-all rows with one key value fall into one bucket.
+(group, bucket).  The key must be a non-null number or time with few rows to a
+value, because all rows with one key value fall into one bucket; positions put
+tied rows in the order of their other columns.
 """
 
 from __future__ import annotations
@@ -54,13 +55,33 @@ def with_buckets(df: DataFrame, order: str, buckets: int | None = None) -> tuple
     return df.withColumn(BUCKET, F.lit(0)), 1
 
 
+def _sorts(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sorts(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sorts(f.dataType) for f in kind)
+    return isinstance(
+        kind,
+        (T.NumericType, T.StringType, T.CharType, T.VarcharType, T.BinaryType, T.BooleanType, T.DatetimeType),
+    )
+
+
+def total_order(df: DataFrame, order: str) -> list[Column]:
+    """``order``, then all other columns that sort: every evaluation puts rows tied in ``order`` alike."""
+    return [F.col(order), *[F.col(f"`{f.name}`") for f in df.schema if f.name != order and _sorts(f.dataType)]]
+
+
 def place_rows(
     df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None, name: str = "position"
 ) -> tuple[DataFrame, int]:
-    """Add bucket and 0-based position in ``order`` (per group if ``by``)."""
+    """Add bucket and 0-based position in ``order`` (per group if ``by``).
+
+    No two rows of a group share a position: what looks along the rows should
+    follow the position, as ``order`` may have ties.
+    """
     by = list(by)
     cut, n = with_buckets(df, order, buckets)
-    local = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(order)) - 1
+    local = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*total_order(df, order))) - 1
     if n == 1:
         return cut.withColumn(name, local.cast("long")), n
     sizes = cut.groupBy(*by, BUCKET).agg(F.count("*").alias("__size"))

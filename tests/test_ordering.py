@@ -129,3 +129,17 @@ def test_nth_values_with_narrowed_brackets(spark):
     got = {r["g"]: r["nth"] for r in quantiles.nth_values(df, ["g"], "v", 3_000, few_rows=500).collect()}
     want = df.toPandas().sort_values("v").groupby("g").nth(2_999).set_index("g")["v"].to_dict()
     assert got == want
+
+
+@pytest.mark.parametrize("method", ["cubic"])
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_rows_tied_in_the_order_follow_their_other_columns(spark, method, buckets):
+    """Twelve rows share each time, known and unknown ones: no two of them may be neighbours at distance 0."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"id": np.arange(600), "t": rng.permutation(600) // 12, "v": rng.normal(size=600)})
+    pdf.loc[rng.random(600) < 0.5, "v"] = np.nan
+    pdf["place"] = pdf.sort_values(["t", "id"]).assign(place=range(600))["place"]
+    df = spark.createDataFrame(pdf).repartition(7, "v").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    want = ordered.interpolate(df, "v", "place", method=method, buckets=1).toPandas().sort_values("id")
+    got = ordered.interpolate(df.drop("place"), "v", "t", method=method, buckets=buckets).toPandas().sort_values("id")
+    np.testing.assert_allclose(got["v"].to_numpy(float), want["v"].to_numpy(float), rtol=1e-9)
