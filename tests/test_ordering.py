@@ -131,7 +131,7 @@ def test_nth_values_with_narrowed_brackets(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("method", ["cubic"])
+@pytest.mark.parametrize("method", ["linear", "cubic"])
 @pytest.mark.parametrize("buckets", [1, 6])
 def test_rows_tied_in_the_order_follow_their_other_columns(spark, method, buckets):
     """Twelve rows share each time, known and unknown ones: no two of them may be neighbours at distance 0."""
