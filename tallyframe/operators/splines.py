@@ -39,7 +39,8 @@ def spline(
 
     Nulls before the first and after the last known value stay null, and so do
     those of groups with fewer than four (cubic) or three (quadratic) known
-    values.  ``order`` must be unique; known values stay as they are, as double.
+    values.  Rows tied in ``order`` follow each other in the order of their other
+    columns; known values stay as they are, as double.
     """
     if method not in LEAST:
         raise ValueError(f"unknown method {method!r}; choose from {tuple(LEAST)}")
@@ -57,14 +58,14 @@ def spline(
     named = slopes.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keyed)], "__slope")
     rows = rows.join(named, same, "left").drop(*[f"__k_{i}" for i in range(len(keyed))])
     if n > 1:
-        rows = with_guests(rows, order, by, F.col("__y").isNotNull(), ["__x", "__y", "__slope"])
+        rows = with_guests(rows, "__x", by, F.col("__y").isNotNull(), ["__y", "__slope"])
     point = F.when(F.col("__y").isNotNull(), F.struct("__x", "__y", "__slope"))
     cell = Window.partitionBy(*by, BUCKET)
     to_here = (Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns(
         {
-            "__l": F.last(point, ignorenulls=True).over(cell.orderBy(F.col(order)).rowsBetween(*to_here)),
-            "__r": F.last(point, ignorenulls=True).over(cell.orderBy(F.col(order).desc()).rowsBetween(*to_here)),
+            "__l": F.last(point, ignorenulls=True).over(cell.orderBy("__x").rowsBetween(*to_here)),
+            "__r": F.last(point, ignorenulls=True).over(cell.orderBy(F.col("__x").desc()).rowsBetween(*to_here)),
         }
     )
     if n > 1:

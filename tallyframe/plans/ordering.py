@@ -77,9 +77,12 @@ def place_rows(
     """Add bucket and 0-based position in ``order`` (per group if ``by``).
 
     No two rows of a group share a position: what looks along the rows should
-    follow the position, as ``order`` may have ties.
+    follow the position, as ``order`` may have ties.  A table of more than
+    ROWS_PER_BUCKET rows for each of ``buckets`` is cut into more of them.
     """
     by = list(by)
+    if buckets is None or buckets > 1:
+        buckets = max(buckets or 1, bucket_count(df, None))
     cut, n = with_buckets(df, order, buckets)
     local = F.row_number().over(Window.partitionBy(*by, BUCKET).orderBy(*total_order(df, order))) - 1
     if n == 1:

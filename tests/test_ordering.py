@@ -143,3 +143,11 @@ def test_rows_tied_in_the_order_follow_their_other_columns(spark, method, bucket
     want = ordered.interpolate(df, "v", "place", method=method, buckets=1).toPandas().sort_values("id")
     got = ordered.interpolate(df.drop("place"), "v", "t", method=method, buckets=buckets).toPandas().sort_values("id")
     np.testing.assert_allclose(got["v"].to_numpy(float), want["v"].to_numpy(float), rtol=1e-9)
+
+
+def test_large_tables_are_cut_into_more_buckets_than_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 40)
+    pdf, df = table(spark)
+    rows, n = ordering.place_rows(df, "id", buckets=2)
+    assert n == 10 and max(r["count"] for r in rows.groupBy("__bucket").count().collect()) <= 60
+    assert rows.toPandas().sort_values("id")["position"].tolist() == list(range(len(pdf)))

@@ -108,3 +108,17 @@ def test_interpolate_keeps_groups_with_a_null_key(spark, method):
     whole, cut = (ordered.interpolate(df, "v", "t", ["g"], method, n).orderBy("t").toPandas() for n in (1, 5))
     assert len(whole) == len(cut) == len(pdf)
     np.testing.assert_allclose(cut["v"], whole["v"], rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["quadratic"])
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_splines_through_rows_tied_in_the_order(spark, method, buckets):
+    """Twelve rows share each time, known and unknown ones: they follow each other by id."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"id": np.arange(600), "t": rng.permutation(600) // 12, "v": rng.normal(size=600)})
+    pdf.loc[rng.random(600) < 0.5, "v"] = np.nan
+    pdf["place"] = pdf.sort_values(["t", "id"]).assign(place=range(600))["place"]
+    df = nan_to_null(spark.createDataFrame(pdf).repartition(7, "v"))
+    want = splines.spline(df, "v", "place", method=method, buckets=1).toPandas().sort_values("id")
+    got = splines.spline(df.drop("place"), "v", "t", method=method, buckets=buckets).toPandas().sort_values("id")
+    np.testing.assert_allclose(got["v"].to_numpy(float), want["v"].to_numpy(float), rtol=1e-9, atol=1e-9)
