@@ -1,11 +1,12 @@
 """Splines through all known values of a column, solved in buckets of rows.
 
 The slopes of the spline at its known points solve a tridiagonal system over
-the whole group.  Each bucket eliminates its own stretch and states its slopes
+the whole group.  The known points are cut into stretches of at most
+STRETCH_ROWS places; each stretch eliminates its own lines and states its slopes
 as ``p + q * (last slope before) + s * (first slope after)``.  The first and
-last line of every bucket form a small system, one row per bucket, and its
-answer is put back into all lines of the bucket.  No task sees more than a
-bucket of rows, or one summary row per bucket of a group.
+last line of every stretch form a small system, one row per stretch, and its
+answer is put back into all lines of the stretch.  No worker holds more than a
+stretch of lines, or one summary row per stretch of a group.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from tallyframe.plans.sizing import checkpointed
 
 #: Known values a group must have for each method.
 LEAST = {"quadratic": 3, "cubic": 4}
+#: Places of a stretch, which one call on a worker eliminates.
+STRETCH_ROWS = 65_536
+STRETCH = "__stretch"
 
 
 def spline(
@@ -107,25 +111,24 @@ def _slopes(known: DataFrame, by: Sequence[str], n: int, method: str) -> DataFra
     if n > 1:
         rows = rows.where(~F.col("__guest"))
     lines = rows.withColumn("__line", F.explode(F.array(_line(method)))).select(*by, BUCKET, "__x", "__line.*")
+    lines = lines.withColumn(STRETCH, F.floor(F.col("__x") / STRETCH_ROWS).cast("long"))
 
-    keys = [*by, BUCKET]
+    keys = [*by, BUCKET, STRETCH]
     parts = T.StructType(
-        [*[known.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in ("__x", "__p", "__q", "__s")]]
+        [*[lines.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in ("__x", "__p", "__q", "__s")]]
     )
     solved = checkpointed(lines.groupBy(*keys).applyInPandas(_eliminate(keys), parts))
-    if n == 1:
-        return solved.select(*keys, "__x", F.col("__p").alias("__slope"))
     ends = solved.groupBy(*keys).agg(
         *[f(c, "__x").alias(f"{c}_{tag}") for c in ("__p", "__q", "__s") for f, tag in ((F.min_by, "f"), (F.max_by, "l"))]
     )
     edge = T.StructType(
-        [*[known.schema[c] for c in keys], T.StructField("__before", T.DoubleType()), T.StructField("__after", T.DoubleType())]
+        [*[lines.schema[c] for c in keys], T.StructField("__before", T.DoubleType()), T.StructField("__after", T.DoubleType())]
     )
-    # One row per (group, bucket): a millionth of the rows.
+    # One row per (group, bucket, stretch).
     edges = checkpointed(ends.groupBy(*by).applyInPandas(_meet(keys), edge))
     named = edges.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], "__before", "__after")
     slope = F.col("__p") + F.col("__q") * F.col("__before") + F.col("__s") * F.col("__after")
-    return solved.join(named, _same(solved, named, keys)).select(*keys, "__x", slope.alias("__slope"))
+    return solved.join(named, _same(solved, named, keys)).select(*by, BUCKET, "__x", slope.alias("__slope"))
 
 
 def _line(method: str) -> Column:
@@ -166,7 +169,7 @@ def _eliminate(keys: Sequence[str]):
         part = part.sort_values("__x", kind="stable")
         a, b, c, r = (part[t].to_numpy(float).tolist() for t in "abcr")
         n = len(a)
-        # Right-hand sides: the value, the slope before the bucket, the slope after it.
+        # Right-hand sides: the value, the slope before the stretch, the slope after it.
         p, q, s, up = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
         pp = qq = uu = 0.0
         for i in range(n):
@@ -191,10 +194,10 @@ def _meet(keys: Sequence[str]):
     keys = list(keys)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(BUCKET, kind="stable")
+        part = part.sort_values([BUCKET, STRETCH], kind="stable")
         lines = part[["__p_f", "__q_f", "__s_f", "__p_l", "__q_l", "__s_l"]].to_numpy(float)
         n = len(lines)
-        # Each bucket's first and last slope as alpha + beta * (first slope after it).
+        # Each stretch's first and last slope as alpha + beta * (first slope after it).
         firsts, lasts = np.zeros((n, 2)), np.zeros((n, 2))
         alpha, beta = 0.0, 0.0
         for i, (pf, qf, sf, pl, ql, sl) in enumerate(lines):

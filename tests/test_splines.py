@@ -110,7 +110,7 @@ def test_interpolate_keeps_groups_with_a_null_key(spark, method):
     np.testing.assert_allclose(cut["v"], whole["v"], rtol=1e-9)
 
 
-@pytest.mark.parametrize("method", ["quadratic"])
+@pytest.mark.parametrize("method", ["quadratic", "cubic"])
 @pytest.mark.parametrize("buckets", [1, 6])
 def test_splines_through_rows_tied_in_the_order(spark, method, buckets):
     """Twelve rows share each time, known and unknown ones: they follow each other by id."""
@@ -122,3 +122,29 @@ def test_splines_through_rows_tied_in_the_order(spark, method, buckets):
     want = splines.spline(df, "v", "place", method=method, buckets=1).toPandas().sort_values("id")
     got = splines.spline(df.drop("place"), "v", "t", method=method, buckets=buckets).toPandas().sort_values("id")
     np.testing.assert_allclose(got["v"].to_numpy(float), want["v"].to_numpy(float), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["quadratic", "cubic"])
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_no_worker_eliminates_more_than_a_stretch(spark, monkeypatch, method, buckets):
+    real = splines._eliminate
+
+    def bounded(keys):
+        solve = real(keys)
+
+        def checked(part: pd.DataFrame) -> pd.DataFrame:
+            if len(part) > 64:
+                raise ValueError(f"{len(part)} lines in one call")
+            return solve(part)
+
+        return checked
+
+    monkeypatch.setattr(splines, "STRETCH_ROWS", 64, raising=False)
+    monkeypatch.setattr(splines, "_eliminate", bounded)
+    pdf = table(1_000, 8)
+    rows, n = splines.place_rows(nan_to_null(spark.createDataFrame(pdf)), "t", (), buckets, "__x")
+    rows = rows.withColumn("__x", rows["__x"].cast("double")).withColumnRenamed("v", "__y").where("__y is not null")
+    got = splines._slopes(rows.select("__bucket", "__x", "__y"), [], n, method).orderBy("__x").toPandas()
+    known = pdf["v"].notna().to_numpy()
+    want = slopes(np.flatnonzero(known).astype(float), pdf["v"][known].to_numpy(), method)
+    np.testing.assert_allclose(got["__slope"], want, rtol=1e-9, atol=1e-9)
